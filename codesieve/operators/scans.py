@@ -34,6 +34,21 @@ def finding_cols(**given: Column) -> list[Column]:
     return out
 
 
+def finding_struct(**given: Column) -> Column:
+    return F.struct(*finding_cols(**given))
+
+
+def line_findings(lines: Column, builder) -> Column:
+    """Apply a per-line finding builder to every line of a file, row-locally:
+    ``lines`` is array<struct<raw, nc, ns>>, line numbers are 1-based."""
+    return F.flatten(F.transform(lines, lambda l, i: builder(l["raw"], l["nc"], l["ns"], i + 1)))
+
+
+def file_lines(raw: str = "code") -> Column:
+    return F.arrays_zip(F.split(raw, "\n", -1).alias("raw"), F.split("code_nc", "\n", -1).alias("nc"),
+                        F.split("code_ns", "\n", -1).alias("ns"))
+
+
 # ---- op 17 SQL built by concatenation -----------------------------------------
 _LINE_TOKEN = (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|`[^`]*+`|' + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
                + r"|[^\"'`]++|[\"'`]")
@@ -57,6 +72,13 @@ def sql_concat_flag(nc: Column, ns: Column) -> Column:
     return candidate & F.exists(F.transform(toks, hit), lambda b: b)
 
 
+def sql_concat_line(raw: Column, nc: Column, ns: Column, line_no: Column) -> Column:
+    """array of 0 or 1 SQL_INJECTION finding for one line."""
+    f = finding_struct(line=line_no, severity=F.lit(fixed.SEV_CRITICAL), type=F.lit("SQL_INJECTION"),
+                       description=F.lit(fixed.SQL_DESCRIPTION), code_snippet=go_trim(raw))
+    return F.filter(F.array(F.when(sql_concat_flag(nc, ns), f)), lambda x: x.isNotNull())
+
+
 def sql_concat_scan(masked: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Op 17: one CRÍTICO SQL_INJECTION row per line that concatenates a
     query literal.  A chain ``"SELECT…" + x + "'"`` is one row."""
@@ -107,30 +129,52 @@ def assignment_parts(nc: Column, ns: Column) -> Column:
     return F.struct(names.alias("names"), values.alias("values"))
 
 
-def credential_scan(masked: DataFrame, keywords: list[str] | None = None,
-                    any_literal: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Op 18: a name holding a keyword (case-insensitive substring) assigned a
-    literal by ``:=``, ``=``, ``var`` or ``const``; pairs by position.  A call
-    such as ``os.Getenv(..)`` is not a literal and is not reported."""
-    keep = keep or ["file_id"]
+def _is_assignment(ns: Column) -> Column:
+    return ns.contains("=") & (ns.rlike(ASSIGN_DECL) | ns.rlike(ASSIGN_PLAIN))
+
+
+def credential_line(raw: Column, nc: Column, ns: Column, line_no: Column,
+                    keywords: list[str] | None = None, any_literal: bool = False,
+                    with_value: bool = False) -> Column:
+    """array of HARDCODED_CREDENTIAL findings for one line."""
     kws = F.array(*[F.lit(k) for k in (keywords or fixed.CREDENTIAL_KEYWORDS)])
     lit_re = ANY_LIT_MASKED if any_literal else STRING_LIT_MASKED
-    lines = source_lines(masked, keep)
-    cand = lines.where(F.col("ns").contains("=")
-                       & (F.col("ns").rlike(ASSIGN_DECL) | F.col("ns").rlike(ASSIGN_PLAIN)))
-    parts = assignment_parts(F.col("nc"), F.col("ns"))
+    parts = assignment_parts(nc, ns)
     pairs = F.transform(parts["names"], lambda n, i: F.struct(
         n.alias("name"), F.get(parts["values"], i).alias("v")))
     hits = F.filter(pairs, lambda p: p["v"].isNotNull()
                     & F.exists(kws, lambda k: F.lower(p["name"]).contains(k))
                     & p["v"]["ns"].rlike(lit_re))
-    return (cand.select(*keep, "line_no", "raw", F.explode(hits).alias("h"))
-            .select(*keep, *finding_cols(
-                line=F.col("line_no"), severity=F.lit(fixed.SEV_MEDIUM),
-                type=F.lit("HARDCODED_CREDENTIAL"),
-                description=F.format_string(fixed.CRED_DESCRIPTION, F.col("h.name")),
-                code_snippet=go_trim("raw")),
-                F.col("h.name").alias("variable"), F.col("h.v.text").alias("value")))
+
+    def one(h: Column) -> Column:
+        cols = finding_cols(line=line_no, severity=F.lit(fixed.SEV_MEDIUM),
+                            type=F.lit("HARDCODED_CREDENTIAL"),
+                            description=F.format_string(fixed.CRED_DESCRIPTION, h["name"]),
+                            code_snippet=go_trim(raw))
+        if with_value:
+            cols += [h["name"].alias("variable"), h["v"]["text"].alias("value")]
+        return F.struct(*cols)
+
+    empty = F.filter(F.array(F.lit(None).cast(_struct_type(with_value))), lambda x: x.isNotNull())
+    return F.when(_is_assignment(ns), F.transform(hits, one)).otherwise(empty)
+
+
+def _struct_type(with_value: bool) -> str:
+    fields = [f"{n}: {t}" for n, t in FINDING_COLUMNS]
+    if with_value:
+        fields += ["variable: string", "value: string"]
+    return "struct<" + ", ".join(fields) + ">"
+
+
+def credential_scan(masked: DataFrame, keywords: list[str] | None = None,
+                    any_literal: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Op 18: a name holding a keyword (case-insensitive substring) assigned a
+    literal by ``:=``, ``=``, ``var`` or ``const``; pairs by position.  A call
+    such as ``os.Getenv(..)`` is not a literal and is not reported."""
+    keep = keep or ["file_id"]
+    lines = source_lines(masked, keep).where(_is_assignment(F.col("ns")))
+    return lines.select(*keep, F.inline(credential_line(
+        F.col("raw"), F.col("nc"), F.col("ns"), F.col("line_no"), keywords, any_literal, True)))
 
 
 # ---- op 19 unsanitized input ----------------------------------------------------
@@ -143,7 +187,11 @@ def unsanitized_input_scan(df: DataFrame, code: str = "code",
     B: ``os.Open``/``os.ReadFile`` handed a request value.  A file with no hit
     gets one INPUT_CHECK_OK row."""
     keep = keep or ["file_id"]
-    c = F.col(code)
+    return df.select(*keep, F.inline(unsanitized_input_findings(F.col(code))))
+
+
+def unsanitized_input_findings(c: Column) -> Column:
+    """array of op 19 findings for one file (never empty)."""
     item = lambda d, s: F.struct(F.lit(d).alias("d"), F.lit(s).alias("s"))
     hits = F.filter(F.array(
         F.when(c.contains("exec.Command"), item(fixed.EXEC_DESCRIPTION, fixed.EXEC_SNIPPET)),
@@ -151,15 +199,17 @@ def unsanitized_input_scan(df: DataFrame, code: str = "code",
                                                  "os.Open(r.FormValue(...))"))),
         lambda x: x.isNotNull())
     ok = F.array(F.struct(F.lit(None).cast("string").alias("d"), F.lit(None).cast("string").alias("s")))
-    rows = df.select(*keep, F.explode(F.when(F.size(hits) > 0, hits).otherwise(ok)).alias("h"))
-    is_ok = F.col("h.d").isNull()
-    return rows.select(*keep, *finding_cols(
-        line=F.when(~is_ok, F.lit(0)),
-        severity=F.when(~is_ok, F.lit(fixed.SEV_MEDIUM)),
-        type=F.when(is_ok, F.lit("INPUT_CHECK_OK")).otherwise(F.lit("UNSANITIZED_INPUT")),
-        description=F.col("h.d"), code_snippet=F.col("h.s"),
-        status=F.when(is_ok, F.lit("success")),
-        message=F.when(is_ok, F.lit(fixed.INPUT_OK_MESSAGE))))
+
+    def one(h: Column) -> Column:
+        is_ok = h["d"].isNull()
+        return finding_struct(
+            line=F.when(~is_ok, F.lit(0)),
+            severity=F.when(~is_ok, F.lit(fixed.SEV_MEDIUM)),
+            type=F.when(is_ok, F.lit("INPUT_CHECK_OK")).otherwise(F.lit("UNSANITIZED_INPUT")),
+            description=h["d"], code_snippet=h["s"],
+            status=F.when(is_ok, F.lit("success")),
+            message=F.when(is_ok, F.lit(fixed.INPUT_OK_MESSAGE)))
+    return F.transform(F.when(F.size(hits) > 0, hits).otherwise(ok), one)
 
 
 # ---- function spans (ops 20, 22) ----------------------------------------------
@@ -197,24 +247,39 @@ def complexity(masked: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Op 22: per function 1 + if (else-if included) + for + case + && + ||,
     counted on the masked text.  Row-local: no shuffle."""
     keep = keep or ["file_id"]
+    return masked.select(*keep, F.inline(function_complexity()))
+
+
+def function_complexity() -> Column:
+    """array<struct<function, line, complexity>> of a masked file."""
     lines = F.split("code_ns", "\n", -1)
-    per_fn = F.transform(function_spans(lines), lambda sp: F.struct(
+    return F.transform(function_spans(lines), lambda sp: F.struct(
         sp["function"].alias("function"), sp["fn_line"].alias("line"),
         (F.regexp_count(F.array_join(F.slice(lines, sp["fn_line"].cast("int"), sp["n_lines"]), "\n"),
                         F.lit(COMPLEXITY_RE)) + 1).cast("bigint").alias("complexity")))
-    return masked.select(*keep, F.inline(per_fn))
 
 
 def complexity_findings(fns: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Op 23: > 15 CRÍTICO, > 10 ALTO, else no row."""
     keep = keep or ["file_id"]
-    sev = (F.when(F.col("complexity") > fixed.COMPLEXITY_CRITICAL, F.lit(fixed.SEV_CRITICAL))
-           .when(F.col("complexity") > fixed.COMPLEXITY_THRESHOLD, F.lit(fixed.SEV_HIGH)))
     return (fns.where(F.col("complexity") > fixed.COMPLEXITY_THRESHOLD)
-            .select(*keep, *finding_cols(line=F.col("line"), severity=sev,
-                                         type=F.lit("HIGH_COMPLEXITY"), function=F.col("function"),
-                                         complexity=F.col("complexity"),
-                                         threshold=F.lit(fixed.COMPLEXITY_THRESHOLD))))
+            .select(*keep, *finding_cols(**_complexity_fields(F.col("function"), F.col("line"),
+                                                              F.col("complexity")))))
+
+
+def _complexity_fields(function: Column, line: Column, cx: Column) -> dict:
+    sev = (F.when(cx > fixed.COMPLEXITY_CRITICAL, F.lit(fixed.SEV_CRITICAL))
+           .when(cx > fixed.COMPLEXITY_THRESHOLD, F.lit(fixed.SEV_HIGH)))
+    return dict(line=line, severity=sev, type=F.lit("HIGH_COMPLEXITY"), function=function,
+                complexity=cx, threshold=F.lit(fixed.COMPLEXITY_THRESHOLD))
+
+
+def complexity_finding_array() -> Column:
+    """array of op 23 findings of a masked file."""
+    return F.transform(F.filter(function_complexity(),
+                                lambda f: f["complexity"] > fixed.COMPLEXITY_THRESHOLD),
+                       lambda f: finding_struct(**_complexity_fields(f["function"], f["line"],
+                                                                     f["complexity"])))
 
 
 # ---- op 20 taint flow ---------------------------------------------------------
