@@ -110,3 +110,111 @@ def q_reports(spark, sf_dir):
 @register("worst_functions", so.WORST)
 def q_worst(spark, sf_dir):
     return findings.worst_functions(scans.complexity(masked_files(spark, sf_dir), FILE_KEYS), k=5)
+
+
+# ---- extraction, patches, turns, prompts, sources ------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from codesieve.operators import extract, patches, prompts, turns  # noqa: E402
+from codesieve.plans import text_oracles as to  # noqa: E402
+from codesieve.sources import files as srcs  # noqa: E402
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("extract_code", to.EXTRACT_CODE)
+def q_extract(spark, sf_dir):
+    t = view(spark, sf_dir, "agent_turns")
+    return t.select("run_id", "attempt", extract.extract_code("response").alias("code"))
+
+
+@register("parse_findings", to.PARSE_FINDINGS)
+def q_parse(spark, sf_dir):
+    return extract.parse_findings(view(spark, sf_dir, "agent_outputs"), "output", ["out_id"])
+
+
+@register("parse_findings_strict", to.PARSE_FINDINGS_STRICT)
+def q_parse_strict(spark, sf_dir):
+    return extract.parse_findings_strict(view(spark, sf_dir, "agent_outputs"), "output", ["out_id"])
+
+
+def _patches(spark, sf_dir):
+    return extract.parse_patches(view(spark, sf_dir, "fix_reports"), "report", ["file_id"])
+
+
+@register("parse_patches", to.PARSE_PATCHES)
+def q_patches(spark, sf_dir):
+    return _patches(spark, sf_dir)
+
+
+@register("diff_rows", to.DIFF_ROWS)
+def q_diff(spark, sf_dir):
+    return patches.diff_rows(_patches(spark, sf_dir))
+
+
+@register("apply_patches", _recursive(to.APPLY))
+def q_apply(spark, sf_dir):
+    return patches.apply_patches(view(spark, sf_dir, "src_files"), _patches(spark, sf_dir))
+
+
+@register("patch_audit", _recursive(to.PATCH_AUDIT))
+def q_patch_audit(spark, sf_dir):
+    return patches.patch_audit(view(spark, sf_dir, "src_files"), _patches(spark, sf_dir))
+
+
+def _classified(spark, sf_dir):
+    return turns.classify_turns(view(spark, sf_dir, "agent_turns"))
+
+
+@register("classify_turns", to.CLASSIFY)
+def q_classify(spark, sf_dir):
+    return _classified(spark, sf_dir).select("run_id", "attempt", "cls", "ok", "successes_before",
+                                             "successes", "is_end")
+
+
+@register("run_outcomes", to.OUTCOMES)
+def q_outcomes(spark, sf_dir):
+    return turns.run_outcomes(_classified(spark, sf_dir))
+
+
+@register("next_prompts", to.NEXT)
+def q_next(spark, sf_dir):
+    return turns.next_prompts(_classified(spark, sf_dir))
+
+
+@register("generated_code", to.GENERATED)
+def q_generated(spark, sf_dir):
+    return turns.generated_code(_classified(spark, sf_dir))
+
+
+@register("exec_stats", to.EXEC_STATS)
+def q_exec_stats(spark, sf_dir):
+    return turns.exec_stats(_classified(spark, sf_dir))
+
+
+@register("effective_findings", to.EFFECTIVE)
+def q_effective(spark, sf_dir):
+    return turns.effective_findings(_classified(spark, sf_dir))
+
+
+@register("history_prefix", to.HISTORY)
+def q_history(spark, sf_dir):
+    return turns.history_prefix(table(spark, sf_dir, "conversations"))
+
+
+@register("history_sessions", to.SESSIONS)
+def q_sessions(spark, sf_dir):
+    return turns.history_sessions(table(spark, sf_dir, "conversations"), F.col("turn") % 3 == 0)
+
+
+@register("report_lines")
+def q_report_lines(spark, sf_dir):
+    return extract.report_lines(view(spark, sf_dir, "agent_turns"), "response", ["run_id", "attempt"])
+
+
+@register("report_findings")
+def q_report_findings(spark, sf_dir):
+    reports = findings.file_reports(findings.audit(view(spark, sf_dir, "src_files"), mode="all"))
+    return extract.report_findings(reports, "report", ["file_id"])
