@@ -203,12 +203,14 @@ FIX_LINE = r"^\s+Fix:\s*(.*?)\s*$"
 def report_findings(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
     """Op 15: report-format lines back to rows; an indented ``Fix:`` line is
     bound to the nearest finding line above it (row-local, no window)."""
-    lines = F.split(F.col(report), "\n", -1)
-    n = F.size(F.col("ls"))
+    df = df.select(*keys, F.split(F.col(report), "\n", -1).alias("ls"))
+    lines = F.col("ls")
+    n = F.size(lines)
     heads = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(lines, i).rlike(FINDING_LINE)
                      | F.element_at(lines, i).rlike(COMPLEXITY_LINE) | F.element_at(lines, i).rlike(OK_LINE))
     fixes = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(lines, i).rlike(FIX_LINE))
-    base = df.select(*keys, lines.alias("ls"), heads.alias("hs"), fixes.alias("fx"), F.explode(heads).alias("i"))
+    base = (df.select(*keys, "ls", heads.alias("hs"), fixes.alias("fx"))
+            .select(*keys, "ls", "hs", "fx", F.explode("hs").alias("i")))
     i, ls = F.col("i"), F.col("ls")
     line = F.element_at(ls, i)
     next_head = F.coalesce(F.get(F.filter("hs", lambda j: j > i), 0), n + 1)

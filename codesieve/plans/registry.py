@@ -218,3 +218,139 @@ def q_report_lines(spark, sf_dir):
 def q_report_findings(spark, sf_dir):
     reports = findings.file_reports(findings.audit(view(spark, sf_dir, "src_files"), mode="all"))
     return extract.report_findings(reports, "report", ["file_id"])
+
+
+# ---- events, streams, sources, sinks ------------------------------------------------
+from codesieve.plans import stream_oracles as sto  # noqa: E402
+from codesieve.streaming import rate_limit as rl  # noqa: E402
+from codesieve.streaming import streams  # noqa: E402
+
+EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def _decoded(spark, sf_dir):
+    return extract.decode_frames(view(spark, sf_dir, "sse_chunks"))
+
+
+@register("rate_limit", sto.RATE_LIMIT)
+def q_rate(spark, sf_dir):
+    return rl.rate_limit(table(spark, sf_dir, "events"), limit=3, window_s=86400)
+
+
+@register("decode_frames", sto.DECODE)
+def q_decode(spark, sf_dir):
+    return _decoded(spark, sf_dir)
+
+
+@register("summary_view", sto.SUMMARY)
+def q_summary(spark, sf_dir):
+    return streams.summary_view(_decoded(spark, sf_dir), "summary")
+
+
+@register("run_status", sto.RUN_STATUS)
+def q_status(spark, sf_dir):
+    return streams.run_status_agg(_decoded(spark, sf_dir))
+
+
+def _events_stream(spark, sf_dir):
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
+            .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+@register("rate_limit_stream")
+def q_rate_stream(spark, sf_dir):
+    out = streams.run_available_now(streams.rate_limit_stream(_events_stream(spark, sf_dir), limit=3,
+                                                              window_s=86400))
+    return spark.read.parquet(out).drop("_batch")
+
+
+@register("decode_frames_stream")
+def q_decode_stream(spark, sf_dir):
+    ev = _events_stream(spark, sf_dir)
+    ev.createOrReplaceTempView("events")
+    from codesieve.sources.fixtures import SSE_CHUNKS_SQL
+    out = streams.run_available_now(streams.decode_frames_stream(spark.sql(SSE_CHUNKS_SQL)))
+    return spark.read.parquet(out).drop("_batch")
+
+
+@register("run_status_stream")
+def q_status_stream(spark, sf_dir):
+    src = streams.scratch_dir(spark, "decoded")
+    _decoded(spark, sf_dir).write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = streams.run_available_now(streams.run_status_stream(stream), mode="update")
+    from pyspark.sql import Window
+    w = Window.partitionBy("run_id").orderBy(F.col("_batch").desc())
+    return (spark.read.parquet(out).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+            .drop("_r", "_batch"))
+
+
+@register("admit_requests", sto.ADMIT)
+def q_admit(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return srcs.admit_requests(docs, "text", max_bytes=20000).select("doc_id", "body_bytes", "reason", "accepted")
+
+
+@register("encode_frames", sto.ENCODE)
+def q_encode(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    t = ev["event_type"]
+    typ = (F.when(t == "purchase", "done").when(t == "signup", "code_generated").when(t == "error", "error")
+           .when(t == "view", "progress").otherwise("step_start"))
+    rows = ev.select("event_id", typ.alias("type"), F.col("props").alias("message"), F.col("props").alias("report"),
+                     F.col("props").alias("code"), F.lit(None).cast("string").alias("fixed_code"),
+                     F.lit(None).cast("string").alias("patches_json"), F.lit(None).cast("string").alias("findings_json"))
+    return srcs.encode_frames(rows).select("event_id", "frame")
+
+
+@register("mask_secrets", sto.MASK_SECRETS)
+def q_mask_secrets(spark, sf_dir):
+    return patches.mask_secrets(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+@register("findings_jsonl")
+def q_jsonl(spark, sf_dir):
+    pf = extract.parse_findings(view(spark, sf_dir, "agent_outputs"), "output", ["out_id"])
+    return pf.select("out_id", "seq", srcs.findings_json(pf).alias("json"))
+
+
+@register("load_sources")
+def q_load(spark, sf_dir):
+    return srcs.load_sources(spark, f"{sf_dir}/documents.parquet",
+                             columns={"file_id": "doc_id", "repo": "source", "code": "text"})
+
+
+@register("build_prompts")
+def q_prompts(spark, sf_dir):
+    return prompts.build_prompts(view(spark, sf_dir, "src_files"), "security")
+
+
+@register("build_fix_prompts")
+def q_fix_prompts(spark, sf_dir):
+    files = view(spark, sf_dir, "src_files")
+    return prompts.build_fix_prompts(files, findings.audit(files, mode="security"))
+
+
+@register("conversation_messages")
+def q_conv_messages(spark, sf_dir):
+    return prompts.conversation_messages(table(spark, sf_dir, "conversations"))
+
+
+@register("credential_scan_documents")
+def q_cred_docs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("code"))
+    return scans.credential_scan(mask.mask_source(docs))
+
+
+@register("propose_fixes")
+def q_propose(spark, sf_dir):
+    m = masked_files(spark, sf_dir)
+    lines = mask.source_lines(m).where(F.col("ns").rlike(r"\bexec\.Command"))
+    calls = lines.select("file_id", F.col("line_no").alias("line"), srcs_trim("raw").alias("text"))
+    return patches.propose_fixes(scans.credential_scan(m), scans.sql_concat_scan(m), calls)
+
+
+def srcs_trim(c):
+    from codesieve.functions.text import go_trim
+    return go_trim(c)

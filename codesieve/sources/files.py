@@ -9,13 +9,19 @@ from codesieve.functions import fixed
 from codesieve.functions.text import byte_len
 
 
-def load_sources(spark: SparkSession, path: str, glob: str = "*.go") -> DataFrame:
+def load_sources(spark: SparkSession, path: str, glob: str = "*.go",
+                 columns: dict[str, str] | None = None) -> DataFrame:
     """Op 1: a directory of source files (one row per file, whole text) or a
     parquet corpus with ``file_id, repo, path, code``.  A missing path is an
     error (Spark raises at analysis); files with no name are rejected."""
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
-        return df.where(F.col("path").isNotNull() & (F.col("path") != ""))
+        m = {"file_id": "file_id", "repo": "repo", "path": "path", "code": "code", **(columns or {})}
+        pth = (F.col(m["path"]) if m["path"] in df.columns
+               else F.format_string("src/f%d.go", F.col(m["file_id"])))
+        return (df.select(F.col(m["file_id"]).cast("bigint").alias("file_id"), F.col(m["repo"]).alias("repo"),
+                          pth.alias("path"), F.col(m["code"]).alias("code"))
+                .where(F.col("path").isNotNull() & (F.col("path") != "")))
     raw = (spark.read.option("wholetext", True).option("pathGlobFilter", glob)
            .option("recursiveFileLookup", True).text(path)
            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("code")))
