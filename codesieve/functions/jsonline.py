@@ -38,6 +38,33 @@ def _kind(v: Column) -> Column:
     return F.when(v.isNull(), F.lit("ABSENT")).otherwise(F.schema_of_variant(v))
 
 
+def parse_objects(df, line: Column, fields: list[tuple[str, str]], out: str = "f"):
+    """DataFrame form of :func:`parse_object`, staged so that the JSON text is
+    parsed once and the key map is built once per line (projections whose
+    results are used many times are not inlined by Catalyst)."""
+    keep = [c for c in df.columns]
+    w = df.select(*keep, wrapped(line).alias("_w"))
+    m = w.select(*keep, whole_value_ok(F.col("_w")).alias("_ok0"),
+                 F.try_variant_get(F.col("_w"), "$.w", "map<string,variant>").alias("_obj"))
+    obj = F.col("_obj")
+    k = m.select(*keep, "_ok0", "_obj",
+                 F.exists(F.map_keys(obj), lambda x: x != F.lower(x)).alias("_fold"))
+    vals, ok = [], F.col("_ok0") & obj.isNotNull()
+    kinds = []
+    for name, typ in fields:
+        v = F.when(F.col("_fold"), _field(obj, name)).otherwise(obj.getItem(name))
+        kinds.append((name, typ, v))
+    staged = k.select(*keep, F.col("_ok0"), obj.isNotNull().alias("_isobj"),
+                      *[v.alias(f"_v_{name}") for name, _, v in kinds])
+    ok = F.col("_ok0") & F.col("_isobj")
+    for name, typ, _ in kinds:
+        want = "STRING" if typ == "string" else "BIGINT"
+        kd = _kind(F.col(f"_v_{name}"))
+        ok = ok & kd.isin("ABSENT", "VOID", want)
+        vals.append(F.when(kd == want, F.try_variant_get(F.col(f"_v_{name}"), "$", typ)).alias(name))
+    return staged.select(*keep, F.struct(ok.alias("ok"), *vals).alias(out))
+
+
 def parse_object(line: Column, fields: list[tuple[str, str]]) -> Column:
     """struct<ok boolean, <fields>> for one line; ``fields`` = (name, 'string'|'bigint')."""
     w = wrapped(line)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions import fixed
-from codesieve.functions.jsonline import json_value_ok, parse_object
+from codesieve.functions.jsonline import json_value_ok, parse_objects
 from codesieve.functions.text import col_, go_rtrim, go_trim, regex_quote
 from codesieve.operators.scans import FINDING_COLUMNS
 
@@ -58,7 +58,8 @@ FINDING_FIELDS = [(n, "bigint" if t == "bigint" else "string") for n, t in FINDI
 def _finding_rows(keys: list[str], df: DataFrame, lines: Column, keep_pred=None) -> DataFrame:
     exploded = df.select(*keys, F.posexplode(lines).alias("seq", "raw"))
     t = go_trim(F.col("raw"))
-    parsed = exploded.where(t.startswith("{")).select(*keys, "seq", parse_object(t, FINDING_FIELDS).alias("f"))
+    cand = exploded.where(t.startswith("{")).select(*keys, "seq", t.alias("_t"))
+    parsed = parse_objects(cand, F.col("_t"), FINDING_FIELDS)
     out = parsed.where(F.col("f.ok"))
     if keep_pred is not None:
         out = out.where(keep_pred(F.col("f")))

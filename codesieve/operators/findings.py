@@ -78,13 +78,12 @@ def classify_findings(df: DataFrame) -> DataFrame:
 
 
 # ---- op 25 ------------------------------------------------------------------------
-SEV_RANK = F.create_map(F.lit(fixed.SEV_CRITICAL), F.lit(4), F.lit(fixed.SEV_HIGH), F.lit(3),
-                        F.lit(fixed.SEV_MEDIUM), F.lit(2), F.lit(fixed.SEV_LOW), F.lit(1))
 RANK_NAME = {4: fixed.SEV_CRITICAL, 3: fixed.SEV_HIGH, 2: fixed.SEV_MEDIUM, 1: fixed.SEV_LOW}
 
 
 def sev_rank(sev: Column) -> Column:
-    return F.coalesce(F.element_at(SEV_RANK, sev), F.lit(0))
+    m = F.create_map(*[x for r, n in RANK_NAME.items() for x in (F.lit(n), F.lit(r))])
+    return F.coalesce(F.element_at(m, sev), F.lit(0))
 
 
 def rank_name(rank: Column) -> Column:
