@@ -354,3 +354,28 @@ def q_propose(spark, sf_dir):
 def srcs_trim(c):
     from codesieve.functions.text import go_trim
     return go_trim(c)
+
+
+_SEV = "lower(coalesce(severity, ''))"
+_NORM = (f"CASE {_SEV} WHEN 'crítico' THEN 'critical' WHEN 'critico' THEN 'critical' WHEN 'alto' THEN 'high' "
+         f"WHEN 'medio' THEN 'medium' WHEN 'aceptable' THEN 'medium' WHEN 'bajo' THEN 'low' "
+         f"ELSE coalesce(nullif({_SEV}, ''), 'low') END")
+_KIND = ("CASE WHEN function IS NOT NULL AND complexity IS NOT NULL THEN 'complexity' "
+         "WHEN status IS NOT NULL AND message IS NOT NULL THEN 'check' ELSE 'security' END")
+CLASSIFY_FINDINGS_SQL = f"""SELECT *, {_NORM} AS severity_norm, {_KIND} AS kind,
+  CASE WHEN {_KIND} = 'check' THEN CASE WHEN status = 'success' THEN 'ok' ELSE 'critical' END ELSE {_NORM} END AS css,
+  CASE WHEN {_KIND} = 'check' THEN CASE WHEN status = 'success' THEN 'OK' ELSE 'ERROR' END
+       ELSE upper(coalesce(nullif(severity, ''), {_NORM})) END AS badge,
+  CASE WHEN {_KIND} = 'complexity' THEN function || '() — complejidad ' || CAST(complexity AS VARCHAR)
+       WHEN {_KIND} = 'check' THEN coalesce(nullif(message, ''), type)
+       ELSE coalesce(nullif(type, ''), 'Hallazgo') END AS title,
+  CASE WHEN {_KIND} = 'complexity' THEN 'Umbral recomendado: ' || CAST(coalesce(nullif(threshold, 0), 10) AS VARCHAR)
+       WHEN {_KIND} = 'security' THEN nullif(description, '') END AS detail,
+  CASE WHEN {_KIND} = 'security' AND coalesce(line, 0) <> 0 THEN 'Línea ' || CAST(line AS VARCHAR) END AS line_label
+FROM ({to.PARSE_FINDINGS}) pf"""
+
+
+@register("classify_findings", CLASSIFY_FINDINGS_SQL)
+def q_classify_findings(spark, sf_dir):
+    pf = extract.parse_findings(view(spark, sf_dir, "agent_outputs"), "output", ["out_id"])
+    return findings.classify_findings(pf)
