@@ -130,7 +130,7 @@ def file_reports(findings: DataFrame) -> DataFrame:
         (i == 0) | (x["sec"] != F.get(ls, i - 1)["sec"]),
         F.concat(F.when(x["sec"] == 1, F.lit("SEGURIDAD\n")).otherwise(F.lit("CALIDAD\n")), x["text"]))
         .otherwise(x["text"]))
-    report = F.concat_ws("\n", F.concat(F.lit("REPORTE GOLEM — "), F.col("path")),
+    report = F.concat_ws("\n", F.concat(F.lit(fixed.TERMINATION_SIGNAL + " — "), F.col("path")),
                          F.lit("================================"), F.array_join(body, "\n"), F.lit(""),
                          F.lit("RESUMEN"),
                          F.format_string("Nivel de riesgo: %s (%s hallazgos)", rank_name(F.col("worst")),

@@ -233,7 +233,7 @@ ordered AS (
     row_number() OVER w AS k
   FROM items WINDOW w AS (PARTITION BY file_id ORDER BY sec, step, ln, type, fn, text))
 SELECT file_id, path, {RANK_NAME('max(rnk)')} AS risk, CAST(sum(is_f) AS BIGINT) AS n_findings,
-  'REPORTE GOLEM — ' || path || chr(10) || '================================' || chr(10)
+  {q(fixed.TERMINATION_SIGNAL + ' — ')} || path || chr(10) || '================================' || chr(10)
   || string_agg(shown, chr(10) ORDER BY k) || chr(10) || chr(10) || 'RESUMEN' || chr(10)
   || 'Nivel de riesgo: ' || {RANK_NAME('max(rnk)')} || ' (' || CAST(sum(is_f) AS VARCHAR) || ' hallazgos)' AS report
 FROM ordered GROUP BY file_id, path"""
