@@ -379,3 +379,21 @@ FROM ({to.PARSE_FINDINGS}) pf"""
 def q_classify_findings(spark, sf_dir):
     pf = extract.parse_findings(view(spark, sf_dir, "agent_outputs"), "output", ["out_id"])
     return findings.classify_findings(pf)
+
+
+# oracles for the simple rows-only entries
+from codesieve.functions import tasks as _tasks  # noqa: E402
+from codesieve.plans.duck import q as _q  # noqa: E402
+from codesieve.functions.fixed import TERMINATION_SIGNAL as fixed_signal  # noqa: E402
+
+ORACLES["load_sources"] = ("SELECT CAST(doc_id AS BIGINT) AS file_id, source AS repo, printf('src/f%d.go', doc_id) AS path, "
+                           "text AS code FROM documents")
+ORACLES["conversation_messages"] = (
+    "SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, "
+    "CAST(to_json(list({'role': CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END, 'content': text} "
+    "ORDER BY turn)) AS VARCHAR) AS messages_json FROM conversations GROUP BY conv_id")
+ORACLES["build_prompts"] = (
+    "WITH " + f"src_files AS ({__import__('codesieve.sources.fixtures', fromlist=['x']).SRC_FILES_SQL})" +
+    " SELECT file_id, 'security' AS system_prompt, replace(" + _q(_tasks.SECURITY_TASK) + ", '%s', code) AS task, "
+    "CAST(3 AS BIGINT) AS max_steps, " + _q(fixed_signal) + " AS termination_signal, "
+    "contains(code, '---CODE_START---') OR contains(code, '---CODE_END---') AS code_has_delimiter FROM src_files")
