@@ -10,9 +10,10 @@ standard errors below the threshold), and is then confirmed on the full sets.
 Equal sets are one node from the start, so thousands of exact copies cost one
 row per copy and no pairs.  In a band bucket every member is first paired with
 two centres only; what the confirmed links leave in different components is
-paired again, but only members outside the bucket's largest component against
-the others.  So a bucket of near copies costs rows in proportion to its size,
-no pair across components is lost, and no bucket has a cap.
+paired again: members outside the bucket's largest component against the others,
+and in crowded buckets only pairs that an exact bound on shared shingles lets
+through (see ``_across_components``).  So a bucket of near copies costs rows in
+proportion to its size, no pair across components is lost, and no bucket has a cap.
 
 With the default 28 bands of 4 registers a pair at similarity 0.8 shares no
 band with probability (1 - 0.8**4)**28 = 4e-7.
@@ -29,11 +30,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codesieve.llm import common as C
 
 MANTISSA = 10
+FEW = 8
 SIGNED = "doc_id long, n_shingles long, node long, regs binary"
 
 
@@ -110,6 +113,40 @@ def _estimate(registers: int):
     return estimate
 
 
+def _across_components(part: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket that lie in different components and may still
+    be similar enough.  ``part``: (bucket, node, n, root).
+
+    With few members outside the bucket's largest component (``FEW``), those
+    against all members.  The crowded buckets of one largest component form a
+    group, and its pairs must share a rare shingle: with the shingles of every member
+    ordered by the group's counts, rarest first, the first one that two members share
+    stands at places ``p`` and ``q``, so they share at most the smaller of n - p and m - q.
+    Only pairs whose bound reaches the threshold are emitted; those that cannot
+    reach it never meet.  No pair that can reach it is lost.
+    """
+    enough = lambda both: f"{100 + percent} * ({both}) >= {percent} * (l.n + r.n)"
+    sizes = part.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    split = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main"),
+                                        (F.sum("c") - F.max("c")).alias("others")).where("parts > 1")
+    rest = C.cut(part.join(split, "bucket"))
+    pair = F.col("l.node").alias("a"), F.col("r.node").alias("b")
+
+    few = rest.where(F.col("others") <= FEW)
+    direct = few.where("root <> main").alias("l").join(few.alias("r"), "bucket") \
+        .where("l.root <> r.root and " + enough("least(l.n, r.n)")).select(*pair)
+
+    group = C.cut(rest.where(F.col("others") > FEW).select("main", "node", "n", "root").distinct())
+    listed = group.join(sets, "node").select("main", "node", "n", "root", F.explode("shingles").alias("s"))
+    held = listed.groupBy("main", "s").agg(F.count("*").alias("df"))
+    rarest = W.partitionBy("main", "node").orderBy("df", "s")
+    listed = listed.join(held, ["main", "s"]).withColumn("at", F.row_number().over(rarest) - 1)
+    ahead = C.cut(listed.where(f"df > 1 and 100 * (n - at) >= {percent} * n").select("main", "s", "node", "n", "root", "at"))
+    shared = ahead.where("root <> main").alias("l").join(ahead.alias("r"), ["main", "s"]) \
+        .where("l.root <> r.root and " + enough("least(l.n - l.at, r.n - r.at)")).select(*pair)
+    return direct.union(shared)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = 28, rows: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document; documents are
@@ -145,33 +182,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
                 .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
                 .select("a", "b"))
 
-    def sets_for(pairs: DataFrame) -> DataFrame:
-        """Full sets of the documents that occur in ``pairs``, one per node."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        ids = nodes.join(wanted, "node", "left_semi").select("first_id").distinct()
-        known = _sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi"), shingle_words)
-        return known.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    # The full set of every document that shares a bucket, read from the texts once.
+    wanted = members.select("node").distinct()
+    ids = nodes.join(wanted, "node", "left_semi").select("first_id").distinct()
+    known = _sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi"), shingle_words)
+    sets = C.cut(known.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     stars = members.select(F.col("node").alias("a"), F.explode(F.array("c1", "c2")).alias("b"))
     first = C.cut(candidates(stars))
-    sets = C.cut(sets_for(first))
     links = C.cut(confirmed(first, sets))
     comp = components_of(links)
 
-    # What is left: members outside the largest component of their bucket, against the others.
-    part = C.cut(members.join(comp, "node", "left").select(
-        "bucket", "node", "n", F.coalesce("root", "node").alias("root")))
-    sizes = part.groupBy("bucket", "root").agg(F.count("*").alias("c"))
-    split = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main"))
-    rest = part.join(split.where("parts > 1"), "bucket")
-    left, right = rest.where("root <> main").alias("l"), rest.alias("r")
-    cross = (left.join(right, F.col("l.bucket") == F.col("r.bucket"))
-             .where("l.root <> r.root and 100 * least(l.n, r.n) >= %d * greatest(l.n, r.n)" % percent)
-             .select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
-    done = first.select("a", "b")
-    second = C.cut(candidates(cross).join(done, ["a", "b"], "left_anti"))
+    part = C.cut(members.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
+    cross = _across_components(part, sets, percent)
+    second = C.cut(candidates(cross).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
-        links = links.union(confirmed(second, C.cut(sets_for(second))))
+        links = links.union(confirmed(second, sets))
         comp = components_of(links)
 
     roots = nodes.select("node", "first_id").join(comp, "node", "left").select(
