@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -137,7 +137,7 @@ def _across_components(part: DataFrame, sets: DataFrame, percent: int) -> DataFr
         .where("l.root <> r.root and " + enough("least(l.n, r.n)")).select(*pair)
 
     group = C.cut(rest.where(F.col("others") > FEW).select("main", "node", "n", "root").distinct())
-    listed = group.join(sets, "node").select("main", "node", "n", "root", F.explode("shingles").alias("s"))
+    listed = group.join(sets.select("node", "shingles"), "node").select("main", "node", "n", "root", F.explode("shingles").alias("s"))
     held = listed.groupBy("main", "s").agg(F.count("*").alias("df"))
     rarest = W.partitionBy("main", "node").orderBy("df", "s")
     listed = listed.join(held, ["main", "s"]).withColumn("at", F.row_number().over(rarest) - 1)
@@ -164,38 +164,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         F.count("*").alias("c"), F.min("node").alias("c1"), F.min_by("node", spread).alias("c2")).where("c > 1")
     members = C.cut(keyed.join(shared, "bucket").select("bucket", "node", "n", "c1", "c2"))
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a < b) whose set sizes and registers allow a link."""
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-        least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
-        return (pairs.join(side("a"), "a").join(side("b"), "b")
-                .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-                .where(_estimate(registers)("ra", "rb", "na", "nb") >= least)
-                .select("a", "b"))
+    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-        both: Column = F.size(F.array_intersect("sa", "sb"))
+        """The pairs that are links: by size, then by the registers' estimate, then by the full sets."""
+        side = lambda x: sets.select(F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "regs", "shingles")])
         return (pairs.join(side("a"), "a").join(side("b"), "b")
-                .withColumn("both", both)
-                .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
+                .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+                .where(_estimate(registers)("regsa", "regsb", "na", "nb") >= least)
+                .withColumn("both", F.size(F.array_intersect("shinglesa", "shinglesb")))
+                .where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
                 .select("a", "b"))
 
     # The full set of every document that shares a bucket, read from the texts once.
     wanted = members.select("node").distinct()
     ids = nodes.join(wanted, "node", "left_semi").select("first_id").distinct()
     known = _sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi"), shingle_words)
-    sets = C.cut(known.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    sets = C.cut(known.dropDuplicates(["node"]).join(nodes.join(wanted, "node", "left_semi").drop("first_id"), "node"))
 
     stars = members.select(F.col("node").alias("a"), F.explode(F.array("c1", "c2")).alias("b"))
-    first = C.cut(candidates(stars))
+    first = C.cut(ordered(stars))
     links = C.cut(confirmed(first, sets))
     comp = components_of(links)
 
     part = C.cut(members.join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root")))
     cross = _across_components(part, sets, percent)
-    second = C.cut(candidates(cross).join(first, ["a", "b"], "left_anti"))
+    second = C.cut(ordered(cross).join(first, ["a", "b"], "left_anti"))
     if not second.isEmpty():
         links = links.union(confirmed(second, sets))
         comp = components_of(links)
