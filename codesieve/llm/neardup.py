@@ -9,7 +9,7 @@ standard errors below the threshold), and is then confirmed on the full sets.
 
 Equal sets are one node from the start, so thousands of exact copies cost one
 row per copy and no pairs.  In a band bucket every member is first paired with
-two centres only; what the confirmed links leave in different components is
+one centre only; what the confirmed links leave in different components is
 paired again: members outside the bucket's largest component against the others,
 and in crowded buckets only pairs that an exact bound on shared shingles lets
 through (see ``_across_components``).  So a bucket of near copies costs rows in
@@ -159,10 +159,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     width = 2 * rows
     keyed = nodes.select("node", "n", F.explode(F.array(*[
         F.xxhash64(F.lit(b), F.substring("regs", b * width + 1, width)) for b in range(bands)])).alias("bucket"))
-    spread = F.xxhash64("node", F.lit(1))
-    shared = keyed.groupBy("bucket").agg(
-        F.count("*").alias("c"), F.min("node").alias("c1"), F.min_by("node", spread).alias("c2")).where("c > 1")
-    members = C.cut(keyed.join(shared, "bucket").select("bucket", "node", "n", "c1", "c2"))
+    shared = keyed.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    members = C.cut(keyed.join(shared, "bucket"))
+    # A bucket's centre: of its members the one that meets most others over all its buckets.
+    met = members.groupBy("node").agg(F.sum("c").alias("met"))
+    centres = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("centre"))
 
     least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / registers) ** 0.5
 
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     known = _sets(docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi"), shingle_words)
     sets = C.cut(known.dropDuplicates(["node"]).join(nodes.join(wanted, "node", "left_semi").drop("first_id"), "node"))
 
-    stars = members.select(F.col("node").alias("a"), F.explode(F.array("c1", "c2")).alias("b"))
+    stars = members.join(centres, "bucket").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     first = C.cut(ordered(stars))
     links = C.cut(confirmed(first, sets))
     comp = components_of(links)
