@@ -3,7 +3,8 @@ word encoded once per worker.
 
 Neither tokenizer family kept here lets a token cross from a non-blank to a blank:
 a text may be cut there and encoded piece by piece.  Pieces repeat, so their
-ids are kept; a new piece of plain Latin letters goes straight to the library's
+ids are kept (the ``KEPT`` newest and those asked for among the ``KEPT`` before
+them: a bound on memory, not on the result); a new piece of plain Latin letters goes straight to the library's
 BPE model (with the byte-to-character table of byte-level BPE), any other
 through its full pipeline.  ``tests/llm/test_tokenizing.py`` holds the result
 against encoding whole texts.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -22,7 +24,7 @@ PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 ODD_BLANK = re.compile(r"[^\S \n]")
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-KEPT_PIECES = 300_000
+KEPT = 200_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -44,32 +46,49 @@ class Encoder(dict):
         self._all.encode_special_tokens = True  # their strings in a text are ordinary text
         self._model, self._normalizer = self._all.model, self._all.normalizer
         self._drops_blanks = bool(getattr(self._model, "end_of_word_suffix", None))
-        self._characters, self._words = _byte_characters(), {}
+        self._characters = _byte_characters()
+        self._old: dict[str, bytes] = {}  # pieces not asked for since the last turn
+        self._words: dict[str, bytes] = {}
+        self._old_words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._all.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
         """Ids of one pre-token (letters with an optional blank, or punctuation)."""
-        got = self._words.get(run)
+        got = self._words.get(run) or self._old_words.pop(run, None)
         if got is None:
-            mapped = run.encode("utf-8").decode("latin-1").translate(self._characters)
-            got = np.array([t.id for t in self._model.tokenize(mapped)], "<u4").tobytes()
-            if len(self._words) >= KEPT_PIECES:
-                self._words.clear()
-            self._words[run] = got
+            if run.isascii() and run.isalpha():
+                mapped = run  # these characters stand for themselves
+            else:
+                mapped = run.encode("utf-8").decode("latin-1").translate(self._characters)
+            got = array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+        if len(self._words) >= KEPT:
+            self._words, self._old_words = {}, self._words
+        self._words[run] = got
         return got
 
-    def __missing__(self, piece: str) -> bytes:
-        plain = PLAIN.fullmatch(piece)
-        word = plain and (self._normalizer.normalize_str(plain[2]) if self._normalizer else plain[2])
-        if not plain or not LETTERS.fullmatch(word):
-            ids = self._whole(piece)
+    def _plain(self, blank: str, word: str, marks: str) -> bytes | None:
+        """Ids of a blank, Latin letters and marks; None if normalizing leaves other characters."""
+        if self._normalizer:
+            word = word.lower() if word.isascii() else self._normalizer.normalize_str(word)
+            if not LETTERS.fullmatch(word):
+                return None
+        if self._drops_blanks:
+            ids = self._run(word)
         else:
-            blank = "" if self._drops_blanks else plain[1]
-            ids = (self._run("\n") + self._run(word) if blank == "\n" else self._run(blank + word))
-            ids += self._run(plain[3]) if plain[3] else b""
-        if len(self) >= KEPT_PIECES:
+            ids = self._run("\n") + self._run(word) if blank == "\n" else self._run(blank + word)
+        return ids + self._run(marks) if marks else ids
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._old.pop(piece, None)
+        if ids is None:
+            plain = PLAIN.fullmatch(piece)
+            ids = self._plain(*plain.groups()) if plain else None
+            if ids is None:
+                ids = self._whole(piece)
+        if len(self) >= KEPT:
+            self._old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
