@@ -14,7 +14,7 @@ A block's width is that of the ``percentile`` smallest value; what needs more
 bits is an exception.  Blocks run across documents, the last one is filled up with its own last id.
 
 Documents are ranged by id, each task writes files of ``segments_per_file``
-segments (about 2 MB each) in ascending order, and Spark's text sink carries the
+segments (about 0.5 MB each) in ascending order, and Spark's text sink carries the
 bytes, so any store that Spark can write will do.  The ``binaryFile`` source reads
 files whole, so their size bounds a reading task's memory; raise it with the
 executors.  A document's start is its place within its file plus the ids in the
@@ -41,7 +41,7 @@ HEADER = struct.Struct("<4sQQIQ")
 BLOCK = struct.Struct("<IBH")
 MAGIC = b"PFR1"
 NULL_ID = -(1 << 63)
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def decode_segment(n: int, n_docs: int, block: int, rest) -> tuple[np.ndarray, n
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, block: int = 256,
-                      percentile: float = 0.9, segments_per_file: int = 4, partitions: int | None = None,
+                      percentile: float = 0.9, segments_per_file: int = 16, partitions: int | None = None,
                       id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text and write the files of folder ``path``."""
     if block % 8 or block > 1 << 16:

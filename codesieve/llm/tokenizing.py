@@ -24,7 +24,8 @@ PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 ODD_BLANK = re.compile(r"[^\S \n]")
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-KEPT = 200_000
+KEPT = 400_000
+KEPT_WORDS = 100_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -63,7 +64,7 @@ class Encoder(dict):
             else:
                 mapped = run.encode("utf-8").decode("latin-1").translate(self._characters)
             got = array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
-        if len(self._words) >= KEPT:
+        if len(self._words) >= KEPT_WORDS:
             self._words, self._old_words = {}, self._words
         self._words[run] = got
         return got
