@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.llm import (ann, common, decontam, licenses, neardup, packing, quality, secrets, sharding, substring,
+from codesieve.llm import (ann, common, decontam, licenses, neardup, packing, quality, secret_scan, sharding, substring,
                            token_files)
 from codesieve.llm.oracles import ORACLES  # noqa: F401
 from codesieve.session import table_path
@@ -34,7 +34,7 @@ def _listed(spans):
 
 @register
 def op1_secret_scan(spark, sf_dir):
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "novel")
     return found.select("doc_id", count("assign"), count("access"), count("hex"),

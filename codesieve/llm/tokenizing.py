@@ -25,7 +25,7 @@ LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 ODD_BLANK = re.compile(r"[^\S \n]")
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 KEPT = 400_000
-KEPT_WORDS = 100_000
+KEPT_WORDS = 400_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 

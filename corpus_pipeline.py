@@ -20,7 +20,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import common, decontam, neardup, packing, quality, secrets
+from codesieve.llm import common, decontam, neardup, packing, quality, secret_scan
 from codesieve.session import ship_package, table_path
 
 
@@ -45,7 +45,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return secrets.redact_secrets(docs)
+    return secret_scan.redact_secrets(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
