@@ -13,12 +13,12 @@ stripe of cells; merged stripes give one bit per cell: "counted twice or more".
 
 Pass 2 groups exactly, by 128 bits of hash over the whole window, the windows
 whose minimizer is over 1 in both rows.  The sketch overestimates, so no
-repeated window is lost.  Tasks first settle repeats among their own windows and send one
-place per distinct window, so a passage that a third of the documents share
+repeated window is lost.  Tasks first settle repeats among their own windows and send
+the first place of each, so a passage that a third of the documents share
 costs one row per task.
 
-The sketch has ``4`` cells per picked place, at most ``max_cells`` (2**29: the
-bits broadcast are 64 MB at most in all).  Beyond some two billion words per run
+The sketch has eight cells per picked place, at most ``max_cells`` (2**29: the
+bits broadcast are 64 MB at most in all).  Beyond some billion words per run
 it fills up and pass 2 groups ever more windows: slower, never wrong.
 
 Edge cases: null, empty and shorter texts have no window and lose nothing.
@@ -133,7 +133,7 @@ def hot_cells(docs: DataFrame, size: int, gram: int, max_cells: int) -> tuple[in
     """The merged sketch: cells per row, and a bit array of shape (ROWS, cells / 8)."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = n_bytes // 6 * 2 // (size - gram + 2) + 1  # about one pick in (span + 1) / 2 words
-    stripes = -(-min(4 * places, max_cells) // (ROWS << STRIPE_BITS))
+    stripes = -(-min(8 * places, max_cells) // (ROWS << STRIPE_BITS))
     cells = stripes << STRIPE_BITS
     bits = np.zeros((ROWS, cells // 8), np.uint8)
     width = (1 << STRIPE_BITS) // 8
@@ -143,22 +143,52 @@ def hot_cells(docs: DataFrame, size: int, gram: int, max_cells: int) -> tuple[in
     return cells, bits
 
 
+RUNS = "pick long, id long, text_key long, at long, back binary, keys binary"
+
+
+def _runs(pick, ids, text_keys, at, back, keys) -> pd.DataFrame:
+    """One row per picked place (a run of windows with one minimizer): how far
+    ``back`` from it each window starts, and the windows' 16-byte keys."""
+    order = np.lexsort((-back, at, text_keys, ids, pick))
+    pick, ids, text_keys, at, back = (x[order] for x in (pick, ids, text_keys, at, back))
+    new = np.ones(len(at), bool)
+    new[1:] = (pick[1:] != pick[:-1]) | (ids[1:] != ids[:-1]) | (text_keys[1:] != text_keys[:-1]) | (at[1:] != at[:-1])
+    head = np.flatnonzero(new)
+    ends = [*head[1:].tolist(), len(at)]
+    raw, far = (keys[order].tobytes() if keys is not None else None), back.astype(np.uint8).tobytes()
+    return pd.DataFrame({
+        "pick": pick[head], "id": ids[head], "text_key": text_keys[head], "at": at[head],
+        "back": [far[x:y] for x, y in zip(head.tolist(), ends, strict=True)],
+        "keys": [raw[16 * x:16 * y] if raw is not None else None for x, y in zip(head.tolist(), ends, strict=True)]})
+
+
+def _again(ids, text_keys, pos, keys) -> np.ndarray:
+    """Which windows start after an equal one (not the same place given twice)."""
+    k1, k2 = keys[:, 0], keys[:, 1]
+    order = np.lexsort((pos, text_keys, ids, k2, k1))
+    k1, k2, i, t, p = k1[order], k2[order], ids[order], text_keys[order], pos[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    head = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+    out = np.empty(len(p), bool)
+    out[order] = (i != i[head]) | (t != t[head]) | (p != p[head])
+    return out
+
+
 def _estimated_repeats(docs: DataFrame, size: int, gram: int, cells: int, bits) -> DataFrame:
-    """Pass 2, per task: windows estimated repeated.  Rows with ``settled``
-    start after an equal window of the same task and need no further look."""
-    def settle(ids, keys, k1, k2, pos):
-        ids, keys = np.repeat(ids, [len(p) for p in pos]), np.repeat(keys, [len(p) for p in pos])
-        k1, k2, pos = np.concatenate(k1), np.concatenate(k2), np.concatenate(pos)
-        order = np.lexsort((pos, keys, ids, k2, k1))
-        k1, k2, ids, keys, pos = k1[order], k2[order], ids[order], keys[order], pos[order]
-        new = np.ones(len(k1), bool)
-        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(k1)), 0))  # the earliest place of each window
-        again = (ids != ids[head]) | (keys != keys[head]) | (pos != pos[head])
-        return pd.DataFrame({"k1": k1.view(np.int64), "k2": k2.view(np.int64), "id": ids, "text_key": keys, "pos": pos, "settled": again})
+    """Pass 2, per task: runs of windows estimated repeated.  Rows without
+    ``keys`` start after an equal window of the same task and are settled."""
+    def settle(ids, text_keys, pick, at, pos, keys):
+        n = [len(p) for p in pos]
+        ids, text_keys = np.repeat(ids, n), np.repeat(text_keys, n)
+        pick, at, pos, keys = (np.concatenate(x) for x in (pick, at, pos, keys))
+        again = _again(ids, text_keys, pos, keys)
+        for own, kept in ((~again, keys), (again, None)):
+            if own.any():
+                yield _runs(pick[own], ids[own], text_keys[own], at[own], (at - pos)[own], kept[own] if kept is not None else None)
 
     def run(batches):
-        hot, held, total = bits.value, ([], [], [], [], []), 0
+        hot, held, total = bits.value, [[] for _ in range(6)], 0
         for b in C.frames(batches):
             for i, key, t in zip(b["id"], b["text_key"], b["text"], strict=True):
                 h = C.word_hashes(_words(t))
@@ -170,59 +200,64 @@ def _estimated_repeats(docs: DataFrame, size: int, gram: int, cells: int, bits)
                     over &= (hot[r][(c >> C.U64(3)).astype(np.int64)] >> (C.U64(7) - (c & C.U64(7))).astype(np.uint8)) & 1 == 1
                 pos = np.flatnonzero(over[best])
                 if len(pos):
-                    for x, v in zip(held, (i, key, C.window_hashes(h, size)[pos], C.window_hashes(h, size, 0x2545F4914F6CDD1D)[pos], pos), strict=True):
+                    keys = np.stack([C.window_hashes(h, size)[pos], C.window_hashes(h, size, 0x2545F4914F6CDD1D)[pos]], axis=1)
+                    for x, v in zip(held, (i, key, g[best[pos]].view(np.int64), best[pos], pos, keys), strict=True):
                         x.append(v)
                     total += len(pos)
             if total >= FLUSH_WINDOWS:
-                yield settle(*held)
-                held, total = ([], [], [], [], []), 0
+                yield from settle(*held)
+                held, total = [[] for _ in range(6)], 0
         if total:
-            yield settle(*held)
+            yield from settle(*held)
 
-    return docs.mapInPandas(run, "k1 long, k2 long, id long, text_key long, pos long, settled boolean")
+    return docs.mapInPandas(run, RUNS)
 
 
-def _repeats(windows: DataFrame) -> DataFrame:
-    """(id, text_key, starts): starts of the windows that occurred earlier.
-    Settled rows go by document, the others to the task of their window."""
+def _repeats(runs: DataFrame) -> DataFrame:
+    """(id, text_key, at, back): the windows that occurred earlier, by picked
+    place.  Equal windows have equal minimizers, so they meet in the minimizer's task."""
     def run(batches):
-        parts = [b for b in C.frames(batches)]
+        parts = list(C.frames(batches))
         if not parts:
             return
         w = pd.concat(parts, ignore_index=True)
-        place = ["k1", "k2", "id", "text_key", "pos"]
-        first = w[~w["settled"]].drop_duplicates(place).sort_values(place)
-        again = first[first.duplicated(["k1", "k2"])]
-        out = pd.concat([w[w["settled"]], again])[["id", "text_key", "pos"]]
-        if len(out):
-            yield out.groupby(["id", "text_key"], as_index=False)["pos"].agg(list).rename(columns={"pos": "starts"})
+        n = w["back"].map(len).to_numpy()
+        spread = lambda c: np.repeat(w[c].to_numpy(), n)
+        back = np.frombuffer(b"".join(w["back"]), np.uint8).astype(np.int64)
+        keys = np.frombuffer(b"".join(w["keys"]), np.uint64).reshape(-1, 2)
+        pick, ids, text_keys, at = (spread(c) for c in ("pick", "id", "text_key", "at"))
+        again = _again(ids, text_keys, at - back, keys)
+        if again.any():
+            yield _runs(pick[again], ids[again], text_keys[again], at[again], back[again], None)
 
-    key = F.when(F.col("settled"), F.xxhash64("id", "text_key")).otherwise(F.col("k1"))
-    width = C.shuffle_width(windows.sparkSession)
-    return windows.repartition(width, key).mapInPandas(run, "id long, text_key long, starts array<long>")
+    columns = ["id", "text_key", "at", "back"]
+    width = C.shuffle_width(runs.sparkSession)
+    open_ = runs.where("keys is not null").repartition(width, "pick").mapInPandas(run, RUNS).select(columns)
+    return runs.where("keys is null").select(columns).union(open_)
 
 
 def deduplicate_windows(docs: DataFrame, size: int = 20, gram: int = 8, max_cells: int = 1 << 29,
                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_words array<string>) per document."""
-    if not 1 <= gram <= size:
-        raise ValueError("1 <= gram <= size")
+    if not 1 <= gram <= size < gram + 256:
+        raise ValueError("1 <= gram <= size < gram + 256")
     spark = docs.sparkSession
     none = -(1 << 63)  # null ids come first
     docs = C.texts(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(none)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), "text")
     cells, bits = hot_cells(docs, size, gram, max_cells)
-    windows = _estimated_repeats(docs, size, gram, cells, spark.sparkContext.broadcast(bits))
-    starts = _repeats(windows).groupBy("id", "text_key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    runs = C.cut(_estimated_repeats(docs, size, gram, cells, spark.sparkContext.broadcast(bits)))
+    found = _repeats(runs).groupBy("id", "text_key").agg(F.collect_list(F.struct("at", "back")).alias("found"))
 
     def run(batches):
         for b in C.frames(batches):
             rows = []
-            for i, t, starts in zip(b["id"], b["text"], b["starts"], strict=True):
+            for i, t, found in zip(b["id"], b["text"], b["found"], strict=True):
                 words = _words(t)
                 gone = np.zeros(len(words) + 1, np.int64)
-                if starts is not None:
-                    s = np.unique(np.asarray(starts))  # an id and text given twice names each start twice
+                if found is not None:
+                    starts = [x["at"] - np.frombuffer(x["back"], np.uint8).astype(np.int64) for x in found]
+                    s = np.unique(np.concatenate(starts))  # an id and text given twice names each start twice
                     np.add.at(gone, s, 1)
                     np.add.at(gone, s + size, -1)
                 keep = np.cumsum(gone[:-1]) == 0
@@ -230,7 +265,7 @@ def deduplicate_windows(docs: DataFrame, size: int = 20, gram: int = 8, max_cell
                 rows.append((None if i == none else i, len(words), len(words) - len(kept), kept))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_words"]).astype({"doc_id": "Int64"})
 
-    return docs.join(starts, ["id", "text_key"], "left").mapInPandas(
+    return docs.join(found, ["id", "text_key"], "left").mapInPandas(
         run, "doc_id long, n_words long, n_removed long, kept_words array<string>")
 
 
