@@ -24,8 +24,8 @@ PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)")
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
 ODD_BLANK = re.compile(r"[^\S \n]")
 PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-KEPT = 400_000
-KEPT_WORDS = 400_000
+KEPT = 250_000
+KEPT_WORDS = 250_000
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
