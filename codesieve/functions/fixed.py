@@ -15,7 +15,7 @@ CODE_START = "---CODE_START---"
 CODE_END = "---CODE_END---"
 ORIGINAL_TAG = "ORIGINAL:\n"
 FIXED_TAG = "FIXED:\n"
-TERMINATION_SIGNAL = "REPORTE GOLEM"
+TERMINATION_SIGNAL = "REPORTE FINAL"
 GO_FENCES = ["```go", "```Go", "```golang"]
 FENCE = "```"
 
@@ -33,7 +33,7 @@ DENYLIST = [
     ("os.Getenv", "lectura de variables de entorno"),
     ("os.Setenv", "modificacion de variables de entorno"),
     ("os.Environ", "lectura de todas las variables de entorno"),
-    ("os.Exit", "terminacion forzada del proceso GOLEM"),
+    ("os.Exit", "terminacion forzada del proceso auditado"),
 ]
 REJECT_MESSAGE = "codigo rechazado por sguridad: uso de %s (%s) no permitido en el sandbox"
 
@@ -104,6 +104,6 @@ MSG_FINAL = ("RESULTADO DE EJECUCIÓN (paso %d):\n%s\n\n"
              "Ya completaste los %d pasos. Ahora DEBES:\n"
              "1. Imprimir cada hallazgo como JSON (un objeto por línea)\n"
              "2. Imprimir exactamente: ---FINDINGS_END---\n"
-             "3. Escribir el REPORTE GOLEM en texto\n"
+             "3. Escribir el REPORTE FINAL en texto\n"
              "NO generes más código Go.")
 MSG_CONTINUE = "RESULTADO DE EJECUCIÓN (paso %d de %d):\n%s\n\nContinúa con el paso %d del análisis."

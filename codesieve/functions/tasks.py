@@ -31,7 +31,7 @@ Usa parser.ParseFile(fset, "input.go", []byte(codeContent), 0) con el código em
 para recorrer las funciones y contar: if, for, range, switch case, &&, ||
 Imprime el nombre de cada función y su complejidad.
 
-Cuando termines los 3 pasos, escribe el REPORTE GOLEM en texto.
+Cuando termines los 3 pasos, escribe el REPORTE FINAL en texto.
 
 ---CODE_START---
 %s
@@ -69,7 +69,7 @@ Imprime cada hallazgo con línea y descripción.
 OBLIGATORIO AL TERMINAR LOS 3 PASOS:
 Primero imprime cada hallazgo como JSON (un objeto por línea).
 Luego imprime EXACTAMENTE esta línea sola: ---FINDINGS_END---
-Luego escribe el REPORTE GOLEM en texto.
+Luego escribe el REPORTE FINAL en texto.
 
 ---CODE_START---
 %s

@@ -61,7 +61,7 @@ def classify_turns(turns: DataFrame, max_steps: int = fixed.DEFAULT_MAX_STEPS,
             .select("run_id", "attempt", "cls", "ok", F.col("sc").cast("bigint").alias("successes_before"),
                     (F.col("sc") + F.col("ok").cast("int")).cast("bigint").alias("successes"),
                     "code", "response", "exec_error", "exit_code", "stdout", "duration_s",
-                    (F.col("attempt") == F.col("end_attempt")).alias("is_end")))
+                    F.coalesce(F.col("attempt") == F.col("end_attempt"), F.lit(False)).alias("is_end")))
 
 
 def classified_view(turns: DataFrame, **kw) -> DataFrame:

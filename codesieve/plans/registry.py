@@ -253,23 +253,39 @@ def q_status(spark, sf_dir):
 
 
 def _events_stream(spark, sf_dir):
+    """The events table as a stream: its files, in a folder or one alone."""
     return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
-            .option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+            .parquet(f"{sf_dir}/events.parquet*"))
 
 
-@register("rate_limit_stream")
+@register("rate_limit_stream", sto.RATE_LIMIT)
 def q_rate_stream(spark, sf_dir):
-    out = streams.run_available_now(streams.rate_limit_stream(_events_stream(spark, sf_dir), limit=3,
-                                                              window_s=86400))
-    return spark.read.parquet(out).drop("_batch")
+    """Op 43 over the events in five files in order of time, each a
+    micro-batch, and a closing row that moves the watermark past the last."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    src, out, ckpt = (streams.scratch_dir(spark, x) for x in ("events", "out", "ckpt"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    if lo is None:
+        return rl.rate_limit(events, limit=3, window_s=86400)
+    step = (hi - lo) // 5 + 1
+    for k in range(5):
+        events.where((at >= lo + k * step) & (at < lo + (k + 1) * step)).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    streams.run_available_now(streams.rate_limit_stream(stream, limit=3, window_s=86400, delay="1 hour"), out=out, ckpt=ckpt)
+    closing = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_micros(F.lit(hi + 7_200_000_000))
+                                    .cast("timestamp_ntz").alias("ts"), F.lit(None).cast("bigint").alias("user_id"))
+    closing.write.mode("append").parquet(src)
+    streams.run_available_now(streams.rate_limit_stream(stream, limit=3, window_s=86400, delay="1 hour"), out=out, ckpt=ckpt)
+    return spark.read.parquet(out).where("event_id >= 0").drop("_batch")
 
 
 @register("decode_frames_stream")
 def q_decode_stream(spark, sf_dir):
-    ev = _events_stream(spark, sf_dir)
-    ev.createOrReplaceTempView("events")
     from codesieve.sources.fixtures import SSE_CHUNKS_SQL
-    out = streams.run_available_now(streams.decode_frames_stream(spark.sql(SSE_CHUNKS_SQL)))
+    _events_stream(spark, sf_dir).createOrReplaceTempView("events_as_stream")
+    chunks = spark.sql(SSE_CHUNKS_SQL.replace("FROM events", "FROM events_as_stream"))
+    out = streams.run_available_now(streams.decode_frames_stream(chunks))
     return spark.read.parquet(out).drop("_batch")
 
 

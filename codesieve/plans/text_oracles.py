@@ -156,8 +156,6 @@ ct AS (SELECT * FROM t5 WHERE end_attempt IS NULL OR attempt <= end_attempt)"""
 TURNS_CTE = cte(view("agent_turns"), TURNS)
 CLASSIFY = TURNS_CTE + """SELECT run_id, attempt, cls, ok, CAST(sc AS BIGINT) AS successes_before,
   CAST(sc + CAST(ok AS INT) AS BIGINT) AS successes, coalesce(attempt = end_attempt, false) AS is_end FROM ct"""
-# Spark's `attempt = end_attempt` is null when the run has no end; keep the same
-CLASSIFY = CLASSIFY.replace("coalesce(attempt = end_attempt, false)", "attempt = end_attempt")
 OUTCOMES = TURNS_CTE + """SELECT run_id,
   CASE l.cls WHEN 'terminal' THEN 'done' WHEN 'llm_error' THEN 'llm_error' WHEN 'exec_error_fatal' THEN 'executor_failed'
     WHEN 'failed_fatal' THEN 'code_failed' ELSE CASE WHEN attempts >= 10 THEN 'exhausted' ELSE 'incomplete' END END AS outcome,

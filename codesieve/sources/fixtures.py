@@ -37,8 +37,8 @@ SELECT event_id - event_id % 8 AS run_id, CAST(event_id % 8 + 1 AS INT) AS attem
   CASE event_type
     WHEN 'signup'   THEN 'sin bloque de codigo'
     WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0
-        THEN '{"line":' || CAST(user_id AS VARCHAR(20)) || ',"severity":"MEDIO","type":"UNSANITIZED_INPUT"}' || chr(10) || '---FINDINGS_END---' || chr(10) || 'REPORTE GOLEM'
-        ELSE 'REPORTE GOLEM' || chr(10) || 'Resumen en texto con mas de cincuenta bytes, sin codigo alguno.' END
+        THEN '{"line":' || CAST(user_id AS VARCHAR(20)) || ',"severity":"MEDIO","type":"UNSANITIZED_INPUT"}' || chr(10) || '---FINDINGS_END---' || chr(10) || 'REPORTE FINAL'
+        ELSE 'REPORTE FINAL' || chr(10) || 'Resumen en texto con mas de cincuenta bytes, sin codigo alguno.' END
     WHEN 'error'    THEN 'Paso' || chr(10) || '```go' || chr(10) || 'func main() {}' || chr(10) || '```'
     ELSE 'Paso' || chr(10) || '```go' || chr(10) || 'package main' || chr(10) || 'func main() {}' || chr(10) || '```' END AS response,
   CAST(NULL AS VARCHAR(20)) AS exec_error,

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from codesieve.functions import fixed
 
-OUT_SCHEMA = "event_id bigint, key bigint, allowed boolean, window_count bigint, window_no bigint"
+_NO_KEY = object()
+OUT_SCHEMA = "event_id bigint, key string, allowed boolean, window_count bigint, window_no bigint"
 
 
 def chain(ts: np.ndarray, window_ns: int, limit: int, reset: int | None, count: int, win: int):
@@ -52,13 +53,14 @@ def _limiter(limit: int, window_s: float):
     window_ns = int(window_s * 1e9)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, reset, count, win = None, None, 0, 0
+        cur, reset, count, win = _NO_KEY, None, 0, 0
         for b in batches:
             if b.empty:
                 continue
-            keys = b["k"].to_numpy()
+            keys = b["k"].to_numpy(dtype=object)
             ts = b["t"].to_numpy().astype("datetime64[ns]").astype(np.int64)
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            codes = pd.factorize(keys, use_na_sentinel=False)[0]
+            cuts = np.flatnonzero(codes[1:] != codes[:-1]) + 1
             starts = np.concatenate(([0], cuts))
             ends = np.concatenate((cuts, [len(b)]))
             parts = []
@@ -79,8 +81,11 @@ def rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", id_: str
                limit: int = fixed.RATE_LIMIT, window_s: float = fixed.RATE_WINDOW_S,
                partitions: int | None = None) -> DataFrame:
     """Op 42 (batch): allowed / denied per event, the count in its window and
-    the window's number for its key.  Order within a key: (ts, id)."""
-    src = events.select(F.col(key).cast("bigint").alias("k"), F.col(ts).alias("t"),
+    the window's number for its key, which keeps its type (a null key is a key).
+    Order within a key: (ts, id)."""
+    kind = events.schema[key].dataType.simpleString()
+    src = events.select(F.col(key).cast("string").alias("k"), F.col(ts).alias("t"),
                         F.col(id_).cast("bigint").alias("i"))
     part = src.repartition(partitions, "k") if partitions else src.repartition("k")
-    return part.sortWithinPartitions("k", "t", "i").mapInPandas(_limiter(limit, window_s), OUT_SCHEMA)
+    return part.sortWithinPartitions("k", "t", "i").mapInPandas(_limiter(limit, window_s), OUT_SCHEMA) \
+        .withColumn("key", F.col("key").cast(kind))

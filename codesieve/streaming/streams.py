@@ -1,9 +1,10 @@
 """Structured Streaming operators: ops 43, 44 and 45, and op 5.
 
 * op 43 ``rate_limit_stream``: op 42 with state per key.  Rows are held in
-  state until the watermark passes them and then replayed in (ts, id)
+  state until the watermark reaches them and then replayed in (ts, id)
   order, so arrival order inside the delay cannot change the answer.  Rows
-  behind the watermark are dropped by Spark before the function runs.
+  behind the watermark are dropped by Spark before the function runs.  A
+  key's window and its number stay in state (a few numbers per key).
 * op 45 ``decode_frames_stream``: op 13 with the unfinished tail as state
   per stream; chunks are applied in ``chunk_no`` order and gaps wait.
   JSON checks run in the JVM after the stateful step, exactly as in op 13.
@@ -13,7 +14,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -29,39 +29,27 @@ from codesieve.session import ensure_checkpoint_dir
 from codesieve.streaming.rate_limit import chain
 
 # ---- op 43 ------------------------------------------------------------------------
-RL_OUT = "event_id long, key long, allowed boolean, window_count long, window_no long"
-RL_STATE = "reset_ns long, count long, win long, held string"
+RL_STATE = "reset_ns long, count long, win long, held binary"
 
 
 def _rl_func(limit: int, window_s: float):
     window_ns = int(window_s * 1e9)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            reset_ns, count, win, held = state.get
-            held = json.loads(held)
-        else:
-            reset_ns, count, win, held = None, 0, 0, []
-        for p in pdfs:
-            held.extend(zip(p["t_ns"].tolist(), p["i"].tolist()))
-        # the watermark has millisecond precision: a row is released once its
-        # millisecond is at or behind it
-        wm_ns = (state.getCurrentWatermarkMs() + 1) * 1_000_000
-        held.sort()
-        ready = [h for h in held if h[0] < wm_ns]
-        held = [h for h in held if h[0] >= wm_ns]
-        if ready:
-            ts = np.array([h[0] for h in ready], dtype=np.int64)
-            a, c, w, reset_ns, count, win = chain(ts, window_ns, limit,
+        reset_ns, count, win, raw = state.get if state.exists else (None, 0, 0, b"")
+        held = [np.frombuffer(raw, np.int64).reshape(-1, 2)]  # (time, id) of rows ahead of the watermark
+        held += [p[["t_ns", "i"]].to_numpy(np.int64) for p in pdfs]
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        n = int(np.searchsorted(rows[:, 0], state.getCurrentWatermarkMs() * 1_000_000, side="right"))
+        if n:
+            a, c, w, reset_ns, count, win = chain(rows[:n, 0], window_ns, limit,
                                                   None if reset_ns is None else int(reset_ns), int(count), int(win))
-            yield pd.DataFrame({"event_id": [h[1] for h in ready], "key": [key[0]] * len(ready),
+            yield pd.DataFrame({"event_id": rows[:n, 1], "key": [key[0]] * n,
                                 "allowed": a, "window_count": c, "window_no": w})
-        if not held and (reset_ns is None or reset_ns < wm_ns):
-            state.remove()
-        else:
-            state.update((reset_ns, int(count), int(win), json.dumps(held)))
-            nxt = (held[0][0] // 1_000_000) + 1 if held else (reset_ns // 1_000_000) + 1
-            state.setTimeoutTimestamp(max(nxt, state.getCurrentWatermarkMs() + 1))
+        state.update((reset_ns, int(count), int(win), rows[n:].tobytes()))
+        if n < len(rows):
+            state.setTimeoutTimestamp(max(int(rows[n, 0]) // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return fn
 
@@ -70,13 +58,16 @@ def rate_limit_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", i
                       limit: int = fixed.RATE_LIMIT, window_s: float = fixed.RATE_WINDOW_S,
                       delay: str = "0 seconds") -> DataFrame:
     """Op 43 on a streaming DataFrame (``ts`` may be TIMESTAMP_NTZ: it is
-    cast to TIMESTAMP with the session zone UTC for the watermark)."""
-    s = (events.select(F.col(key).cast("long").alias("k"), F.col(ts).cast("timestamp").alias("et"),
-                       F.col(id_).cast("long").alias("i"))
+    cast to TIMESTAMP with the session zone UTC for the watermark).  The key
+    keeps its type.  A row comes out once the watermark has reached it; rows
+    ahead of the last watermark stay in state until a later (closing) row moves it."""
+    kind = events.schema[key].dataType.simpleString()
+    s = (events.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("et"), F.col(id_).cast("long").alias("i"))
          .withColumn("t_ns", (F.unix_micros("et") * 1000).cast("long"))
          .withWatermark("et", delay))
-    return s.groupBy("k").applyInPandasWithState(_rl_func(limit, window_s), RL_OUT, RL_STATE, "append",
-                                                  GroupStateTimeout.EventTimeTimeout)
+    out = f"event_id long, key {kind}, allowed boolean, window_count long, window_no long"
+    return s.groupBy("k").applyInPandasWithState(_rl_func(limit, window_s), out, RL_STATE, "append",
+                                                 GroupStateTimeout.EventTimeTimeout)
 
 
 # ---- op 45 ------------------------------------------------------------------------
@@ -168,16 +159,16 @@ def summary_view(events: DataFrame, mode: str = "summary") -> DataFrame:
 def scratch_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under the shared checkpoint dir named by the session."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base.replace("file:", ""), f"{what}-{uuid.uuid4().hex[:12]}")
+    return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
-def run_available_now(stream: DataFrame, mode: str = "append") -> str:
+def run_available_now(stream: DataFrame, mode: str = "append", out: str | None = None, ckpt: str | None = None) -> str:
     """Drain a streaming DataFrame with ``availableNow`` into parquet under the
     checkpoint dir (every micro-batch appended with its batch id); return
-    the output path."""
+    the output path.  Given ``out`` and ``ckpt`` of an earlier run, go on from there."""
     spark = stream.sparkSession
-    out = scratch_dir(spark, "out")
-    ckpt = scratch_dir(spark, "ckpt")
+    out = out or scratch_dir(spark, "out")
+    ckpt = ckpt or scratch_dir(spark, "ckpt")
 
     def sink(df: DataFrame, batch_id: int) -> None:
         df.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)

@@ -62,3 +62,24 @@ def test_run_status_stream_equals_batch(spark):
     batch = {tuple(r) for r in q["run_status"](spark, SF_SMALL).collect()}
     stream = {tuple(r) for r in q["run_status_stream"](spark, SF_SMALL).collect()}
     assert stream == batch
+
+
+def test_rate_limit_stream_over_many_batches(spark, tmp_path):
+    """Five files out of order within the delay, idle gaps longer than the
+    window, rows of one millisecond in two files, then a closing row."""
+    times = [0, 1.0001, 1.0002, 1.0003, 90, 61, 200.5, 200.5, 150, 400.0004, 400.0001, 320, 500, 499, 900]
+    rows = [(i, f"10.0.0.{i % 2}", 1e6 + t) for i, t in enumerate(times)]
+    make = lambda part: spark.createDataFrame(part, "event_id bigint, ip string, t double").select(
+        "event_id", "ip", F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts")).coalesce(1)
+    batch = rl.rate_limit(make(rows), key="ip", limit=2, window_s=60).collect()
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    for k in range(0, 15, 3):
+        make(rows[k:k + 3]).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(make(rows).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    run = lambda: streams.run_available_now(streams.rate_limit_stream(
+        stream, key="ip", limit=2, window_s=60, delay="200 seconds"), out=out, ckpt=ckpt)
+    run()
+    make([(-1, "closing", 1e6 + 5000)]).write.mode("append").parquet(src)
+    run()
+    got = spark.read.parquet(out).where("event_id >= 0").drop("_batch").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
