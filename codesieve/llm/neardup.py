@@ -84,8 +84,8 @@ def signatures(docs: DataFrame, k: int, registers: int) -> DataFrame:
                 s = C.shingle_set(C.ascii_words(t, True), k)
                 rows.append((i, len(s), C.digest64(s.tobytes()) if len(s) else None,
                              registers_of(s, registers).tobytes() if len(s) else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "regs"])
-            yield out.astype({"doc_id": "Int64", "node": "Int64"})
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "node", "regs"], dtype=object)  # else nulls make floats
+            yield out.astype({"doc_id": "Int64", "n_shingles": "int64", "node": "Int64"})
 
     return docs.mapInPandas(run, SIGNED)
 
