@@ -40,7 +40,7 @@ from codesieve.llm import common as C
 
 ROWS = 2
 STRIPE_BITS = 20
-FLUSH_WINDOWS = 1 << 20
+FLUSH_WINDOWS = 1 << 18
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -221,6 +221,12 @@ def _repeats(runs: DataFrame) -> DataFrame:
         if not parts:
             return
         w = pd.concat(parts, ignore_index=True)
+        settled = w["keys"].isna()
+        if settled.any():
+            yield w[settled]
+        w = w[~settled]
+        if not len(w):
+            return
         n = w["back"].map(len).to_numpy()
         spread = lambda c: np.repeat(w[c].to_numpy(), n)
         back = np.frombuffer(b"".join(w["back"]), np.uint8).astype(np.int64)
@@ -230,10 +236,8 @@ def _repeats(runs: DataFrame) -> DataFrame:
         if again.any():
             yield _runs(pick[again], ids[again], text_keys[again], at[again], back[again], None)
 
-    columns = ["id", "text_key", "at", "back"]
-    width = C.shuffle_width(runs.sparkSession)
-    open_ = runs.where("keys is not null").repartition(width, "pick").mapInPandas(run, RUNS).select(columns)
-    return runs.where("keys is null").select(columns).union(open_)
+    met = runs.repartition(C.shuffle_width(runs.sparkSession), "pick").mapInPandas(run, RUNS)
+    return met.select("id", "text_key", "at", "back")
 
 
 def deduplicate_windows(docs: DataFrame, size: int = 20, gram: int = 8, max_cells: int = 1 << 29,
@@ -246,7 +250,7 @@ def deduplicate_windows(docs: DataFrame, size: int = 20, gram: int = 8, max_cell
     docs = C.texts(docs, id_col, text_col).select(
         F.coalesce("doc_id", F.lit(none)).alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), "text")
     cells, bits = hot_cells(docs, size, gram, max_cells)
-    runs = C.cut(_estimated_repeats(docs, size, gram, cells, spark.sparkContext.broadcast(bits)))
+    runs = _estimated_repeats(docs, size, gram, cells, spark.sparkContext.broadcast(bits))
     found = _repeats(runs).groupBy("id", "text_key").agg(F.collect_list(F.struct("at", "back")).alias("found"))
 
     def run(batches):
