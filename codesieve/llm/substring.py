@@ -236,7 +236,8 @@ def _repeats(runs: DataFrame) -> DataFrame:
         if again.any():
             yield _runs(pick[again], ids[again], text_keys[again], at[again], back[again], None)
 
-    met = runs.repartition(C.shuffle_width(runs.sparkSession), "pick").mapInPandas(run, RUNS)
+    to = F.when(F.col("keys").isNull(), F.xxhash64("id", "text_key")).otherwise(F.col("pick"))  # settled rows only pass
+    met = runs.repartition(C.shuffle_width(runs.sparkSession), to).mapInPandas(run, RUNS)
     return met.select("id", "text_key", "at", "back")
 
 
