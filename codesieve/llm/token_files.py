@@ -61,8 +61,9 @@ def encode_blocks(ids: np.ndarray, block: int, percentile: float) -> list[bytes]
     out: list[bytes] = [b""] * len(blocks)
     for w in np.unique(widths):
         own = np.flatnonzero(widths == w)
-        bits = (rest[own, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        raw = rest[own].astype("<u4").view(np.uint8).reshape(len(own), block, 4)[:, :, :-(-w // 8)]
+        bits = np.unpackbits(raw, axis=2, count=int(w), bitorder="little")  # the lowest w bits of each value
+        packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
         over = (rest[own].astype(np.uint64) >> np.uint64(w)) != 0
         for j, b in enumerate(own):
             where = np.flatnonzero(over[j])
@@ -79,8 +80,11 @@ def decode_blocks(body: np.ndarray, starts: np.ndarray, n: int, block: int) -> n
         own = np.flatnonzero(widths == w)
         size = block * w // 8
         raw = body[starts[own, None] + BLOCK.size + np.arange(size)]
-        bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), block, w) if w else np.zeros((len(own), block, 0), np.uint8)
-        out[own] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+        values = np.zeros((len(own), block, 4), np.uint8)
+        if w:
+            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), block, w)
+            values[:, :, :-(-w // 8)] = np.packbits(bits, axis=2, bitorder="little")
+        out[own] = values.view("<u4").reshape(len(own), block)
     for b, (low, w, n_over) in enumerate(heads):
         if n_over:
             at = int(starts[b]) + BLOCK.size + block * w // 8
