@@ -20,6 +20,18 @@ def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body) -> Column:
+    """``body(v)`` where ``v`` stands for ``value`` computed once per row.  A
+    lambda variable is not expanded in place as a named expression would be."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def rest(c: Column | str, start: Column | int) -> Column:
+    """The text from the 1-based place ``start`` to its end."""
+    c = col_(c)
+    return F.substring(c, F.lit(start) if isinstance(start, int) else start, F.greatest(F.length(c), F.lit(1)))
+
+
 def go_trim(c: Column | str) -> Column:
     """Trim Unicode white space at both ends."""
     return F.regexp_replace(col_(c), TRIM_RE, "")
@@ -53,7 +65,7 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
     return (F.when(F.length(old) == 0, F.concat(new, text))
             .when(pos == 0, text)
             .otherwise(F.concat(F.substring(text, F.lit(1), pos - 1), new,
-                                F.substring(text, pos + F.length(old), F.lit(1 << 30)))))
+                                rest(text, pos + F.length(old)))))
 
 
 def count_literal(text: Column, sub: Column) -> Column:

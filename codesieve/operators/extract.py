@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 
 from codesieve.functions import fixed
 from codesieve.functions.jsonline import json_value_ok, parse_objects
-from codesieve.functions.text import col_, go_rtrim, go_trim, regex_quote
+from codesieve.functions.text import bind, col_, go_rtrim, go_trim, regex_quote, rest
 from codesieve.operators.scans import FINDING_COLUMNS
 
-BIG = 1 << 30
-
 
 # ---- op 8 -----------------------------------------------------------------
 def _locate(sub: str, text: Column, start: Column) -> Column:
@@ -46,7 +44,7 @@ def extract_code(text: Column | str) -> Column:
     body_start = _after_marker_line(t, at + 3)
     end = _locate(fixed.FENCE, t, body_start)
     any_block = (F.when(at == 0, F.lit(""))
-                 .when(end == 0, go_trim(F.substring(t, body_start, BIG)))
+                 .when(end == 0, go_trim(rest(t, body_start)))
                  .otherwise(go_trim(F.substring(t, body_start, end - body_start))))
     return F.coalesce(result, any_block)
 
@@ -100,7 +98,7 @@ def parse_patches(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
     o_start = o + len(fixed.ORIGINAL_TAG)
     good = (o > 0) & (f > 0) & (f >= o_start)
     original = F.when(good, go_trim(F.substring(body, o_start, f - o_start)))
-    fixed_ = F.when(good, go_trim(F.substring(body, f + len(fixed.FIXED_TAG), BIG)))
+    fixed_ = F.when(good, go_trim(rest(body, f + len(fixed.FIXED_TAG))))
     return (ex.where(end > 0)
             .select(*keys, "seq", F.substring(b, F.lit(1), end - 1).alias("body"))
             .select(*keys, "seq", original.alias("original"), fixed_.alias("fixed"))
@@ -119,7 +117,7 @@ def events_of_frames(df: DataFrame, frames: str, keys: list[str]) -> DataFrame:
     """``data: `` lines of each frame parsed as JSON; bad ones skipped."""
     fr = df.select(*keys, F.posexplode(frames).alias("frame_no", "frame"))
     ln = fr.select(*keys, "frame_no", F.posexplode(F.split("frame", "\n", -1)).alias("line_no", "line"))
-    data = F.substring(F.col("line"), 7, BIG)
+    data = rest(F.col("line"), 7)
     return (ln.where(F.col("line").startswith("data: ") & json_value_ok(data))
             .select(*keys, F.col("frame_no").cast("bigint").alias("frame_no"),
                     F.col("line_no").cast("bigint").alias("line_no"),
@@ -141,41 +139,44 @@ def decode_frames(chunks: DataFrame, key: str = "stream_id", no: str = "chunk_no
 
 
 # ---- op 14 ------------------------------------------------------------------
-def fence_blocks(lines: Column) -> Column:
-    """array<struct<open, close>> of fenced blocks (1-based line numbers).
-    A block opens at a line starting with ``` and closes at the next line
-    that is exactly ``` after a right trim; an unclosed one runs to the end.
-    The fold runs only over the fence-like lines, not all lines."""
-    n = F.size(lines)
-    cand = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(lines, i).startswith(fixed.FENCE))
-    iv_type = "array<struct<open:int,close:int>>"
-    init = F.struct(F.lit(False).alias("inc"), F.lit(0).alias("open"), F.array().cast(iv_type).alias("iv"))
-
-    def step(acc: Column, i: Column) -> Column:
-        closes = go_rtrim(F.element_at(lines, i)) == fixed.FENCE
-        return (F.when(~acc["inc"], F.struct(F.lit(True).alias("inc"), i.alias("open"), acc["iv"].alias("iv")))
-                .when(closes, F.struct(F.lit(False).alias("inc"), F.lit(0).alias("open"),
-                                       F.concat(acc["iv"], F.array(F.struct(acc["open"].alias("open"),
-                                                                            i.alias("close")))).alias("iv")))
-                .otherwise(acc))
-
-    st = F.aggregate(cand, init, step)
-    return F.when(st["inc"], F.concat(st["iv"], F.array(F.struct(st["open"].alias("open"),
-                                                                   (n + 1).alias("close"))))).otherwise(st["iv"])
+def fence_marks(lines: Column) -> Column:
+    """array<struct<i, opens, lang>>: the lines that open or close a block, with
+    the language that an opening one names.  A block opens at a line starting with ``` and closes at the next line that
+    is exactly ``` after a right trim; an unclosed one runs to the end.  Only
+    the fence-like lines are folded."""
+    cand = F.array_compact(F.transform(lines, lambda line, i: F.when(line.startswith(fixed.FENCE), F.struct(
+        (i + 1).alias("i"), (go_rtrim(line) == fixed.FENCE).alias("bare"), go_trim(rest(line, 4)).alias("lang")))))
+    marks_t = "array<struct<i:int,opens:boolean,lang:string>>"
+    init = F.struct(F.lit(False).alias("inc"), F.array().cast(marks_t).alias("marks"))
+
+    def step(acc: Column, c: Column) -> Column:
+        mark = F.struct(c["i"].alias("i"), (~acc["inc"]).alias("opens"), c["lang"].alias("lang"))
+        return F.when(acc["inc"] & ~c["bare"], acc).otherwise(F.struct(
+            (~acc["inc"]).alias("inc"), F.concat(acc["marks"], F.array(mark)).alias("marks")))
+
+    return F.aggregate(cand, init, step)["marks"]
 
 
 def report_lines(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
     """Op 14: each report line labelled code / hr / summary / h3 / h4 /
     finding_critical / finding_medium / finding_low / paragraph; blank lines
-    outside code and the fence lines themselves give no row."""
-    lines = F.split(F.col(report), "\n", -1)
-    base = df.select(*keys, lines.alias("ls"), fence_blocks(lines).alias("iv"))
-    ex = base.select(*keys, "iv", "ls", F.posexplode("ls").alias("pos", "raw"))
-    i = F.col("pos") + 1
-    block = F.get(F.filter("iv", lambda b: (b["open"] <= i) & (i <= b["close"])), 0)
-    raw, trimmed = F.col("raw"), go_trim(F.col("raw"))
-    in_code = block.isNotNull() & (block["open"] < i) & (i < block["close"])
-    on_fence = block.isNotNull() & ((block["open"] == i) | (block["close"] == i))
+    outside code and the fence lines themselves give no row.
+
+    The report is cut into the stretches between its fence lines; each stretch
+    is one row with its own lines, which are then exploded."""
+    def stretches(lines: Column, marks: Column) -> Column:
+        ends = F.concat(F.transform(marks, lambda m: m["i"]), F.array(F.size(lines) + 1))
+        return F.transform(ends, lambda e, k: bind(
+            F.coalesce(F.get(marks, k - 1)["i"], F.lit(0)), lambda s: F.struct(
+                s.alias("from"), F.coalesce(F.get(marks, k - 1)["opens"], F.lit(False)).alias("in_code"),
+                F.get(marks, k - 1)["lang"].alias("lang"), F.slice(lines, s + 1, e - s - 1).alias("ls"))))
+
+    cut = bind(F.split(F.col(report), "\n", -1), lambda lines: bind(
+        fence_marks(lines), lambda marks: stretches(lines, marks)))
+    ex = (df.select(*keys, F.explode(cut).alias("st"))
+          .select(*keys, F.col("st.from").alias("from"), F.col("st.in_code").alias("in_code"),
+                  F.col("st.lang").alias("lang"), F.posexplode("st.ls").alias("pos", "raw")))
+    in_code, raw, trimmed = F.col("in_code"), F.col("raw"), go_trim(F.col("raw"))
     kind = (F.when(in_code, F.lit("code"))
             .when(trimmed == "", F.lit(None))
             .when(trimmed.rlike(r"^-{3,}$"), F.lit("hr"))
@@ -186,11 +187,10 @@ def report_lines(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
             .when(raw.startswith("🟡"), F.lit("finding_medium"))
             .when(raw.startswith("🟢"), F.lit("finding_low"))
             .otherwise(F.lit("paragraph")))
-    lang = F.when(in_code, go_trim(F.substring(F.element_at(F.col("ls"), block["open"]), 4, BIG)))
-    text = (F.when(raw.startswith("### ") & ~in_code, F.substring(raw, 5, BIG))
-            .when(raw.startswith("## ") & ~in_code, F.substring(raw, 4, BIG)).otherwise(raw))
-    return (ex.where(~on_fence).select(*keys, i.cast("bigint").alias("line_no"), kind.alias("kind"),
-                                       lang.alias("lang"), text.alias("text"))
+    text = (F.when(raw.startswith("### ") & ~in_code, rest(raw, 5))
+            .when(raw.startswith("## ") & ~in_code, rest(raw, 4)).otherwise(raw))
+    return (ex.select(*keys, (F.col("from") + F.col("pos") + 1).cast("bigint").alias("line_no"), kind.alias("kind"),
+                      F.when(in_code, F.col("lang")).alias("lang"), text.alias("text"))
             .where(F.col("kind").isNotNull()))
 
 
@@ -204,19 +204,22 @@ FIX_LINE = r"^\s+Fix:\s*(.*?)\s*$"
 def report_findings(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
     """Op 15: report-format lines back to rows; an indented ``Fix:`` line is
     bound to the nearest finding line above it (row-local, no window)."""
-    df = df.select(*keys, F.split(F.col(report), "\n", -1).alias("ls"))
-    lines = F.col("ls")
-    n = F.size(lines)
-    heads = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(lines, i).rlike(FINDING_LINE)
-                     | F.element_at(lines, i).rlike(COMPLEXITY_LINE) | F.element_at(lines, i).rlike(OK_LINE))
-    fixes = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(lines, i).rlike(FIX_LINE))
-    base = (df.select(*keys, "ls", heads.alias("hs"), fixes.alias("fx"))
-            .select(*keys, "ls", "hs", "fx", F.explode("hs").alias("i")))
-    i, ls = F.col("i"), F.col("ls")
-    line = F.element_at(ls, i)
-    next_head = F.coalesce(F.get(F.filter("hs", lambda j: j > i), 0), n + 1)
-    fix_at = F.get(F.filter("fx", lambda j: (j > i) & (j < next_head)), 0)
-    fix = F.when(fix_at.isNotNull(), F.regexp_extract(F.element_at(ls, fix_at), FIX_LINE, 1))
+    marked = lambda line: (F.when(line.rlike(FINDING_LINE) | line.rlike(COMPLEXITY_LINE)
+                                  | line.rlike(OK_LINE), F.lit("head"))
+                           .when(line.rlike(FIX_LINE), F.lit("fix")))
+    items = bind(F.split(F.col(report), "\n", -1), lambda lines: F.filter(
+        F.transform(lines, lambda line, i: F.struct((i + 1).alias("i"), marked(line).alias("what"), line.alias("line"))),
+        lambda x: x["what"].isNotNull()))
+
+    def heads(found: Column) -> Column:  # the first fix line below a head is the next item, or none
+        rows = F.transform(found, lambda x, k: F.struct(
+            x["i"].alias("i"), x["what"].alias("what"), x["line"].alias("line"),
+            F.when(F.get(found, k + 1)["what"] == "fix", F.get(found, k + 1)["line"]).alias("fix")))
+        return F.filter(rows, lambda x: x["what"] == "head")
+
+    base = df.select(*keys, F.inline(bind(items, heads)))
+    i, line = F.col("i"), F.col("line")
+    fix = F.when(F.col("fix").isNotNull(), F.regexp_extract("fix", FIX_LINE, 1))
     kind = (F.when(line.rlike(FINDING_LINE), F.lit("finding"))
             .when(line.rlike(COMPLEXITY_LINE), F.lit("complexity")).otherwise(F.lit("ok")))
     sev = F.when(kind == "finding", F.regexp_extract(line, FINDING_LINE, 2))

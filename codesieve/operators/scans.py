@@ -3,8 +3,8 @@
 All scans read the masked texts of op 16 (``code_nc``, ``code_ns``) so that
 comments and literal bodies never match.  Per-file work is row-local: lines
 are exploded inside the row's partition and function spans are computed with
-array expressions, so no scan needs a shuffle to see a whole file.  Only the
-taint join (op 20) shuffles, and only the few definition and sink lines.
+array expressions, so no scan needs a shuffle to see a whole file.  Arrays that
+a lambda reads (lines, starts, tokens) are bound once per row with ``bind``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions import fixed
-from codesieve.functions.text import go_trim
+from codesieve.functions.text import bind, go_trim, rest
 from codesieve.operators.mask import source_lines
 
 # ---- finding rows -------------------------------------------------------------
@@ -60,16 +60,16 @@ def sql_concat_flag(nc: Column, ns: Column) -> Column:
     holds an SQL word.  Tokens of the comment-free line are checked with their
     neighbours: a literal counts when the code before it ends in a single
     ``+`` or the code after it starts with one (``++`` and ``+=`` excluded)."""
-    toks = F.regexp_extract_all(nc, F.lit(_LINE_TOKEN), 0)
-
-    def hit(t: Column, i: Column) -> Column:
-        prev_, next_ = F.get(toks, i - 1), F.get(toks, i + 1)
-        is_kw_lit = t.rlike(r'^["`]') & t.rlike(_SQL_WORD)
-        return is_kw_lit & (F.coalesce(prev_.rlike(r"(?:^|[^+])\+\s*$"), F.lit(False))
-                            | F.coalesce(next_.rlike(r"^\s*\+(?![+=])"), F.lit(False)))
+    def hits(toks: Column) -> Column:
+        def hit(t: Column, i: Column) -> Column:
+            prev_, next_ = F.get(toks, i - 1), F.get(toks, i + 1)
+            is_kw_lit = t.rlike(r'^["`]') & t.rlike(_SQL_WORD)
+            return is_kw_lit & (F.coalesce(prev_.rlike(r"(?:^|[^+])\+\s*$"), F.lit(False))
+                                | F.coalesce(next_.rlike(r"^\s*\+(?![+=])"), F.lit(False)))
+        return F.exists(F.transform(toks, hit), lambda x: x)
 
     candidate = ns.contains("+") & ns.rlike(r'["`]')
-    return candidate & F.exists(F.transform(toks, hit), lambda b: b)
+    return candidate & bind(F.regexp_extract_all(nc, F.lit(_LINE_TOKEN), 0), hits)
 
 
 def sql_concat_line(raw: Column, nc: Column, ns: Column, line_no: Column) -> Column:
@@ -99,34 +99,28 @@ STRING_LIT_MASKED = r'^"\s*"$|^`\s*`?$'
 ANY_LIT_MASKED = STRING_LIT_MASKED + r"|^'\s*'$|^\.?[0-9][\w.]*(?:[eEpP][+-]?\w+)?$"
 
 
-def assignment_parts(nc: Column, ns: Column) -> Column:
-    """Parse an assignment or var/const line into (names, values).
-
-    The pattern runs on the masked line (literal bodies are blank, so an
-    ``=`` or ``,`` inside a string cannot confuse it); value text is cut from
-    the comment-free line at the same offsets.  Commas inside brackets are
-    neutralised (three nesting levels) before the value list is split."""
-    is_decl = ns.rlike(ASSIGN_DECL)
-
-    def g(i: int) -> Column:
-        return F.when(is_decl, F.regexp_extract(ns, ASSIGN_DECL, i)) \
-            .otherwise(F.regexp_extract(ns, ASSIGN_PLAIN, i))
-
-    names = F.split(g(2), r"\s*,\s*")
-    off = F.length(g(1)) + F.length(g(2)) + F.length(g(3))
-    rhs_ns = g(4)
-    rhs_nc = F.substring(nc, off + 1, 1 << 30)
-    flat = rhs_ns
-    for _ in range(3):
-        flat = F.regexp_replace(flat, r",(?=[^()\[\]{}]*[)\]}])", ";")
-        flat = F.regexp_replace(flat, r"[(\[{]([^()\[\]{}]*)[)\]}]", "<$1>")
-    parts = F.split(flat, ",", -1)
-    values = F.transform(parts, lambda p, i: F.struct(
-        F.regexp_replace(p, r"^\s+|\s+$", "").alias("ns"),
-        go_trim(F.substring(rhs_nc, F.aggregate(F.slice(parts, 1, i), F.lit(0),
-                                                lambda acc, x: acc + F.length(x) + 1) + 1,
-                            F.length(p))).alias("text")))
-    return F.struct(names.alias("names"), values.alias("values"))
+def _assignment(ns: Column, i: int) -> Column:
+    """Group ``i`` of the assignment pattern that the masked line matches."""
+    return F.when(ns.rlike(ASSIGN_DECL), F.regexp_extract(ns, ASSIGN_DECL, i)) \
+        .otherwise(F.regexp_extract(ns, ASSIGN_PLAIN, i))
+
+
+def assigned_names(ns: Column) -> Column:
+    return F.split(_assignment(ns, 2), r"\s*,\s*")
+
+
+def value_list(rhs: Column) -> Column:
+    """The masked right side split at the commas outside all brackets.  The
+    fold keeps the bracket depth and marks those commas with U+0001."""
+    def step(acc: Column, p: Column) -> Column:
+        depth = acc["depth"] + F.regexp_count(p, F.lit(r"[(\[{]")) - F.regexp_count(p, F.lit(r"[)\]}]"))
+        mark = F.when(acc["text"].isNull(), "").when(acc["depth"] > 0, ",").otherwise("\u0001")
+        return F.struct(F.greatest(depth, F.lit(0)).alias("depth"),
+                        F.concat(F.coalesce(acc["text"], F.lit("")), mark, p).alias("text"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("text"))
+    marked = F.aggregate(F.split(rhs, ",", -1), start, step)["text"]
+    return F.when(rhs.rlike(r"[(\[{]"), F.split(marked, "\u0001", -1)).otherwise(F.split(rhs, ",", -1))
 
 
 def _is_assignment(ns: Column) -> Column:
@@ -139,24 +133,29 @@ def credential_line(raw: Column, nc: Column, ns: Column, line_no: Column,
     """array of HARDCODED_CREDENTIAL findings for one line."""
     kws = F.array(*[F.lit(k) for k in (keywords or fixed.CREDENTIAL_KEYWORDS)])
     lit_re = ANY_LIT_MASKED if any_literal else STRING_LIT_MASKED
-    parts = assignment_parts(nc, ns)
-    pairs = F.transform(parts["names"], lambda n, i: F.struct(
-        n.alias("name"), F.get(parts["values"], i).alias("v")))
-    hits = F.filter(pairs, lambda p: p["v"].isNotNull()
-                    & F.exists(kws, lambda k: F.lower(p["name"]).contains(k))
-                    & p["v"]["ns"].rlike(lit_re))
+    head = F.length(_assignment(ns, 1)) + F.length(_assignment(ns, 2)) + F.length(_assignment(ns, 3))
 
-    def one(h: Column) -> Column:
+    def found(names: Column) -> Column:
+        named = F.exists(names, lambda n: F.exists(kws, lambda k: F.lower(n).contains(k)))
+        return F.when(named, bind(value_list(_assignment(ns, 4)), lambda parts: F.transform(
+            F.filter(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("i"))),
+                     lambda h: (h["i"] < F.size(parts)) & F.exists(kws, lambda k: F.lower(h["name"]).contains(k))
+                     & F.regexp_replace(F.get(parts, h["i"]), r"^\s+|\s+$", "").rlike(lit_re)),
+            lambda h: one(h, parts))))
+
+    def one(h: Column, parts: Column) -> Column:
         cols = finding_cols(line=line_no, severity=F.lit(fixed.SEV_MEDIUM),
                             type=F.lit("HARDCODED_CREDENTIAL"),
                             description=F.format_string(fixed.CRED_DESCRIPTION, h["name"]),
                             code_snippet=go_trim(raw))
-        if with_value:
-            cols += [h["name"].alias("variable"), h["v"]["text"].alias("value")]
+        if with_value:  # cut from the comment-free line at the place in the masked one
+            before = F.length(F.array_join(F.slice(parts, 1, h["i"]), ",")) + F.when(h["i"] > 0, 1).otherwise(0)
+            text = F.substring(nc, head + before + 1, F.length(F.get(parts, h["i"])))
+            cols += [h["name"].alias("variable"), go_trim(text).alias("value")]
         return F.struct(*cols)
 
     empty = F.filter(F.array(F.lit(None).cast(_struct_type(with_value))), lambda x: x.isNotNull())
-    return F.when(_is_assignment(ns), F.transform(hits, one)).otherwise(empty)
+    return F.coalesce(F.when(_is_assignment(ns), bind(assigned_names(ns), found)), empty)
 
 
 def _struct_type(with_value: bool) -> str:
@@ -223,19 +222,24 @@ def function_spans(ns_lines: Column) -> Column:
     A function starts at a ``func`` line in column 0 (gofmt layout) and ends
     at the first ``}`` in column 0, or on its own line when that line closes
     the body.  Function literals belong to the enclosing function."""
-    n = F.size(ns_lines)
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(ns_lines, i).rlike(FUNC_HEADER))
+    return bind(ns_lines, lambda lines: bind(_starts(lines), lambda starts: _spans(lines, starts)))
+
+
+def _starts(lines: Column) -> Column:
+    marked = F.transform(lines, lambda line, i: F.when(line.rlike(FUNC_HEADER), i + 1))
+    return F.filter(marked, lambda i: i.isNotNull())
 
+
+def _spans(lines: Column, starts: Column) -> Column:
     def span(s: Column, k: Column) -> Column:
-        nxt = F.coalesce(F.try_element_at(starts, k + 2), n + 1)
-        seg = F.slice(ns_lines, s, nxt - s)
-        ends = F.transform(seg, lambda line, j: F.when(j == 0, line.rlike(r"\}\s*$"))
+        nxt = F.coalesce(F.get(starts, k + 1), F.size(lines) + 1)
+        ends = F.transform(F.slice(lines, s, nxt - s), lambda line, j: F.when(j == 0, line.rlike(r"\}\s*$"))
                            .otherwise(line.rlike(r"^\}")))
         end = F.array_position(ends, True)
         return F.struct((k + 1).cast("bigint").alias("fn_seq"),
-                        F.regexp_extract(F.element_at(ns_lines, s), FUNC_NAME, 1).alias("function"),
+                        F.regexp_extract(F.get(lines, s - 1), FUNC_NAME, 1).alias("function"),
                         s.cast("bigint").alias("fn_line"),
-                        F.when(end > 0, end).otherwise(F.size(seg)).cast("int").alias("n_lines"))
+                        F.when(end > 0, end).otherwise(nxt - s).cast("int").alias("n_lines"))
 
     return F.transform(starts, span)
 
@@ -252,11 +256,11 @@ def complexity(masked: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def function_complexity() -> Column:
     """array<struct<function, line, complexity>> of a masked file."""
-    lines = F.split("code_ns", "\n", -1)
-    return F.transform(function_spans(lines), lambda sp: F.struct(
-        sp["function"].alias("function"), sp["fn_line"].alias("line"),
-        (F.regexp_count(F.array_join(F.slice(lines, sp["fn_line"].cast("int"), sp["n_lines"]), "\n"),
-                        F.lit(COMPLEXITY_RE)) + 1).cast("bigint").alias("complexity")))
+    return bind(F.split("code_ns", "\n", -1), lambda lines: F.transform(
+        function_spans(lines), lambda sp: F.struct(
+            sp["function"].alias("function"), sp["fn_line"].alias("line"),
+            (F.regexp_count(F.array_join(F.slice(lines, sp["fn_line"].cast("int"), sp["n_lines"]), "\n"),
+                            F.lit(COMPLEXITY_RE)) + 1).cast("bigint").alias("complexity"))))
 
 
 def complexity_findings(fns: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -286,63 +290,94 @@ def complexity_finding_array() -> Column:
 TAINT_SOURCE = (r"\bos\.Args\b|\b(?:r|req|request)\.(?:FormValue|PostFormValue|URL\.Query|"
                 r"URL\.Path|Header|Body|Form|PostForm|Cookie)\b")
 TAINT_SINK = (r"\b(exec\.CommandContext|exec\.Command|os\.OpenFile|os\.Open|os\.ReadFile|"
-              r"os\.Create|os\.WriteFile|os\.RemoveAll|os\.Remove|ioutil\.ReadFile|http\.Get)\s*\((.*)$")
-SQL_SINK = r"\.(QueryRowContext|QueryRow|QueryContext|Query|ExecContext|Exec|PrepareContext|Prepare)\s*\((.*)$"
+              r"os\.Create|os\.WriteFile|os\.RemoveAll|os\.Remove|ioutil\.ReadFile|http\.Get)\s*\(")
+SQL_SINK = r"(\.(?:QueryRowContext|QueryRow|QueryContext|Query|ExecContext|Exec|PrepareContext|Prepare))\s*\("
+IDENT = r"\b[A-Za-z_]\w*\b"
+USE_T = "array<struct<kind:string,sink:string,args:string,nc:string>>"
 
 
-def function_lines(masked: DataFrame, keep: list[str]) -> DataFrame:
-    """Lines inside function bodies with their function, exploded row-locally."""
-    z = F.arrays_zip(F.split("code_nc", "\n", -1).alias("nc"), F.split("code_ns", "\n", -1).alias("ns"))
-    ns_lines = F.split("code_ns", "\n", -1)
-    rows = F.flatten(F.transform(function_spans(ns_lines), lambda sp: F.transform(
-        F.slice(z, sp["fn_line"].cast("int"), sp["n_lines"]), lambda l, j: F.struct(
-            sp["fn_seq"].alias("fn_seq"), sp["function"].alias("function"),
-            (sp["fn_line"] + j).alias("line_no"), l["nc"].alias("nc"), l["ns"].alias("ns")))))
-    return masked.select(*keep, F.inline(rows))
+def call_args(text: Column) -> Column:
+    """Length of the arguments at the start of ``text``: up to the bracket that
+    closes the call, or all of it when the call runs on to the next line."""
+    toks = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), 0)
 
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
+        return F.when(acc["depth"] == 0, acc).otherwise(F.struct(
+            depth.alias("depth"), (acc["n"] + F.when(depth == 0, 0).otherwise(F.length(t))).alias("n")))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    return F.aggregate(toks, start, step)["n"]
+
+
+def _sinks(nc: Column, ns: Column, pattern: str, kind: str) -> Column:
+    """Every call of one kind on a line with its own arguments.  The line is split
+    before each sink; the piece behind a sink's bracket starts its arguments."""
+    heads = F.regexp_extract_all(ns, F.lit(pattern), 0)
+    names = F.regexp_extract_all(ns, F.lit(pattern), 1)
+
+    def use(name: Column, i: Column, gaps: Column, heads_: Column) -> Column:
+        upto = lambda arr, n: F.length(F.array_join(F.slice(arr, 1, n), ""))
+        at = upto(gaps, i + 1) + upto(heads_, i + 1) + 1
+        return bind(rest(ns, at), lambda tail: bind(call_args(tail), lambda n: F.struct(
+            F.lit(kind).alias("kind"), name.alias("sink"), F.substring(tail, F.lit(1), n).alias("args"),
+            F.substring(nc, at, n).alias("nc"))))
+
+    every = bind(F.split(ns, pattern, -1), lambda gaps: bind(heads, lambda hs: F.transform(
+        names, lambda name, i: use(name, i, gaps, hs))))
+    return F.when(ns.rlike(pattern), every).otherwise(F.array().cast(USE_T))
 
-def taint_flow(masked: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Op 20: request or ``os.Args`` input reaching a sensitive call directly
-    or through one variable of the same function, and a concatenated SQL
-    string reaching ``Query``/``Exec``/``Prepare``.
 
-    Definition and use rows are equi-joined on (file, function, variable,
-    kind) with ``def.line < use.line``; both sides are small filtered subsets
-    of the lines, so the shuffle is bounded by the hits, not the corpus."""
+def taint_flow(masked: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Op 20: request or ``os.Args`` input reaching a sensitive call, and input or
+    a concatenated query reaching ``Query``/``Exec``/``Prepare``, directly or
+    through one variable of the same function.
+
+    A definition line carries each kind that fits it; kind ``input`` is tainted
+    data at any sink, kind ``sql`` a concatenated query at an SQL sink, and every
+    sink on a line is matched with its own arguments.  All of it lies within one
+    function of one file, so definitions and uses are arrays in the file's row:
+    one scan, no shuffle."""
     keep = keep or ["file_id"]
-    fl = function_lines(masked, keep)
-    ns, nc = F.col("ns"), F.col("nc")
-    is_assign = ns.contains("=") & (ns.rlike(ASSIGN_DECL) | ns.rlike(ASSIGN_PLAIN))
-    parts = assignment_parts(nc, ns)
-    rhs_ns = F.array_join(F.transform(parts["values"], lambda v: v["ns"]), ",")
-    defs = (fl.where(is_assign)
-            .select(*keep, "fn_seq", "line_no", parts["names"].alias("names"),
-                    F.when(rhs_ns.rlike(TAINT_SOURCE), F.lit("input"))
-                    .when(sql_concat_flag(nc, ns), F.lit("sql")).alias("kind"))
-            .where(F.col("kind").isNotNull())
-            .select(*keep, "fn_seq", "kind", F.col("line_no").alias("source_line"),
-                    F.explode("names").alias("variable"))
-            .where(F.col("variable") != "_"))
-    sink_args = lambda pat: F.regexp_extract(ns, pat, 2)
-    ident = r"\b[A-Za-z_]\w*\b"
-    uses = (fl.where(ns.rlike(TAINT_SINK) | ns.rlike(SQL_SINK))
-            .select(*keep, "fn_seq", "function", "line_no",
-                    F.when(ns.rlike(TAINT_SINK), F.lit("input")).otherwise(F.lit("sql")).alias("kind"),
-                    F.when(ns.rlike(TAINT_SINK), F.regexp_extract(ns, TAINT_SINK, 1))
-                    .otherwise(F.concat(F.lit("."), F.regexp_extract(ns, SQL_SINK, 1))).alias("sink"),
-                    F.when(ns.rlike(TAINT_SINK), sink_args(TAINT_SINK))
-                    .otherwise(sink_args(SQL_SINK)).alias("args")))
-    direct = (uses.where((F.col("kind") == "input") & F.col("args").rlike(TAINT_SOURCE))
-              .select(*keep, "function", "kind", F.lit("").alias("variable"),
-                      F.col("line_no").alias("source_line"), F.col("line_no").alias("sink_line"), "sink"))
-    use_vars = uses.select(*keep, "fn_seq", "function", "kind", "sink",
-                           F.col("line_no").alias("sink_line"),
-                           F.explode(F.array_distinct(F.regexp_extract_all("args", F.lit(ident), 0)))
-                           .alias("variable"))
-    via = (defs.join(use_vars, on=[*keep, "fn_seq", "kind", "variable"], how="inner")
-           .where(F.col("source_line") < F.col("sink_line"))
-           .select(*keep, "function", "kind", "variable", "source_line", "sink_line", "sink"))
-    return via.unionByName(direct)
+
+    def line_facts(l: Column, line_no: Column) -> Column:
+        nc, ns = l["nc"], l["ns"]
+        is_sql = sql_concat_flag(nc, ns)
+        is_input = _assignment(ns, 4).rlike(TAINT_SOURCE)
+        kinds = F.array_compact(F.array(F.when(is_input, F.lit("input")), F.when(is_sql, F.lit("sql"))))
+        defs = F.when(_is_assignment(ns) & (F.size(kinds) > 0), F.flatten(F.transform(
+            F.filter(assigned_names(ns), lambda v: v != "_"), lambda v: F.transform(kinds, lambda k: F.struct(
+                v.alias("variable"), k.alias("kind"), line_no.alias("line_no"))))))
+        uses = F.concat(_sinks(nc, ns, TAINT_SINK, "call"), _sinks(nc, ns, SQL_SINK, "query"))
+        return F.struct(line_no.alias("line_no"), defs.alias("defs"), uses.alias("uses"))
+
+    z = F.arrays_zip(F.split("code_nc", "\n", -1).alias("nc"), F.split("code_ns", "\n", -1).alias("ns"))
+    maybe = F.col("code_ns").rlike(TAINT_SINK) | F.col("code_ns").rlike(SQL_SINK)
+
+    def per_function(lines: Column) -> Column:
+        return F.transform(function_spans(F.transform(lines, lambda l: l["ns"])), lambda sp: F.struct(
+            sp["fn_seq"].alias("fn_seq"), sp["function"].alias("function"),
+            F.filter(F.transform(F.slice(lines, sp["fn_line"].cast("int"), sp["n_lines"]),
+                                 lambda l, j: line_facts(l, sp["fn_line"] + j)),
+                     lambda f: f["defs"].isNotNull() | (F.size(f["uses"]) > 0)).alias("facts")))
+
+    fns = masked.where(maybe).select(*keep, F.inline(bind(z, per_function)))
+    fns = fns.select(*keep, "function", F.flatten(F.transform("facts", lambda f: F.coalesce(
+        f["defs"], F.array().cast("array<struct<variable:string,kind:string,line_no:bigint>>")))).alias("defs"), "facts")
+    use = fns.select(*keep, "function", "defs", F.explode("facts").alias("f")).select(
+        *keep, "function", "defs", F.col("f.line_no").alias("sink_line"), F.explode("f.uses").alias("u"))
+    fits = lambda kind: (kind == "input") | (F.col("u.kind") == "query")
+    direct = F.array_compact(F.array(F.when(F.col("u.args").rlike(TAINT_SOURCE), F.lit("input")),
+                                     F.when((F.col("u.kind") == "query") & sql_concat_flag(F.col("u.nc"), F.col("u.args")),
+                                            F.lit("sql"))))
+    direct = F.transform(direct, lambda k: F.struct(k.alias("kind"), F.lit("").alias("variable"),
+                                                    F.col("sink_line").alias("source_line")))
+    names = F.array_distinct(F.regexp_extract_all(F.col("u.args"), F.lit(IDENT), 0))
+    via = bind(names, lambda own: F.transform(
+        F.filter("defs", lambda d: (d["line_no"] < F.col("sink_line")) & fits(d["kind"]) & F.array_contains(own, d["variable"])),
+        lambda d: F.struct(d["kind"].alias("kind"), d["variable"].alias("variable"), d["line_no"].alias("source_line"))))
+    return use.select(*keep, "function", "sink_line", F.col("u.sink").alias("sink"), F.inline(F.concat(direct, via))) \
+        .select(*keep, "function", "kind", "variable", "source_line", "sink_line", "sink")
 
 
 # ---- op 21 forbidden calls ------------------------------------------------------

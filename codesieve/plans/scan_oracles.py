@@ -26,12 +26,13 @@ MASK = BASE + "SELECT file_id, code_nc, code_ns FROM masked"
 # ---- op 17 ----------------------------------------------------------------
 LINE_TOKENS = r"""(?:"[^"\\]*(?:\\.[^"\\]*)*"|`[^`]*`|'[^'\\]*(?:\\.[^'\\]*)*'|[^"'`]+|["'`])"""
 SQL_WORDS = "|".join(fixed.SQL_KEYWORDS)
+JOINED_LITERAL = f"""len(list_filter(generate_series(1, len(tk)), lambda i: regexp_matches(tk[i], '^["`]') AND regexp_matches(tk[i], {q(SQL_WORDS)})
+      AND (coalesce(regexp_matches(tk[i - 1], {q(r'(^|[^+])\+\s*$')}), false)
+           OR coalesce(regexp_matches(tk[i + 1], {q(r'^\s*\+([^+=]|$)')}), false)))) > 0"""
 SQL_LINES = f"""sqll AS (
   SELECT * FROM (SELECT *, regexp_extract_all(nc, {q(LINE_TOKENS)}) AS tk FROM lines
                  WHERE contains(ns, '+') AND regexp_matches(ns, '["`]'))
-  WHERE len(list_filter(generate_series(1, len(tk)), lambda i:       regexp_matches(tk[i], '^["`]') AND regexp_matches(tk[i], {q(SQL_WORDS)})
-      AND (coalesce(regexp_matches(tk[i - 1], {q(r'(^|[^+])\+\s*$')}), false)
-           OR coalesce(regexp_matches(tk[i + 1], {q(r'^\s*\+([^+=]|$)')}), false)))) > 0)"""
+  WHERE {JOINED_LITERAL})"""
 SQL_SELECT = (f"SELECT file_id, repo, path, {fcols(line='line_no', severity=q(fixed.SEV_CRITICAL), type_=q('SQL_INJECTION'), description=q(fixed.SQL_DESCRIPTION), code_snippet=gotrim('raw'))} FROM sqll")
 SQL_CONCAT = cte(view("src_files"), MASKED, LINES, SQL_LINES) + \
     f"SELECT file_id, {fcols(line='line_no', severity=q(fixed.SEV_CRITICAL), type_=q('SQL_INJECTION'), description=q(fixed.SQL_DESCRIPTION), code_snippet=gotrim('raw'))} FROM sqll"
@@ -122,37 +123,49 @@ FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line, pos_in_li
 # ---- op 20 ----------------------------------------------------------------
 SOURCE_RE2 = (r"\bos\.Args\b|\b(?:r|req|request)\.(?:FormValue|PostFormValue|URL\.Query|URL\.Path|Header|"
               r"Body|Form|PostForm|Cookie)\b")
-SINK_RE2 = (r"\b(exec\.CommandContext|exec\.Command|os\.OpenFile|os\.Open|os\.ReadFile|os\.Create|os\.WriteFile|"
-            r"os\.RemoveAll|os\.Remove|ioutil\.ReadFile|http\.Get)\s*\((.*)$")
-SQLSINK_RE2 = r"\.(QueryRowContext|QueryRow|QueryContext|Query|ExecContext|Exec|PrepareContext|Prepare)\s*\((.*)$"
+SINK_RE2 = (r"^(exec\.CommandContext|exec\.Command|os\.OpenFile|os\.Open|os\.ReadFile|os\.Create|os\.WriteFile|"
+            r"os\.RemoveAll|os\.Remove|ioutil\.ReadFile|http\.Get)(\s*\()")
+SQLSINK_RE2 = r"^(\.(?:QueryRowContext|QueryRow|QueryContext|Query|ExecContext|Exec|PrepareContext|Prepare))(\s*\()"
 TAINT = cte(view("src_files"), MASKED, LINES, SQL_LINES, FN_LINES) + f"""
 , inbody AS (SELECT b.*, f.function FROM body b JOIN fns f USING (file_id, fn_seq)),
+asgn AS (
+  SELECT *, regexp_extract(ns, pat, 2) AS lhs, regexp_extract(ns, pat, 4) AS rhs
+  FROM (SELECT *, CASE WHEN regexp_matches(ns, {q(DECL_RE2)}) THEN {q(DECL_RE2)} ELSE {q(PLAIN_RE2)} END AS pat
+        FROM inbody WHERE regexp_matches(ns, {q(DECL_RE2)}) OR regexp_matches(ns, {q(PLAIN_RE2)}))),
 defs AS (
-  SELECT file_id, fn_seq, unnest(string_split_regex(regexp_extract(ns, pat, 2), '\\s*,\\s*')) AS variable,
-    line_no AS source_line, kind
-  FROM (SELECT i.*, CASE WHEN regexp_matches(ns, {q(DECL_RE2)}) THEN {q(DECL_RE2)} ELSE {q(PLAIN_RE2)} END AS pat,
-          CASE WHEN regexp_matches(regexp_extract(ns, CASE WHEN regexp_matches(ns, {q(DECL_RE2)}) THEN {q(DECL_RE2)} ELSE {q(PLAIN_RE2)} END, 4), {q(SOURCE_RE2)}) THEN 'input'
-               WHEN EXISTS (SELECT 1 FROM sqll s WHERE s.file_id = i.file_id AND s.line_no = i.line_no) THEN 'sql' END AS kind
-        FROM inbody i
-        WHERE contains(ns, '=') AND (regexp_matches(ns, {q(DECL_RE2)}) OR regexp_matches(ns, {q(PLAIN_RE2)})))
-  WHERE kind IS NOT NULL),
+  SELECT file_id, fn_seq, line_no AS source_line, kind, unnest(string_split_regex(lhs, '\\s*,\\s*')) AS variable
+  FROM (SELECT *, 'input' AS kind FROM asgn WHERE regexp_matches(rhs, {q(SOURCE_RE2)})
+        UNION ALL SELECT *, 'sql' FROM asgn SEMI JOIN sqll USING (file_id, line_no))),
+places AS (
+  SELECT *, substr(ns, p) AS here FROM (SELECT *, unnest(generate_series(1, length(ns))) AS p FROM inbody
+                                         WHERE contains(ns, '('))),
+calls AS (
+  SELECT file_id, fn_seq, function, line_no, nc, p, 'call' AS sort, regexp_extract(here, {q(SINK_RE2)}, 1) AS sink,
+    p + length(regexp_extract(here, {q(SINK_RE2)}, 0)) AS opened, ns
+  FROM places WHERE regexp_matches(here, {q(SINK_RE2)}) AND (p = 1 OR NOT regexp_matches(substr(ns, p - 1, 1), '\\w'))
+  UNION ALL
+  SELECT file_id, fn_seq, function, line_no, nc, p, 'query', regexp_extract(here, {q(SQLSINK_RE2)}, 1),
+    p + length(regexp_extract(here, {q(SQLSINK_RE2)}, 0)), ns
+  FROM places WHERE regexp_matches(here, {q(SQLSINK_RE2)})),
+closed AS (
+  SELECT *, coalesce(list_filter(generate_series(0, length(ns) - opened), lambda k:
+      length(replace(substr(ns, opened, k + 1), ')', '')) + 1 = length(replace(substr(ns, opened, k + 1), '(', '')))[1],
+      length(ns) - opened + 1) AS n
+  FROM calls),
 uses AS (
-  SELECT file_id, fn_seq, function, line_no,
-    CASE WHEN regexp_matches(ns, {q(SINK_RE2)}) THEN 'input' ELSE 'sql' END AS kind,
-    CASE WHEN regexp_matches(ns, {q(SINK_RE2)}) THEN regexp_extract(ns, {q(SINK_RE2)}, 1)
-         ELSE '.' || regexp_extract(ns, {q(SQLSINK_RE2)}, 1) END AS sink,
-    CASE WHEN regexp_matches(ns, {q(SINK_RE2)}) THEN regexp_extract(ns, {q(SINK_RE2)}, 2)
-         ELSE regexp_extract(ns, {q(SQLSINK_RE2)}, 2) END AS args
-  FROM inbody WHERE regexp_matches(ns, {q(SINK_RE2)}) OR regexp_matches(ns, {q(SQLSINK_RE2)}))
-SELECT file_id, function, kind, '' AS variable, CAST(line_no AS BIGINT) AS source_line,
-  CAST(line_no AS BIGINT) AS sink_line, sink
-FROM uses WHERE kind = 'input' AND regexp_matches(args, {q(SOURCE_RE2)})
-UNION ALL
-SELECT u.file_id, u.function, u.kind, d.variable, CAST(d.source_line AS BIGINT), CAST(u.line_no AS BIGINT), u.sink
-FROM (SELECT DISTINCT file_id, fn_seq, function, line_no, kind, sink,
-        unnest(regexp_extract_all(args, '\\b[A-Za-z_]\\w*\\b')) AS variable FROM uses) u
-JOIN defs d ON d.file_id = u.file_id AND d.fn_seq = u.fn_seq AND d.kind = u.kind AND d.variable = u.variable
-WHERE d.variable <> '_' AND d.source_line < u.line_no"""
+  SELECT *, substr(ns, opened, n) AS args, regexp_extract_all(substr(nc, opened, n), {q(LINE_TOKENS)}) AS tk FROM closed),
+flows AS (
+  SELECT file_id, fn_seq, function, 'input' AS kind, '' AS variable, line_no AS source_line, line_no AS sink_line, sink, p
+  FROM uses WHERE regexp_matches(args, {q(SOURCE_RE2)})
+  UNION ALL
+  SELECT file_id, fn_seq, function, 'sql', '', line_no, line_no, sink, p FROM uses WHERE sort = 'query' AND {JOINED_LITERAL}
+  UNION ALL
+  SELECT u.file_id, u.fn_seq, u.function, d.kind, d.variable, d.source_line, u.line_no, u.sink, u.p
+  FROM uses u JOIN defs d ON d.file_id = u.file_id AND d.fn_seq = u.fn_seq AND d.source_line < u.line_no
+  WHERE d.variable <> '_' AND list_contains(regexp_extract_all(u.args, '\\b[A-Za-z_]\\w*\\b'), d.variable)
+    AND (d.kind = 'input' OR u.sort = 'query'))
+SELECT file_id, function, kind, variable, CAST(source_line AS BIGINT) AS source_line,
+  CAST(sink_line AS BIGINT) AS sink_line, sink FROM flows"""
 
 # ---- op 6 -----------------------------------------------------------------
 POLICY = cte(view("src_files"), MASKED) + f"""

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from codesieve.operators import mask, scans
@@ -51,6 +53,46 @@ def test_taint(spark):
         (4, 5, "sql"), (15, 16, "input")]
 
 
+def test_taint_kinds_and_sinks(spark):
+    code = ('package main\n\nfunc pick(r *http.Request) {\n'
+            '\tstmt := "SELECT a FROM t WHERE k=" + r.FormValue("k")\n'
+            '\tstore.Query(stmt)\n'
+            '\tstore.Query("SELECT b FROM t WHERE k=" + r.FormValue("k"))\n'
+            '\tos.Open("a"); exec.Command(os.Args[1], f(2)); os.Remove(stmt)\n'
+            '\tstore.Exec("DELETE FROM t WHERE k=" + k)\n}\n')
+    rows = scans.taint_flow(files(spark, code)).collect()
+    assert sorted((r.kind, r.variable, r.source_line, r.sink_line, r.sink) for r in rows) == [
+        ("input", "", 6, 6, ".Query"), ("input", "", 7, 7, "exec.Command"), ("input", "stmt", 4, 5, ".Query"),
+        ("input", "stmt", 4, 7, "os.Remove"), ("sql", "", 6, 6, ".Query"), ("sql", "", 8, 8, ".Exec"),
+        ("sql", "stmt", 4, 5, ".Query")]
+    assert sum(op in scans.taint_flow(files(spark, code))._jdf.queryExecution().executedPlan().toString()
+               for op in ("Exchange", "Join")) == 0
+
+
+def test_credentials_beside_deep_brackets(spark):
+    rows = scans.credential_scan(files(spark, 'x, token := f(g(h(i(1, 2), 3), 4), 5), "v"\n')).collect()
+    assert [(r.variable, r.value) for r in rows] == [("token", '"v"')]
+
+
+def test_file_work_grows_in_proportion(spark):
+    """Doubling a file about doubles the time; three times leaves room for noise."""
+    def seconds(scan, code):
+        df = files(spark, code)
+        best = 1e9
+        for _ in range(3):
+            t = time.perf_counter()
+            scan(df).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    short = lambda n: "".join(f"func f{i}(a int) {{\n\tif a > {i} {{}}\n}}\n" for i in range(n))
+    long = lambda n: "func f() {\n" + "\tif a {}\n" * n + "}\n"
+    joined = lambda n: "x := " + " + ".join(['"SELECT"'] * n) + "\n"
+    for scan, code, n in ((scans.complexity, short, 1600), (scans.complexity, long, 16000), (scans.sql_concat_scan, joined, 2000)):
+        seconds(scan, code(10))
+        assert seconds(scan, code(2 * n)) < 3 * seconds(scan, code(n)) + 0.5
+
+
 def test_forbidden(spark):
     df = files(spark, RISKY, CALM)
     calls = scans.forbidden_call_scan(df)
