@@ -7,10 +7,14 @@ Kinds, in this order at equal starts:
 * ``access``: ``AKIA`` and upper-case letters or digits, 20 or more in all;
 * ``hex``: 24 or more lower-case hex digits;
 * ``novel``: a run of 16 or more code-like characters that mixes digits and
-  letters, stands within 64 characters after a sensitive word, overlaps no span above, and
-  is incompressible: the bytes it adds to a zstandard frame, primed with the
+  letters, has a sensitive word on its line or in the 64 characters before it, overlaps no
+  span above, and is incompressible: the bytes it adds to a zstandard frame, primed with the
   identifier dictionary and filled with the surrounding 512 characters, are at
-  least ``novelty`` of its own length.
+  least ``novelty`` of its own length.  A run is divided at ``=``: each part of 16 or
+  more characters is looked at (padding belongs to the part before it), and the
+  whole run if none of them is a span.  In a private key block every body line is
+  such a span, also the short last one, if any line of it is incompressible beside
+  the text around the block (line breaks may be written ``\\n``).
 
 Every reported span carries its novelty.  Offsets are code points, end exclusive.
 
@@ -36,6 +40,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+PART = re.compile(r"[A-Za-z0-9+/_.~-]{16,}(?:={1,2}(?![A-Za-z0-9+/_.=~-]))?")
+BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nr])*[A-Za-z-]+:\x20[^\n\\]*+)*")
+BODY = re.compile(r"""(?:[A-Za-z0-9+/=\s"',#*>|]|\\[nr])*+""")
+BODY_LINE = re.compile(r"(?:(?<=\\)[nr])?+((?=[+/]*[A-Za-z0-9=])[A-Za-z0-9+/]+={0,2}|=[A-Za-z0-9+/]{4})")
 SENSITIVE = re.compile(r"passw|pwd|secret|token|credential|private|bearer|auth|signature|api[ _-]?key|access[ _-]?key|\bkey\b", re.I | re.A)
 
 #: What source files name often: common identifiers, prefixes and suffixes.
@@ -69,13 +77,31 @@ class _Novelty:
         primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self._size = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
 
-    def __call__(self, text: str, start: int, end: int, around: int = 512) -> float:
-        near = (text[max(0, start - around):start] + "\n" + text[end:end + around]).encode()
+    def __call__(self, text: str, start: int, end: int, around: int = 512, block: tuple[int, int] | None = None) -> float:
+        """``block``: the part of the text whose outside counts as the surroundings."""
+        lo, hi = block or (start, end)
+        near = (text[max(0, lo - around):lo] + "\n" + text[hi:hi + around]).encode()
         size = lambda raw: len(self._size.compress(raw))
         own = text[start:end].encode()
         return max(0, size(near + own) - size(near)) / len(own)
 
 
+def key_blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, lines) of the body of each private key block.  Without an end mark the
+    body is as many lines of 16 or more characters as follow one another."""
+    at = 0
+    while mark := BEGIN.search(text, at):
+        at = mark.end()
+        body = BODY.match(text, at)
+        lines = [m.span(1) for m in BODY_LINE.finditer(text, *body.span())]
+        if not text.startswith("-----END", body.end()):
+            whole = [e - s >= 16 for s, e in lines] + [False]
+            lines = lines[:whole.index(False)]
+        if lines:
+            yield lines[0][0], lines[-1][1], lines
+            at = lines[-1][1]
+
+
 def spans_of(text: str | None, novelty: float, score: _Novelty) -> list[tuple[str, int, int, float]]:
     """All spans of one whole text, by start and kind."""
     if not text:
@@ -89,15 +115,39 @@ def spans_of(text: str | None, novelty: float, score: _Novelty) -> list[tuple[st
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, run.start(), run.end())]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text, run.start(), run.end())]
     base = sorted(found)
-    for run in runs:
-        own, (a, b) = run.group(), run.span()
+    scores: dict[tuple[int, int], float] = {}
+    blocks: list[tuple[int, int]] = []
+    for a, b, lines in key_blocks(text) if "PRIVATE KEY" in text else ():
+        own = {x: score(text, *x, block=(a, b)) for x in lines}
+        if any(v >= novelty and e - s >= 16 for (s, e), v in own.items()):
+            found += [(s, 3, e) for s, e in lines]
+            scores |= own
+            blocks.append((a, b))
+    line_end, named = 0, False
+
+    def novel(a: int, b: int) -> bool:
+        nonlocal line_end, named
+        own = text[a:b]
         if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
+            return False
+        if any(s < b and a < e for s, _, e in base):
+            return False
+        if a >= line_end:  # runs come in order, so each line is looked through once
+            line_end = text.find("\n", b) + 1 or len(text)
+            named = SENSITIVE.search(text, text.rfind("\n", 0, a) + 1, line_end) is not None
+        if not named and not SENSITIVE.search(text, max(0, a - 64), a):
+            return False
+        return score(text, a, b) >= novelty
+
+    for run in runs:
+        if any(a < run.end() and run.start() < b for a, b in blocks):
             continue
-        if any(s < b and a < e for s, _, e in base) or not SENSITIVE.search(text, max(0, a - 64), a):
-            continue
-        if score(text, a, b) >= novelty:
-            found.append((a, 3, b))
-    return [(KINDS[k], s, e, score(text, s, e)) for s, k, e in sorted(found)]
+        parts = [m.span() for m in PART.finditer(text, *run.span())]
+        hits = [x for x in parts if novel(*x)]
+        if not hits and run.span() not in parts and novel(*run.span()):
+            hits = [run.span()]
+        found += [(a, 3, b) for a, b in hits]
+    return [(KINDS[k], s, e, scores[s, e] if k == 3 and (s, e) in scores else score(text, s, e)) for s, k, e in sorted(found)]
 
 
 def scan_secrets(docs: DataFrame, novelty: float = 0.75, identifiers: str = IDENTIFIERS,
