@@ -1,12 +1,16 @@
 """Licence scan with a positional index of rare words, in built-in functions only.
 
 Every template is a sequence of words with a mandatory key phrase.  Over all
-documents the document frequency of each template word is counted; a template's
-anchors are its ``anchors`` rarest words (highest inverse document frequency,
-ties by word).  A document looks its anchor words up in the postings (word ->
-template, offset); postings that agree on ``position - offset`` vote for a
-template start.  A start with enough votes is verified: the key phrase must
-stand there word for word, and at least ``least`` of the template's words must match.
+documents the document frequency of each key word is counted; a template's
+anchors are the ``anchors`` rarest words of its key phrase (highest inverse document
+frequency, ties by word; beyond the first only words of few documents).  A template with a
+key word that no document holds is left out: it can stand nowhere.  A document looks its
+anchor words up in the postings (word -> template, offset in the key phrase);
+postings that agree on ``position - offset`` vote for a template start.  A start
+with the votes of all anchor places is verified: the key phrase must
+stand there word for word, and at least ``least`` of the template's words must
+stand within ``shift`` words of their place (a notice may lack or add some words).
+So no start that the verification would accept is lost by the votes.
 For the exact phrases the key phrase is the whole template.
 
 The postings and the word counts are bounded by the template texts, not by the data.
@@ -36,10 +40,10 @@ PHRASES = [("mit", "under the mit license"), ("apache-2", "apache license versio
 #: Notices: label, notice, its mandatory key phrase.
 NOTICES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-            "documentation files to deal in the software without restriction", "permission is hereby granted free of charge"),
+            "documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
     ("mit", "licensed under the terms of the mit license", "the mit license"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the "
-                 "license", "apache license version 2 0"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
+                 "with the license", "apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that "
             "the following conditions are met", "redistribution and use in source and binary forms"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
@@ -54,9 +58,14 @@ NOTICES = [
     ("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0 universal"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("proprietary", "all rights reserved no part of this work may be reproduced", "all rights reserved"),
+    ("proprietary", "all rights reserved", "all rights reserved"),
 ]
 
+#: A word that more than one in so many documents hold is an anchor only where the key phrase has no rarer one.
+COMMON = 8
+
+MATCHES = "array<struct<template:int,label:string,exact:boolean,start:bigint,score:double>>"
+
 
 def template_words(text: str) -> list[str]:
     return re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))
@@ -87,31 +96,35 @@ def word_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def choose_anchors(known: list[Template], counts: dict[str, int], anchors: int) -> list[list[str]]:
-    total = counts.get("", 0) + 1
-    idf = lambda w: math.log(total / (counts.get(w, 0) + 1))
-    return [sorted(set(t.words), key=lambda w: (-idf(w), w))[:anchors] for t in known]
+    """Anchor words by template; none for a template whose key phrase the corpus cannot hold."""
+    total = counts.get("", 0)
+    idf = lambda w: math.log((total + 1) / (counts.get(w, 0) + 1))
+    rarest = [sorted(set(t.key), key=lambda w: (-idf(w), w))[:anchors] for t in known]
+    few = [[w for i, w in enumerate(ws) if not i or COMMON * counts.get(w, 0) <= total] for ws in rarest]
+    return [ws if all(counts.get(w) for w in t.key) else [] for t, ws in zip(known, few, strict=True)]
 
 
-def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, anchors: int = 3, least: float = 0.8,
+def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, anchors: int = 3, least: float = 0.8, shift: int = 2,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, matches array<struct<template int, label, exact
     boolean, start long, score double>>) per document, by start and template."""
     docs, known = C.texts(docs, id_col, text_col), templates(phrases, notices)
-    counts = word_counts(docs, sorted({w for t in known for w in t.words}))
+    counts = word_counts(docs, sorted({w for t in known for w in t.key}))
     picked = choose_anchors(known, counts, anchors)
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, rare in enumerate(picked):
-        for o, w in enumerate(known[t].words):
+        for o, w in enumerate(known[t].key, known[t].key_at):
             if w in rare:
                 postings.setdefault(w, []).append((t, o))
+    if not postings:
+        return docs.select("doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"), F.from_json(F.lit("[]"), MATCHES).alias("matches"))
     listed = sorted(postings)
     array = lambda values: F.array(*map(F.lit, values))
     places = F.create_map(*[x for w in listed for x in (F.lit(w), F.array(*[
         F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")) for t, o in postings[w]]))])
-    # An exact phrase needs a vote of each of its anchor places; a notice all but one.
-    votes = [sum(w in rare for w in known[t].words) for t, rare in enumerate(picked)]
-    needed = array([v if known[t].exact else max(1, v - 1) for t, v in enumerate(votes)])
+    needed = array([sum(w in rare for w in known[t].key) for t, rare in enumerate(picked)])
     bodies = F.array(*[array(t.words) for t in known])
+    shifts = array(list(range(-shift, shift + 1)))
     keys, key_at = F.array(*[array(t.key) for t in known]), array([t.key_at for t in known])
     labels, exact = array([t.label for t in known]), array([t.exact for t in known])
 
@@ -125,7 +138,8 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, anchors: in
                      & (F.slice(words, v["start"] + key_at[v["t"]] + 1, F.size(keys[v["t"]])) == keys[v["t"]])),
             lambda v: F.struct(
                 v["t"].alias("template"), labels[v["t"]].alias("label"), exact[v["t"]].alias("exact"), v["start"].cast("long").alias("start"),
-                (F.size(F.filter(F.transform(bodies[v["t"]], lambda w, i: F.get(words, v["start"] + i) == w), lambda same: same))
+                (F.size(F.filter(F.transform(bodies[v["t"]], lambda w, i: F.exists(
+                    shifts, lambda d: F.get(words, v["start"] + i + d) == w)), lambda same: same))
                  / F.size(bodies[v["t"]])).alias("score"))),
             lambda m: m["score"] >= least))
 

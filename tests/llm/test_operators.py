@@ -80,6 +80,26 @@ def test_licenses(spark, odd, empty):
         assert r.doc_id != 22 or (r.labels, r.score) == ("gpl-3", 1.0)
 
 
+def test_licenses_of_true_wording(spark):
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy
+        of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+        you may not use this file except in compliance with the License."""
+    texts = ["Copyright 2020 Someone. All rights reserved.", mit, apache, mit.replace(' (the "Software")', ""),
+             apache.replace(' (the "License")', ""), "all the rights are reserved", "free of charge is hereby granted permission",
+             "Permission is hereby granted, free of charge, to whom it may concern, for as long as anyone here can remember it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = ["proprietary", "mit", "apache-2", "mit", "apache-2", "", "", ""]
+    assert [r.labels for r in licenses.digest(licenses.scan_licenses(docs)).orderBy("doc_id").collect()] == want
+    alone = licenses.digest(licenses.scan_licenses(docs.where("doc_id = 0"))).first()  # a corpus that lacks most template words
+    assert (alone.labels, alone.n_base, alone.score) == ("proprietary", 0, 1.0)
+    known = licenses.templates()
+    for t in known:  # each template finds its own text
+        got = licenses.scan_licenses(spark.createDataFrame([(1, "x " + " ".join(t.words))], "doc_id long, text string")).first().matches
+        assert (t.label, 1, 1.0) in [(m.label, m.start, m.score) for m in got], t.words
+
+
 def shingles(text, k):
     w = (text or "").encode().lower().split()
     return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
