@@ -260,8 +260,9 @@ def _events_stream(spark, sf_dir):
 
 @register("rate_limit_stream", sto.RATE_LIMIT)
 def q_rate_stream(spark, sf_dir):
-    """Op 43 over the events in five files in order of time, each a
-    micro-batch, and a closing row that moves the watermark past the last."""
+    """Op 43 over the events in five slices in order of time, each a micro-batch
+    however many files it is written to, and a closing row that moves the
+    watermark past the last."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
     src, out, ckpt = (streams.scratch_dir(spark, x) for x in ("events", "out", "ckpt"))
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -269,14 +270,12 @@ def q_rate_stream(spark, sf_dir):
     if lo is None:
         return rl.rate_limit(events, limit=3, window_s=86400)
     step = (hi - lo) // 5 + 1
-    for k in range(5):
-        events.where((at >= lo + k * step) & (at < lo + (k + 1) * step)).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    streams.run_available_now(streams.rate_limit_stream(stream, limit=3, window_s=86400, delay="1 hour"), out=out, ckpt=ckpt)
     closing = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_micros(F.lit(hi + 7_200_000_000))
                                     .cast("timestamp_ntz").alias("ts"), F.lit(None).cast("bigint").alias("user_id"))
-    closing.write.mode("append").parquet(src)
-    streams.run_available_now(streams.rate_limit_stream(stream, limit=3, window_s=86400, delay="1 hour"), out=out, ckpt=ckpt)
+    for rows in [*(events.where((at >= lo + k * step) & (at < lo + (k + 1) * step)) for k in range(5)), closing]:
+        rows.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(events.schema).parquet(src)
+        streams.run_available_now(streams.rate_limit_stream(stream, limit=3, window_s=86400, delay="1 hour"), out=out, ckpt=ckpt)
     return spark.read.parquet(out).where("event_id >= 0").drop("_batch")
 
 

@@ -83,3 +83,13 @@ def test_rate_limit_stream_over_many_batches(spark, tmp_path):
     run()
     got = spark.read.parquet(out).where("event_id >= 0").drop("_batch").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, batch))
+
+
+def test_rate_limit_stream_of_unsorted_parts(spark, tmp_path):
+    """An events folder of several parts, each with rows of the whole time."""
+    q = entry.queries()
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    batch = sorted(map(tuple, q["rate_limit"](spark, str(tmp_path)).collect()))
+    stream = sorted(map(tuple, q["rate_limit_stream"](spark, str(tmp_path)).collect()))
+    assert stream == batch and len(batch) == events.count()
