@@ -1,31 +1,38 @@
 """Strict JSON-line acceptance with Go ``encoding/json`` rules, as Catalyst
 expressions over VARIANT (no UDF).
 
-* the line must be exactly one JSON value: it is wrapped as
-  ``{"w":<line>,"zq9":1}`` and must parse to an object of exactly those two
-  keys, so trailing text or a second value is rejected;
+* the line must be exactly one JSON value: ``[<line>]`` must parse to an array of
+  one element and ``{"w":<line>}`` must parse too.  After the line's first value
+  the one admits only ``]`` or the line's end, the other only ``}``, ``,`` or the
+  end, so trailing text or a second value is rejected whatever it holds;
 * keys match without regard to case (an exact match wins);
 * a wrong type for a known field rejects the whole line; ``null`` = absent;
   ``1.0``, ``1e2`` and out-of-range numbers are not integers;
-* known difference: a line with duplicate keys is rejected (Go keeps the
-  last one).
+* of a repeated key the last value holds (``spark.sql.variant.allowDuplicateKeys``,
+  which these functions set in the active session and its queries keep);
+* known differences for a repeated key: an earlier value of a wrong type does not
+  reject the line, a later ``null`` takes the place of an earlier value, and of
+  ``type`` and ``Type`` the exact one holds, not the last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-SENTINEL = "zq9"
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def wrapped(line: Column) -> Column:
-    return F.try_parse_json(F.concat(F.lit('{"w":'), line, F.lit(f',"{SENTINEL}":1}}')))
+    """``[line]`` as a VARIANT; null if that is not valid."""
+    SparkSession.active().conf.set(REPEATED_KEYS, "true")
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
 
 
-def whole_value_ok(w: Column) -> Column:
-    top = F.try_variant_get(w, "$", "map<string,variant>")
-    return F.coalesce((F.try_variant_get(w, f"$.{SENTINEL}", "int") == 1) & (F.size(top) == 2), F.lit(False))
+def whole_value_ok(w: Column, line: Column) -> Column:
+    """``w`` = ``wrapped(line)``."""
+    other = F.try_parse_json(F.concat(F.lit('{"w":'), line, F.lit("}")))
+    return F.coalesce((F.size(F.try_variant_get(w, "$", "array<variant>")) == 1) & other.isNotNull(), F.lit(False))
 
 
 def _field(obj: Column, name: str) -> Column:
@@ -43,9 +50,9 @@ def parse_objects(df, line: Column, fields: list[tuple[str, str]], out: str = "f
     parsed once and the key map is built once per line (projections whose
     results are used many times are not inlined by Catalyst)."""
     keep = [c for c in df.columns]
-    w = df.select(*keep, wrapped(line).alias("_w"))
-    m = w.select(*keep, whole_value_ok(F.col("_w")).alias("_ok0"),
-                 F.try_variant_get(F.col("_w"), "$.w", "map<string,variant>").alias("_obj"))
+    w = df.select(*keep, line.alias("_l"), wrapped(line).alias("_w"))
+    m = w.select(*keep, whole_value_ok(F.col("_w"), F.col("_l")).alias("_ok0"),
+                 F.try_variant_get(F.col("_w"), "$[0]", "map<string,variant>").alias("_obj"))
     obj = F.col("_obj")
     k = m.select(*keep, "_ok0", "_obj",
                  F.exists(F.map_keys(obj), lambda x: x != F.lower(x)).alias("_fold"))
@@ -68,8 +75,8 @@ def parse_objects(df, line: Column, fields: list[tuple[str, str]], out: str = "f
 def parse_object(line: Column, fields: list[tuple[str, str]]) -> Column:
     """struct<ok boolean, <fields>> for one line; ``fields`` = (name, 'string'|'bigint')."""
     w = wrapped(line)
-    obj = F.try_variant_get(w, "$.w", "map<string,variant>")
-    vals, ok = [], whole_value_ok(w) & obj.isNotNull()
+    obj = F.try_variant_get(w, "$[0]", "map<string,variant>")
+    vals, ok = [], whole_value_ok(w, line) & obj.isNotNull()
     for name, typ in fields:
         v = _field(obj, name)
         k = _kind(v)
@@ -81,4 +88,4 @@ def parse_object(line: Column, fields: list[tuple[str, str]]) -> Column:
 
 def json_value_ok(s: Column) -> Column:
     """True when ``s`` is exactly one valid JSON value (any kind)."""
-    return whole_value_ok(wrapped(s))
+    return whole_value_ok(wrapped(s), s)

@@ -85,3 +85,22 @@ def test_history(spark):
     assert [m.role for m in h[2].messages] == ["user", "assistant", "user"]
     s = turns.history_sessions(msgs, F.col("turn") == 3).orderBy("session").collect()
     assert [(r.session, r.n_messages) for r in s] == [(0, 3), (1, 1)]
+
+
+def test_repeated_keys_and_whole_values(spark):
+    """Of a repeated key the last value holds; a line that is not one whole value gives nothing."""
+    from codesieve.functions.jsonline import json_value_ok
+    from codesieve.streaming import streams
+    good = ['{"type":"T","severity":"LOW","severity":"HIGH","line":1,"line":2,"x":{"a":1,"a":2}}', '{"line":7,"severity":"LOW","type":"T"}', "1", "[1,2]", '"a"', "null", "{}"]
+    bad = ['{"type":"A"},"zq9":1', '{"type":"A"},"w":1', '{"type":"A"}],[1', '{"type":"A"}]', '{"type":"A"}}', '{"type":"A"},{"type":"B"}', '{"type":"A"} x',
+           '1],[2', '1}', '1],"w":[2', "1,2", "", "{", '"a', "1]}", "1}]"]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(good + bad)], "i int, s string")
+    assert [r.i for r in lines.where(json_value_ok(F.col("s"))).orderBy("i").collect()] == list(range(len(good)))
+    docs = spark.createDataFrame([(1, "\n".join(good + bad))], "out_id bigint, output string")
+    for parse in (extract.parse_findings, extract.parse_findings_strict):
+        got = [(r.line, r.severity) for r in parse(docs, "output", ["out_id"]).collect()]
+        assert {(2, "HIGH"), (7, "LOW")} <= set(got) and all(r != (1, "LOW") for r in got)
+    frame = 'data: {"type":"progress","type":"done"}\n\ndata: {"type":"error"},"zq9":1\n\n'
+    events = extract.decode_frames(spark.createDataFrame([(1, 0, frame)], "stream_id bigint, chunk_no int, chunk string"))
+    assert [r.type for r in events.collect()] == ["done"]
+    assert streams.run_status_agg(events).first().status == "ready"
