@@ -240,6 +240,27 @@ def test_decontamination(spark, odd, empty):
         assert decontam.Pattern(1, p, 0.1, 8).closest(t)[0] == min(row)
 
 
+def test_decontamination_to_the_whole_rate(spark):
+    item = "the seven rivers flow north from the old stone city before they all meet the wide sea"
+    bench = spark.createDataFrame([(1, item), (2, "What is the capital of France?"), (3, " \t ")], "item_id long, text string")
+    texts = ["x " + item.replace("rivers", "quxzzy") + " y", "He asked: what is\nthe capital of france? Paris.", "somewhat is the capital of France?",
+             item[:20] + item[28:] + " and", "What is the capital of Francs?", "a" + item[1:20] + "#" + item[20:40] + "##" + item[42:60] + item[63:]]
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    assert got == {(0, 1, 6), (1, 2, 0), (3, 1, 8), (5, 1, 7)}
+    rng = np.random.default_rng(9)
+    for n in range(300):  # every copy within the budget is found
+        p = "".join(rng.choice(list("abcdefgh "), rng.integers(32, 120)))
+        own, copy = decontam.Pattern(1, p, 0.1, 1, 32), list(p)
+        for _ in range(own.budget):
+            at = rng.integers(0, len(copy))
+            copy[at:at + rng.integers(0, 2)] = list(rng.choice(["", "x", "a"], 1)[0])
+        text = "ab cd " * int(rng.integers(0, 9)) + "".join(copy) + " gh" * 5
+        want = own.closest(text)[0]
+        best = [d for _, _, _, d in decontam.leaks_of(text, [own], decontam.automaton([own]))]
+        assert (min(best) == want if want <= own.budget else not best), (p, text)
+
+
 def test_token_files(spark, odd, empty, tmp_path):
     ids = whole(BYTE_BPE)
     for n, part in enumerate((odd, empty)):
