@@ -124,11 +124,40 @@ def generated_code(classified: DataFrame) -> DataFrame:
                         "code")
 
 
+def _exact_percentiles(values: DataFrame, accuracy: int) -> DataFrame:
+    """(run_id, p50, p95) of ``values(run_id, v)`` per run and, under a null run,
+    overall: the value of rank ``ceil(p * n)``.  Per run the counted values are
+    ranked.  Overall a mergeable sketch gives bounds some ten of its errors about
+    each rank; below them values are only counted, and only the distinct
+    values between them (some 20 / ``accuracy`` of all) are ranked in one task."""
+    counted = values.groupBy("run_id", "v").agg(F.count(F.lit(1)).alias("n"))
+
+    def reached(p, total):  # whether a running count has reached the rank
+        return F.col("upto") >= F.greatest(F.lit(1), F.floor((total * p + 99) / 100))
+
+    own = Window.partitionBy("run_id")
+    upto = own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.where(F.col("run_id").isNotNull()).withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(own))
+    runs = ranked.groupBy("run_id").agg(*[F.min(F.when(reached(p, F.col("total")), F.col("v"))).alias(f"p{p}") for p in (50, 95)])
+    bounds = [min(1.0, max(0.0, p / 100 + side * 10 / accuracy)) for p in (50, 95) for side in (-1, 1)]
+    sketch = values.agg(F.count(F.lit(1)).alias("total"), F.percentile_approx("v", bounds, accuracy).alias("b"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col("b")[i].alias("lo"), F.col("b")[i + 1].alias("hi"))
+                               for p, i in ((50, 0), (95, 2))])).alias("e")
+    near = (counted.groupBy("v").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(sketch.select("total", each)))
+            .where(F.col("v") <= F.col("e.hi"))
+            .groupBy("e.p", "total", F.when(F.col("v") >= F.col("e.lo"), F.col("v")).alias("v")).agg(F.sum("n").alias("n"))
+            .withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy(F.col("v").asc_nulls_first())
+                                                .rowsBetween(Window.unboundedPreceding, 0))))
+    overall = near.where(reached(F.col("p"), F.col("total"))).groupBy().agg(
+        *[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in (50, 95)])
+    return runs.union(overall.select(F.lit(None).cast(values.schema["run_id"].dataType).alias("run_id"), "p50", "p95"))
+
+
 def exec_stats(classified: DataFrame, accuracy: int = 100000) -> DataFrame:
     """Op 28: executed turns per run and overall (ROLLUP): success = exit 0;
-    failure kinds; duration mean and p50 / p95.  Percentiles use the
-    mergeable ``percentile_approx`` sketch (exact at these sizes), never an
-    exact percentile that would gather one group's values in one task."""
+    failure kinds; duration mean and p50 / p95, both of exact rank however
+    many values there are.  ``accuracy`` is that of the sketch that narrows down
+    the overall ranks; it does not change the answer."""
     ex = classified.where(F.col("cls").isin("exec_error", "exec_error_fatal", "failed", "failed_fatal",
                                             "success"))
     e = F.coalesce(F.col("exec_error"), F.lit(""))
@@ -139,10 +168,12 @@ def exec_stats(classified: DataFrame, accuracy: int = 100000) -> DataFrame:
             F.count_if(is_err & e.contains("validación de seguridad")).alias("n_rejected"),
             F.count_if(is_err & ~e.contains("timeout") & ~e.contains("validación de seguridad")).alias("n_exec_error"),
             F.count_if(~is_err & (F.col("exit_code") != 0)).alias("n_exit_nonzero"),
-            F.avg(F.when(~is_err, F.col("duration_s"))).alias("mean_duration_s"),
-            F.percentile_approx(F.when(~is_err, F.col("duration_s")), 0.5, accuracy).alias("p50_duration_s"),
-            F.percentile_approx(F.when(~is_err, F.col("duration_s")), 0.95, accuracy).alias("p95_duration_s")]
+            F.avg(F.when(~is_err, F.col("duration_s"))).alias("mean_duration_s")]
+    timed = ex.where(~is_err & F.col("duration_s").isNotNull()).select("run_id", F.col("duration_s").alias("v"))
+    ranks = _exact_percentiles(timed, accuracy).select(
+        F.col("run_id").alias("_run"), F.col("p50").alias("p50_duration_s"), F.col("p95").alias("p95_duration_s"))
     r = ex.rollup("run_id").agg(*aggs)
+    r = r.join(ranks, r["run_id"].eqNullSafe(ranks["_run"]), "left")
     return r.select(F.when(F.col("run_id").isNull(), F.lit("total")).otherwise(F.lit("run")).alias("level"),
                     "run_id", "n_exec", "n_success",
                     F.round(F.col("n_success") / F.col("n_exec"), 6).alias("success_rate"),

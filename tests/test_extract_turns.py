@@ -104,3 +104,20 @@ def test_repeated_keys_and_whole_values(spark):
     events = extract.decode_frames(spark.createDataFrame([(1, 0, frame)], "stream_id bigint, chunk_no int, chunk string"))
     assert [r.type for r in events.collect()] == ["done"]
     assert streams.run_status_agg(events).first().status == "ready"
+
+
+def test_exec_stats_ranks_are_exact(spark):
+    """A sketch that is far too coarse for the data does not change the ranks."""
+    n = 20000
+    rows = spark.range(n).select(
+        (F.col("id") % 7).alias("run_id"), F.lit("success").alias("cls"), F.lit(None).cast("string").alias("exec_error"),
+        F.lit(0).alias("exit_code"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / 977).alias("duration_s"))
+    rows = rows.union(rows.where("run_id = 3").withColumn("duration_s", F.lit(5.0))).repartition(9)
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r.run_id, []).append(r.duration_s)
+        values.setdefault(None, []).append(r.duration_s)
+    got = {r.run_id: (r.p50_duration_s, r.p95_duration_s) for r in turns.exec_stats(rows, accuracy=50).collect()}
+    assert got == {k: tuple(sorted(v)[-(-len(v) * p // 100) - 1] for p in (50, 95)) for k, v in values.items()}
+    one = turns.exec_stats(rows.where("duration_s = 5").limit(1)).collect()
+    assert [(r.p50_duration_s, r.p95_duration_s) for r in one] == [(5.0, 5.0)] * 2
