@@ -10,7 +10,8 @@ in the order in which they will be searched.
 How many leaves are visited is calibrated: for a bounded set of ``probes``
 queries the exact neighbours among all vectors are found in blocks, and the number
 of leaves is widened until ``recall`` of them lie in visited leaves (all leaves, if
-need be, which is exact).
+need be, which is exact).  A query whose visited leaves hold fewer than ``k`` other
+rows goes on down its queue until they do.
 
 Search is in blocks: leaves are cut into blocks of about ``block_rows`` vectors
 by id hash (so a leaf of a third of all rows, say copies of one vector, is many
@@ -19,9 +20,9 @@ chunk's queries with one block and keeps the best ``k`` per query; a second
 step keeps the best of those.  Scores are inner products of the original
 vectors in double precision, ties go to the smaller id.
 
-Edge cases: vectors that are null, empty, zero, of a rarer length than the most
-frequent one, or that hold null or non-finite components take no part; nor do null
-ids.  Rows repeating an id are all candidates, and none of them for its own id;
+Edge cases: vectors that are null, empty, zero, or that hold null or non-finite
+components take no part; nor do null ids.  Vectors of each length are searched among
+their own kind, with a tree of their own (an id with several lengths is asked in each).  Rows repeating an id are all candidates, and none of them for its own id;
 of a repeated query id the smallest vector (as an array) is asked.
 Fewer than ``k`` candidates give them all; an empty table gives no rows.
 """
@@ -74,13 +75,15 @@ class Tree:
                 open_ += [(c, own[near == j]) for j, c in enumerate(self.kids[node]) if (near == j).any()]
         return out
 
-    def visits(self, query: np.ndarray, n: int) -> list[int]:
-        """The first ``n`` leaves for one query, best bin first."""
-        out, queue = [], [(0.0, 0)]
-        while queue and len(out) < n:
+    def visits(self, query: np.ndarray, n: int, sizes: list[int] | None = None, least: int = 0) -> list[int]:
+        """The first ``n`` leaves for one query, best bin first, and more until
+        they hold ``least`` rows by their ``sizes``."""
+        out, queue, held = [], [(0.0, 0)], 0
+        while queue and (len(out) < n or held < least):
             _, node = heapq.heappop(queue)
             if not self.kids[node]:
                 out.append(self.leaf_of[node])
+                held += sizes[out[-1]] if sizes else 0
             else:
                 near = np.stack([self.centres[c] for c in self.kids[node]]) @ query
                 for c, s in zip(self.kids[node], near.tolist(), strict=True):
@@ -101,14 +104,12 @@ def _k_means(rows: np.ndarray, k: int, rng, rounds: int = 12) -> tuple[np.ndarra
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v array<double>, place) of the rows that take part."""
+    """(vec_id, v array<double>, place, dim) of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(sound)
-    sizes = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim = sizes[0].dim if sizes else 0
-    return rows.where(F.size("v") == dim).withColumn("place", F.xxhash64("vec_id", F.lit(10)))
+    return rows.withColumns({"place": F.xxhash64("vec_id", F.lit(10)), "dim": F.size("v")})
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -170,10 +171,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, branch: int = 8,
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query;
     ``is_query`` is a condition on column ``vec_id``."""
     spark = vectors.sparkSession
-    rows = C.cut(usable(vectors, id_col, vector_col))
-    n = rows.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows, out = C.cut(usable(vectors, id_col, vector_col)), None
+    for r in rows.groupBy("dim").count().where("count > 1").orderBy("dim").collect():  # a row per length
+        found = _nearest_alike(rows.where(F.col("dim") == r.dim).drop("dim"), is_query, k, branch, sample, leaf_share, probes, recall,
+                               block_rows, chunk_rows)
+        out = found if out is None else out.union(found)
+    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_alike(rows: DataFrame, is_query: Column, k: int, branch: int, sample: int, leaf_share: float, probes: int, recall: float,
+                   block_rows: int, chunk_rows: int) -> DataFrame:
+    """``nearest`` among vectors of one length."""
+    spark = rows.sparkSession
     fit = _matrix(pd.Series([r.v for r in rows.orderBy("place", "vec_id", "v").limit(sample).select("v").collect()]))
     tree = Tree(fit, branch, max(k, int(len(fit) * leaf_share)))
     held = spark.sparkContext.broadcast(tree)
@@ -201,15 +210,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, branch: int = 8,
     block = F.get(array(first), leaf) + F.pmod(F.col("place"), F.get(array(parts), leaf)).cast("int")
     blocks_of = [list(range(f, f + p)) for f, p in zip(first, parts, strict=True)]
 
-    queries = indexed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    queries = indexed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(
+        F.min("v").alias("q"), F.count("*").alias("own"))
+    sizes = [counts.get(x, 0) for x in range(tree.leaves)]
 
     def asked(own: DataFrame, visits: int, chunks: int) -> DataFrame:
         def run(batches):
             for b in C.frames(batches):
                 out = []
-                for i, q in zip(b["query_id"], b["q"], strict=True):
+                for i, q, n_own in zip(b["query_id"], b["q"], b["own"], strict=True):
                     per_block: dict[int, list[int]] = {}
-                    for x in held.value.visits(np.asarray(q), visits):
+                    for x in held.value.visits(np.asarray(q), visits, sizes, k + n_own):
                         for y in blocks_of[x]:
                             per_block.setdefault(y, []).append(x)
                     out += [(i, q, y, xs) for y, xs in per_block.items()]

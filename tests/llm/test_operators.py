@@ -298,3 +298,16 @@ def test_nearest(spark):
     assert ann.nearest(vectors.where("1 = 0"), F.col("vec_id") % 20 == 0).count() == 0
     few = ann.nearest(vectors.where("vec_id < 5"), F.col("vec_id") % 20 == 0).collect()
     assert [r["rank"] for r in few] == [1, 2, 3, 4]
+
+
+def test_nearest_gives_every_query_its_k(spark):
+    """Small leaves beside the query, and vectors of a rarer length."""
+    rng = np.random.default_rng(10)
+    far = rng.normal(size=(12, 8)) * 3  # clusters, some of them of a few rows
+    v = np.concatenate([c + rng.normal(size=(m, 8)) / 50 for c, m in zip(far, [3, 2, 1, 4, 90, 90, 90, 5, 2, 3, 90, 90], strict=True)])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(1000 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(30, 5)))]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") >= 0, k=20, branch=8, recall=0.5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {i: len(set(x)) for i, x in got.items()} == {i: 20 for i, _ in rows}
+    assert all((i >= 1000) == (j >= 1000) for i, x in got.items() for j in x)
