@@ -26,7 +26,7 @@ texts have no leaks; repeated documents and items give repeated rows; empty tabl
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -55,11 +55,6 @@ def _masks(text: str) -> dict[str, int]:
     return out
 
 
-@lru_cache(maxsize=1 << 15)
-def _range_masks(text: str) -> dict[str, int]:
-    return _masks(text)
-
-
 def _closest(m: int, masks: dict[str, int], text: str, enough: int = -1) -> tuple[int, int]:
     """Smallest edit distance of a pattern to any part of ``text`` and where that part
     ends (the first such end), by bit-parallel columns; stops at a distance of ``enough``."""
@@ -96,6 +91,7 @@ class Pattern:
         self.edges = [m * i // (self.budget + 1) for i in range(self.budget + 2)]
         self.pieces = [(a, self.text[a:b]) for a, b in zip(self.edges, self.edges[1:], strict=False)]
         self.masks = {} if self.exact else _masks(self.text)
+        self._range_masks: dict[tuple[int, int], dict[str, int]] = {}
 
     def closest(self, text: str) -> tuple[int, int]:
         """Smallest edit distance of the item to any part of ``text`` and
@@ -116,7 +112,9 @@ class Pattern:
         """Whether every range about piece ``i`` lies near its place when the item would lie at ``start``."""
         for a, b, k in self.ranges(i):
             near = text[max(0, start + a - k):max(0, start + b + k)]
-            if _closest(b - a, _range_masks(self.text[a:b]), near, k)[0] > k:
+            if (a, b) not in self._range_masks:
+                self._range_masks[a, b] = _masks(self.text[a:b])
+            if _closest(b - a, self._range_masks[a, b], near, k)[0] > k:
                 return False
         return True
 
@@ -165,24 +163,35 @@ def leaks_of(text: str | None, patterns: list[Pattern], found: ahocorasick.Autom
                 yield p, max(lo, lo + end - len(pattern.text)), lo + end, distance
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, piece: int = 1, min_chars: int = 32,
-               block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text",
-               item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, start, end, distance): one row per leak.  ``start`` is
-    the end less the item's length, exact for a distance of 0."""
-    docs = C.texts(docs, id_col, text_col)
+def _blocks(benchmark: DataFrame, block_bytes: int, item_id_col: str, item_text_col: str):
+    """The items as lists of (id, folded text), each of at most ``block_bytes`` and one more item."""
     items = C.texts(benchmark, item_id_col, item_text_col).where(F.col("text").rlike(r"(?U)\S"))
     sums = F.sum(F.octet_length("text")).over(W.partitionBy("part").orderBy("doc_id", "text").rowsBetween(W.unboundedPreceding, -1))
     parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     blocks = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * parts))).withColumn(
         "block", F.floor(F.coalesce(sums, F.lit(0)) / F.lit(block_bytes)))
-    spark, out = docs.sparkSession, None
     for part, block in sorted((r.part, r.block) for r in blocks.select("part", "block").distinct().collect()):
         rows = blocks.where((F.col("part") == part) & (F.col("block") == block)).select("doc_id", "text").collect()
-        held = spark.sparkContext.broadcast(sorted(((r.doc_id, folded(r.text)) for r in rows), key=lambda r: (r[0] is None, r)))
+        yield sorted(((r.doc_id, folded(r.text)) for r in rows), key=lambda r: (r[0] is None, r))
+
+
+def _patterns(items: list, rate: float, piece: int, min_chars: int) -> list[Pattern]:
+    return [Pattern(i, t, rate, piece, min_chars) for i, t in items if t.strip(" ")]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, piece: int = 1, min_chars: int = 32,
+               block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text",
+               item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, start, end, distance): one row per leak.  ``start`` is
+    the end less the item's length, exact for a distance of 0.  The documents are
+    read once for each block of the benchmark."""
+    docs = C.texts(docs, id_col, text_col)
+    spark, out = docs.sparkSession, None
+    for items in _blocks(benchmark, block_bytes, item_id_col, item_text_col):
+        held = spark.sparkContext.broadcast(items)
 
         def run(batches, held=held):
-            patterns = [Pattern(i, t, rate, piece, min_chars) for i, t in held.value if t.strip(" ")]
+            patterns = _patterns(held.value, rate, piece, min_chars)
             found = automaton(patterns)
             for b in C.frames(batches):
                 rows = [(i, patterns[p].item_id, s, e, d) for i, t in zip(b["doc_id"], b["text"], strict=True)
@@ -195,7 +204,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, piece:
     return out if out is not None else docs.sparkSession.createDataFrame([], LEAKS)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a leak."""
-    found = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak_id"]), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, piece: int = 1, min_chars: int = 32,
+                  block_bytes: int = 8 << 20, text_col: str = "text", item_id_col: str = "item_id",
+                  item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a leak.  Each row is judged where
+    it lies, by one filter for each block of the benchmark: nothing is shuffled."""
+    def clean(held):
+        @F.pandas_udf("boolean")
+        def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            patterns = _patterns(held.value, rate, piece, min_chars)
+            found = automaton(patterns)
+            for texts in batches:
+                yield pd.Series([next(leaks_of(t, patterns, found), None) is None for t in texts], dtype=bool)
+
+        return judge(F.col(text_col).cast("string"))
+
+    for items in _blocks(benchmark, block_bytes, item_id_col, item_text_col):
+        docs = docs.where(clean(docs.sparkSession.sparkContext.broadcast(items)))
+    return docs

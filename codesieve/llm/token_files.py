@@ -14,11 +14,12 @@ A block's width is that of the ``percentile`` smallest value; what needs more
 bits is an exception.  Blocks run across documents, the last one is filled up with its own last id.
 
 Documents are ranged by id, each task writes files of ``segments_per_file``
-segments (about 0.5 MB each) in ascending order, and Spark's text sink carries the
-bytes, so any store that Spark can write will do.  The ``binaryFile`` source reads
+segments (about 0.5 MB each) in ascending order under ``kind=data``, and Spark's text sink carries the
+bytes, so any store that Spark can write will do.  The same job writes the manifest under
+``kind=manifest``: task, number of the file within it, and its ids, a line for each file.  The ``binaryFile`` source reads
 files whole, so their size bounds a reading task's memory; raise it with the
-executors.  A document's start is its place within its file plus the ids in the
-files before it.
+executors.  A document's start is its place within its file plus the ids of the
+files before it, which the manifest tells: the files themselves are read once.
 
 Edge cases: a null or empty text is its end id alone; null document ids come
 first; rows that repeat an id are ordered by text; an empty table gives no documents.
@@ -31,6 +32,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -135,44 +137,47 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def run(batches):
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        ids, held, size = [], [], 0
+        ids, held, size, n_ids = [], [], 0, []
+
+        def segment():
+            n_ids.append(size)
+            return pd.DataFrame({"kind": "data", "seq": len(n_ids), "value": [encode_segment(ids, held, block, percentile)]})
+
         for b in C.frames(batches):
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 ids.append(NULL_ID if pd.isna(i) else int(i))
                 held.append(enc.ids(t) + end)
                 size += len(held[-1]) // 4
                 if size >= SEGMENT_IDS:
-                    yield pd.DataFrame({"segment": [encode_segment(ids, held, block, percentile)]})
+                    yield segment()
                     ids, held, size = [], [], 0
         if held:
-            yield pd.DataFrame({"segment": [encode_segment(ids, held, block, percentile)]})
+            yield segment()
+        if n_ids:
+            task, per_file = TaskContext.get().partitionId(), np.add.reduceat(n_ids, np.arange(0, len(n_ids), segments_per_file))
+            yield pd.DataFrame([("manifest", j, f"{task} {j} {n}".encode()) for j, n in enumerate(per_file)], columns=["kind", "seq", "value"])
 
     spark = docs.sparkSession
     rows = C.texts(docs, id_col, text_col)
     ranged = rows.repartitionByRange(partitions or C.shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInPandas(run, "segment binary").select(F.col("segment").cast("string").alias("value")) \
-        .write.option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", segments_per_file).text(path)
+    ranged.mapInPandas(run, "kind string, seq long, value binary").sortWithinPartitions("kind", "seq") \
+        .select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind") \
+        .option("compression", "none").option("lineSep", "\n").option("maxRecordsPerFile", segments_per_file).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary) of every document in ``path``;
     ``ids`` as little-endian unsigned 32-bit integers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
+    listed = sorted(tuple(map(int, r.value.split())) for r in spark.read.text(f"{path}/kind=manifest").collect())  # one row per file
+    base = dict(zip([f[:2] for f in listed], np.cumsum([0, *[f[2] for f in listed]]).tolist(), strict=False))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/kind=data").select(
         F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-
-    def totals(batches):
-        for b in C.frames(batches):
-            yield pd.DataFrame({"file": b["file"], "n": [sum(s[0] for s in segments(c)) for c in b["content"]]})
-
-    order = lambda f: tuple(int(x) for x in re.findall(r"^part-(\d+)|-c(\d+)\.", f) for x in x if x)
-    rows = files.mapInPandas(totals, "file string, n long").collect()  # one row per file
-    sizes = sorted(((r.file, r.n) for r in rows), key=lambda r: order(r[0]))
-    base = dict(zip([f for f, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist(), strict=False))
+    place = re.compile(r"part-(\d+)-.*\bc(\d+)\.")
 
     def run(batches):
         for b in C.frames(batches):
             for file, content in zip(b["file"], b["content"], strict=True):
-                start = base[file]
+                start = base[tuple(map(int, place.match(file).groups()))]
                 for n, n_docs, block, rest in segments(content):
                     doc_ids, lengths, ids = decode_segment(n, n_docs, block, rest)
                     ends = np.cumsum(lengths)

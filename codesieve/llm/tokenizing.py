@@ -1,13 +1,17 @@
 """Token ids of whole texts by the ``tokenizers`` library, with each distinct
-word encoded once per worker.
-
-Neither tokenizer family kept here lets a token cross from a non-blank to a blank:
-a text may be cut there and encoded piece by piece.  Pieces repeat, so their
-ids are kept (the ``KEPT`` newest and those asked for among the ``KEPT`` before
-them: a bound on memory, not on the result); a new piece of plain Latin letters goes straight to the library's
-BPE model (with the byte-to-character table of byte-level BPE), any other
-through its full pipeline.  ``tests/llm/test_operators.py`` holds the result
-against encoding whole texts.
+pre-token encoded once per worker.
+
+A text of common characters (ASCII, Latin letters, usual marks: ``ODD`` finds any
+other) is split into its pre-tokens by a regular expression, and each goes to the
+library's BPE model.  Of any other text the pieces between blanks are looked
+at: neither tokenizer family kept here lets a pre-token cross from a non-blank to a
+blank, so a piece with an odd character goes through the library's full pipeline, and the
+rest as above.  A text that holds a special token's string goes through the pipeline whole.
+
+Pre-tokens repeat, so their ids are kept: at most ``KEPT_BYTES`` of the newest and
+those asked for among as many before them, none longer than ``KEPT_LENGTH`` characters.  This
+bounds memory, not the result, to some 80 MB a worker.  ``tests/llm/`` holds the result
+against the library's plain call on whole texts.
 """
 
 from __future__ import annotations
@@ -20,14 +24,18 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MARKS = ".,;:!?*&%$#@+-=/()[]{}"  # one run of them is one pre-token; no apostrophe (contractions)
-PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([" + re.escape(MARKS) + "]*)")
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
-ODD_BLANK = re.compile(r"[^\S \n]")
-PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-KEPT = 400_000
-KEPT_WORDS = 400_000
-_ENCODERS: dict[str, "Encoder"] = {}
+LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # without U+0130, whose lower case is two characters
+BLANK = "\\t-\\r "
+WHITE = BLANK + "\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+ODD = re.compile(f"[^{BLANK}!-~{LETTER}«»°©–—‘’“”…•€]")
+PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+CONTRACTION = "'s|'t|'re|'ve|'m|'ll|'d"
+WITH_BLANKS = re.compile(f"{CONTRACTION}| ?[{LETTER}]+| ?[0-9]+| ?[^{BLANK}{LETTER}0-9]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+WITHOUT_BLANKS = re.compile(f"(?i:{CONTRACTION})|[{LETTER}]+|[0-9]|[^{BLANK}{LETTER}0-9]+")
+KEPT_BYTES = 40_000_000
+KEPT_LENGTH = 64
+ENTRY_BYTES = 190  # of a dictionary entry, its key's and its value's headers
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_characters() -> dict[int, str]:
@@ -39,95 +47,64 @@ def _byte_characters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
         super().__init__()
         self._all = Tokenizer.from_file(path)
-        self._all.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._all.encode_special_tokens = plain_specials
+        self._specials = [] if plain_specials else [t.content.lower() for t in self._all.get_added_tokens_decoder().values()]
         self._model, self._normalizer = self._all.model, self._all.normalizer
-        self._drops_blanks = bool(getattr(self._model, "end_of_word_suffix", None))
+        ends = bool(getattr(self._model, "end_of_word_suffix", None))
+        self._split = (WITHOUT_BLANKS if ends else WITH_BLANKS).findall
         self._characters = _byte_characters()
-        self._old: dict[str, bytes] = {}  # pieces not asked for since the last turn
-        self._words: dict[str, bytes] = {}
-        self._old_words: dict[str, bytes] = {}
+        self._size, self._old = 0, {}  # bytes kept; entries not asked for since the last turn
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._all.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _run(self, run: str) -> bytes:
-        """Ids of one pre-token (letters with an optional blank, or punctuation)."""
-        got = self._words.get(run)
-        if got is not None:
-            return got
-        got = self._old_words.pop(run, None)
-        if got is None:
-            if run.isascii() and run.isalpha():
-                mapped = run  # these characters stand for themselves
-            else:
-                mapped = run.encode("utf-8").decode("latin-1").translate(self._characters)
-            got = array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
-        if len(self._words) >= KEPT_WORDS:
-            self._words, self._old_words = {}, self._words
-        self._words[run] = got
-        return got
-
-    def _plain(self, blank: str, word: str, marks: str) -> bytes | None:
-        """Ids of a blank, Latin letters and marks; None if normalizing leaves other characters."""
-        if self._normalizer:
-            word = word.lower() if word.isascii() else self._normalizer.normalize_str(word)
-            if not LETTERS.fullmatch(word):
-                return None
-        if self._drops_blanks:
-            ids = self._run(word)
-        else:
-            ids = self._run("\n") + self._run(word) if blank == "\n" else self._run(blank + word)
-        return ids + self._run(marks) if marks else ids
-
-    def _ascii(self, piece: str) -> bytes | None:
-        """Ids of one word of A-Z and a-z with a single space before it or marks
-        behind it, if that is what the piece is; cheaper than ``PLAIN``."""
-        run = piece.rstrip(MARKS)
-        word = run[1:] if run[:1] == " " else run
-        if not (word.isalpha() and word.isascii()):
-            return None
-        ids = self._run(word.lower() if self._drops_blanks else run)
-        return ids if len(run) == len(piece) else ids + self._run(piece[len(run):])
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self._old.pop(piece, None) or self._ascii(piece)
+    def __missing__(self, run: str) -> bytes:
+        ids = self._old.pop(run, None)
         if ids is None:
-            plain = PLAIN.fullmatch(piece)
-            ids = self._plain(*plain.groups()) if plain else None
-            if ids is None:
-                ids = self._whole(piece)
-        if len(self) >= KEPT:
-            self._old = dict(self)
-            self.clear()
-        self[piece] = ids
+            own = run
+            if self._normalizer:
+                own = run.lower() if run.isascii() else self._normalizer.normalize_str(run)
+            if not (own.isascii() and own.isalpha()):  # those characters stand for themselves
+                own = own.encode("utf-8").decode("latin-1").translate(self._characters)
+            ids = array("I", [t.id for t in self._model.tokenize(own)]).tobytes()
+        if len(run) <= KEPT_LENGTH:
+            self._size += ENTRY_BYTES + len(run) + len(ids)
+            if self._size > KEPT_BYTES:
+                self._old, self._size = dict(self), 0
+                self.clear()
+            self[run] = ids
         return ids
 
-    def _pieces(self, text: str) -> list[str]:
-        if self._drops_blanks:
-            return text.replace("\n", " ").split(" ")
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            out.append("\n" + words[0] if i else words[0])
-            out += [" " + w for w in words[1:]]
-        if len(text.split()) == len(out) and "" not in out and " " not in out and "\n" not in out:
-            return out  # every blank is a single space or line end before a word
-        return [text] if ODD_BLANK.search(text) else PIECE.findall(text)
-
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return b"".join(map(self.__getitem__, self._pieces(text)))
+        if self._specials and "<" in text:
+            low = text.lower()
+            if any(s in low for s in self._specials):
+                return self._whole(text)
+        if not ODD.search(text):
+            return b"".join(map(self.__getitem__, self._split(text)))
+        out: list[bytes] = []
+        for piece in PIECE.findall(text):
+            if ODD.search(piece):
+                out.append(self._whole(piece))
+            else:
+                out += map(self.__getitem__, self._split(piece))
+        return b"".join(out)
+
 
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
+    """The worker's encoder for the tokenizer file ``path``, loaded once.  With ``plain_specials``
+    the strings of special tokens in a text are ordinary text."""
+    key = path, plain_specials
+    if key not in _ENCODERS:
+        _ENCODERS.clear()  # a reused worker keeps one
+        _ENCODERS[key] = Encoder(path, plain_specials)
+    return _ENCODERS[key]
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for the tokenizer file ``path``, loaded once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]

@@ -18,13 +18,13 @@ WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokeniz
 def whole(path):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
 def test_tokens_equal_whole_texts():
     rng = np.random.default_rng(1)
-    parts = ["a", "B", "é", "İ", "ß", " ", " ", "\n", "\t", "  ", "'s", "1", "²", "日", "\x1c", "\xa0", "é", "Σ", "<|endoftext|>", "word", "x,", "\r\n"]
+    parts = ["a", "B", "é", "İ", "ß", " ", " ", "\n", "\t", "  ", "'s", "1", "²", "日", "\x1c", "\xa0", "é", "Σ", "<|endoftext|>", "word", "x,", "\r\n", "'S",
+             "’", "—", "<|ENDOFTEXT|>", "12", "ſ", "Ⱥ", "Ĳ", "'ll", "\x7f", "\x85", "日本語"]
     for path in (WORD_BPE, BYTE_BPE):
         own, all_ = tokenizing.Encoder(path), whole(path)
         for _ in range(3000):
@@ -32,6 +32,23 @@ def test_tokens_equal_whole_texts():
             assert np.frombuffer(own.ids(s), "<u4").tolist() == all_(s), repr(s)
 
 
+def test_kept_tokens_are_bounded_in_bytes():
+    """Pieces without blanks, odd blanks and special tokens: nothing long is kept, and a full cache changes no ids."""
+    texts = ["日本語の文章。" * 400, "a\tb" * 300, "x <|endoftext|> y", "word\u3000" * 200, "ab" * 500] + [f"w{i}q{i * 7}" for i in range(4000)]
+    before = tokenizing.KEPT_BYTES
+    try:
+        tokenizing.KEPT_BYTES = 100_000
+        for path in (WORD_BPE, BYTE_BPE):
+            own, all_ = tokenizing.Encoder(path), whole(path)
+            for s in texts + texts[:5]:
+                assert np.frombuffer(own.ids(s), "<u4").tolist() == all_(s), s[:40]
+                assert own._size <= 100_000 and max(map(len, own), default=0) <= tokenizing.KEPT_LENGTH
+            plain = tokenizing.Encoder(path, plain_specials=True)
+            assert len(plain.ids(texts[2])) > len(own.ids(texts[2]))
+    finally:
+        tokenizing.KEPT_BYTES = before
+
+
 def test_secrets(odd, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
     got = {(r.doc_id, len(r.spans)): [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(odd).collect()}
@@ -227,6 +244,9 @@ def test_decontamination(spark, odd, empty):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.distance for r in decontam.find_leaks(docs, bench).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 6: 0}
+    kept = decontam.without_leaks(docs.withColumn("leaky", F.lit(1)), bench, block_bytes=60)  # two blocks
+    assert {r.doc_id for r in kept.collect()} == {3, 4, 5} and kept.columns == ["doc_id", "text", "leaky"]
+    assert decontam.without_leaks(odd, bench).count() == len(CASES)
     assert decontam.find_leaks(odd, bench).count() == decontam.find_leaks(empty, bench).count() == decontam.find_leaks(docs, bench.where("1 = 0")).count() == 0
     rng = np.random.default_rng(5)
     for _ in range(60):  # bit-parallel distance against the table
