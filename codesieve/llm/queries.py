@@ -1,4 +1,4 @@
-"""Registered queries ``op1_`` to ``op10_`` and ``pipeline``: each applies its
+"""Registered queries ``op1_`` to ``op13_`` and ``pipeline``: each applies its
 operator with production parameters to its whole table and derives the digest
 columns from what the operator returns."""
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.llm import (ann, common, decontam, licenses, neardup, packing, quality, secret_scan, sharding, substring,
-                           token_files)
+                           token_files, turn_repair)
 from codesieve.llm.oracles import ORACLES  # noqa: F401
 from codesieve.session import table_path
 
@@ -96,4 +96,9 @@ def op10_nearest(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@register
+def op13_turn_repair(spark, sf_dir):
+    return turn_repair.repair_digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

@@ -10,7 +10,7 @@ rest as above.  A text that holds a special token's string goes through the pipe
 
 Pre-tokens repeat, so their ids are kept: at most ``KEPT_BYTES`` of the newest and
 those asked for among as many before them, none longer than ``KEPT_LENGTH`` characters.  This
-bounds memory, not the result, to some 80 MB a worker.  ``tests/llm/`` holds the result
+bounds memory, not the result, to some 128 MB a worker.  ``tests/llm/`` holds the result
 against the library's plain call on whole texts.
 """
 
@@ -30,9 +30,9 @@ WHITE = BLANK + "\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 ODD = re.compile(f"[^{BLANK}!-~{LETTER}«»°©–—‘’“”…•€]")
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 CONTRACTION = "'s|'t|'re|'ve|'m|'ll|'d"
-WITH_BLANKS = re.compile(f"{CONTRACTION}| ?[{LETTER}]+| ?[0-9]+| ?[^{BLANK}{LETTER}0-9]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
-WITHOUT_BLANKS = re.compile(f"(?i:{CONTRACTION})|[{LETTER}]+|[0-9]|[^{BLANK}{LETTER}0-9]+")
-KEPT_BYTES = 40_000_000
+WITH_BLANKS = re.compile(f" ?[{LETTER}]+| ?[0-9]+|{CONTRACTION}| ?[^{BLANK}{LETTER}0-9]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")
+WITHOUT_BLANKS = re.compile(f"[{LETTER}]+|[0-9]|(?i:{CONTRACTION})|[^{BLANK}{LETTER}0-9]+")
+KEPT_BYTES = 64_000_000
 KEPT_LENGTH = 64
 ENTRY_BYTES = 190  # of a dictionary entry, its key's and its value's headers
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
