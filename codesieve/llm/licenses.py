@@ -6,8 +6,8 @@ anchors are the ``anchors`` rarest words of its key phrase (highest inverse docu
 frequency, ties by word; beyond the first only words of few documents).  A template with a
 key word that no document holds is left out: it can stand nowhere.  A document looks its
 anchor words up in the postings (word -> template, offset in the key phrase);
-postings that agree on ``position - offset`` vote for a template start.  A start
-with the votes of all anchor places is verified: the key phrase must
+postings that agree on ``position - offset`` vote for a template start.  The votes are
+sorted; a start with the votes of all anchor places is a run of equal ones of that length, and is verified: the key phrase must
 stand there word for word, and at least ``least`` of the template's words must
 stand within ``shift`` words of their place (a notice may lack or add some words).
 So no start that the verification would accept is lost by the votes.
@@ -131,11 +131,20 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES, anchors: in
     def matches(words: Column) -> Column:
         hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(listed), i)), lambda i: i.isNotNull())
         votes = F.flatten(F.transform(hits, lambda i: F.transform(
-            F.element_at(places, words[i]), lambda p: F.struct(p["t"].alias("t"), (i - p["o"]).alias("start")))))
-        return C.bind(votes, lambda all_votes: F.filter(F.transform(
-            F.filter(F.array_distinct(all_votes), lambda v: (v["start"] >= 0)
-                     & (F.size(F.filter(all_votes, lambda u: u == v)) >= needed[v["t"]])
-                     & (F.slice(words, v["start"] + key_at[v["t"]] + 1, F.size(keys[v["t"]])) == keys[v["t"]])),
+            F.element_at(places, words[i]), lambda p: (i - p["o"]).cast("long") * len(known) + p["t"])))
+
+        def enough(v, i, all_votes):
+            """The first of a run of equal votes that is as long as its template needs."""
+            first = F.coalesce(F.get(all_votes, i - 1) != v, F.lit(True))
+            return (v >= 0) & first & (F.get(all_votes, i + needed[F.pmod(v, F.lit(len(known))).cast("int")] - 1) == v)
+
+        def places_of(all_votes):
+            starts = F.filter(F.transform(all_votes, lambda v, i: F.when(enough(v, i, all_votes), F.struct(
+                F.pmod(v, F.lit(len(known))).cast("int").alias("t"), F.floor(v / len(known)).cast("int").alias("start")))), lambda v: v.isNotNull())
+            return F.filter(starts, lambda v: F.slice(words, v["start"] + key_at[v["t"]] + 1, F.size(keys[v["t"]])) == keys[v["t"]])
+
+        return C.bind(F.sort_array(votes), lambda all_votes: F.filter(F.transform(
+            places_of(all_votes),
             lambda v: F.struct(
                 v["t"].alias("template"), labels[v["t"]].alias("label"), exact[v["t"]].alias("exact"), v["start"].cast("long").alias("start"),
                 (F.size(F.filter(F.transform(bodies[v["t"]], lambda w, i: F.exists(

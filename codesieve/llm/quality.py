@@ -1,38 +1,46 @@
 """Quality selection by importance resampling over hashed n-gram models.
 
-A token (a run of letters and digits, or of other marks) is hashed by its leading
-``lead`` characters; a token that repeats the two before it counts as one
-feature of its own (a trigram of equal words).  Two generative models count these
-features: the raw model over all documents, the target model over documents
-labelled good (quality 1, not toxic).  The target's counts are smoothed towards
-the raw model by ``smooth`` pseudo counts per feature.
-
-A document's log weight is the sum of its tokens' log ratios target / raw
-divided by its tokens plus ``prior``.  Ratios above ``-floor`` count as zero
-(importance weights truncated at one, noise ignored), so a text cannot buy back
-insults with fluent words.  Documents are drawn without replacement by Gumbel
-top-k: key = log weight / ``temperature`` + Gumbel noise hashed from id and seed,
-and the ``k`` largest keys are selected.  ``k`` is the number of documents whose
-log weight reaches the cut that divides the held-out labels best.
+Tokens are runs of letters and digits, or of other marks.  Features are the hashed whole
+tokens without regard to case (unigrams) and the hashed pairs of neighbours (bigrams).  In
+a pair a word of more than three letters stands as its shape (small, capital, other), the others as
+they are: nearly every pair of long words occurs once, whatever the corpus, and says nothing.
+Two generative models count these features: the raw model over all documents, the target
+model over documents labelled good (quality 1, not toxic).
+
+A feature's log ratio target / raw takes the target count at its upper bound (``bounds`` standard errors of a
+Poisson count, unigrams and bigrams), so that chance absences from a small sample weigh nothing, and counts
+as zero above one (truncated importance weights): otherwise fluent words buy back insults, since the raw
+model holds bad texts and every good word has a ratio above one.  A token that no target document holds
+counts ``-unseen`` at least: a text made of such tokens is far below any good one.  Figures are in the README.
+
+A document's log weight is the sum of its features' log ratios, bigrams counting ``pairs``, divided by its tokens
+plus ``prior``.
+
+Documents are drawn without replacement by Gumbel top-k: key = log weight /
+(``temperature`` times the cut's size) + Gumbel noise hashed from id and seed, and the ``k`` largest keys
+are selected.  ``k`` is the number of documents whose log weight reaches the cut that
+divides the held-out labels best; near the cut the draw decides.
 
 The target model is fitted on at most ``max_labels`` labelled rows (those with
 the smallest id hash); the raw counts, the held-out calibration, the weights and
-the selection cover all rows.  The driver sees the merged counts (``BUCKETS`` of
+the selection cover all rows.  The driver sees the merged counts (``2 * BUCKETS`` of
 each model), ``BINS`` calibration rows and a few histograms.
 
 Edge cases: a null, empty or blank text has no tokens, no weight, and is not
 selected.  Without labels of both kinds every text with tokens is selected.
 Rows with conflicting labels for an id count as bad; null labels are ignored.
-Rows with a null id are weighed and may be selected.
+Rows with a null id are weighed and may be selected; rows that repeat an id are judged each by its own text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.llm import common as C
@@ -40,18 +48,37 @@ from codesieve.llm import common as C
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 BUCKETS = 1 << 18
 STRIPE = 1 << 12
-REPEATED = 0  # the bucket of a token that stands for the third time in a row
-BINS = 1000
+BINS = 4000
+LOWEST = -1.0  # log weights below share a calibration bin
+KNOWN = 100_000
+WELL = 10
+AT_ONCE = 1 << 18
 
 
-def features(text: str | None, lead: int) -> np.ndarray:
-    tokens = TOKEN.findall(text.lower()) if text else []
-    if not tokens:
-        return np.empty(0, np.int64)
-    cell = (C.mixed(C.word_hashes([t[:lead].encode() for t in tokens]) + C.U64(lead)) % C.U64(BUCKETS)).astype(np.int64)
-    again = [i for i in range(2, len(tokens)) if tokens[i] == tokens[i - 1] == tokens[i - 2]]
-    cell[again] = REPEATED
-    return cell
+class Features(dict):
+    """token -> bucket of its unigram and, above it, a hash of what it is in a pair; at most ``KNOWN`` are kept."""
+
+    def __missing__(self, token: str) -> int:
+        if len(token) < 4 or not token[0].isalnum():
+            shape = token
+        else:
+            shape = "small" if token.islower() else "capital" if token[0].isupper() else "other"
+        value = zlib.crc32(token.lower().encode()) % BUCKETS | (zlib.crc32(b"pair " + shape.encode()) & 0xFFFFFF) << 18
+        if len(self) >= KNOWN:
+            self.clear()
+        if len(token) <= 40:
+            self[token] = value
+        return value
+
+    def of(self, text: str | None) -> tuple[np.ndarray, int]:
+        """Feature buckets of a whole text (bigrams from ``BUCKETS`` on) and its number of tokens."""
+        tokens = TOKEN.findall(text) if text else []
+        if not tokens:
+            return np.empty(0, np.int64), 0
+        both = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        shape = both >> 18
+        pairs = ((shape[:-1] * 0x9E3779B1 + shape[1:] * 0x85EBCA77) >> 7) % BUCKETS + BUCKETS
+        return np.concatenate([both & (BUCKETS - 1), pairs]), len(tokens)
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
@@ -62,24 +89,34 @@ def good_labels(labels: DataFrame) -> DataFrame:
         "at", F.xxhash64("doc_id", F.lit(11)))
 
 
-def _counts(docs: DataFrame, target_ids: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
+def _counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature counts of all documents and of the target documents."""
     def count(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        seen = False
+        sums, held, size, known, seen = np.zeros((2, 2 * BUCKETS), np.int64), ([], []), 0, Features(), False
+
+        def add():
+            for k, parts in enumerate(held):
+                if parts:
+                    sums[k] += np.bincount(np.concatenate(parts), minlength=2 * BUCKETS)
+                parts.clear()
+
         for b in C.frames(batches):
             ids = b["doc_id"].fillna(-1).astype("int64").to_numpy()
             at = np.minimum(np.searchsorted(target_ids, ids), max(0, len(target_ids) - 1))
             chosen = (target_ids[at] == ids) & b["doc_id"].notna().to_numpy() if len(target_ids) else np.zeros(len(b), bool)
             for t, is_target in zip(b["text"], chosen, strict=True):
-                c = features(t, lead)
-                np.add.at(raw, c, 1)
-                if is_target:
-                    np.add.at(target, c, 1)
+                own, n = known.of(t)
+                for parts in held[:2 if is_target else 1]:
+                    parts.append(own)
+                size += 2 * n
+                if size >= AT_ONCE:
+                    add()
+                    size = 0
             seen = True
+        add()
         if seen:
-            yield pd.DataFrame([(s, raw[a:a + STRIPE].tobytes(), target[a:a + STRIPE].tobytes())
-                                for s, a in enumerate(range(0, BUCKETS, STRIPE))], columns=["stripe", "raw", "target"])
+            yield pd.DataFrame([(s, sums[0, a:a + STRIPE].tobytes(), sums[1, a:a + STRIPE].tobytes())
+                                for s, a in enumerate(range(0, 2 * BUCKETS, STRIPE))], columns=["stripe", "raw", "target"])
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
@@ -92,32 +129,47 @@ def _counts(docs: DataFrame, target_ids: np.ndarray, lead: int) -> tuple[np.ndar
             yield pd.DataFrame([(s, v[0].tobytes(), v[1].tobytes()) for s, v in sums.items()], columns=["stripe", "raw", "target"])
 
     schema, width = "stripe int, raw binary, target binary", C.shuffle_width(docs.sparkSession)
-    out = np.zeros((2, BUCKETS), np.int64)
+    out = np.zeros((2, 2 * BUCKETS), np.int64)
     for r in docs.mapInPandas(count, schema).repartition(width, "stripe").mapInPandas(merge, schema).toLocalIterator():
         for k, data in enumerate((r.raw, r.target)):
             out[k, r.stripe * STRIPE:(r.stripe + 1) * STRIPE] = np.frombuffer(data, np.int64)
     return out[0], out[1]
 
 
-def _weights(docs: DataFrame, ratio: np.ndarray, lead: int, prior: int) -> DataFrame:
-    """(doc_id, n_tokens, log_weight): log_weight null without tokens."""
-    held = docs.sparkSession.sparkContext.broadcast(ratio)
+class Ratios:
+    """Log ratio target / raw of each bucket with the target count at its upper bound, what counts at least against unseen
+    unigrams, and the plain log ratio of the well-known ones (NaN for others)."""
 
-    def run(batches):
-        for b in C.frames(batches):
-            rows = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                c = features(t, lead)
-                rows.append((i, len(c), float(held.value[c].sum()) / (len(c) + prior) if len(c) else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "log_weight"]).astype({"doc_id": "Int64", "log_weight": "Float64"})
+    def __init__(self, raw: np.ndarray, target: np.ndarray, bounds: tuple[float, float], unseen: float, pairs: float):
+        expected = raw * (target.sum(axis=1, keepdims=True) / np.maximum(1, raw.sum(axis=1, keepdims=True)))
+        z, self.pairs = np.array(bounds)[:, None], pairs
+        self.upper = np.log((target + z * np.sqrt(target + 1) + z * z / 2) / np.maximum(expected, 1e-9)).reshape(-1).astype(np.float32)
+        self.unseen = np.where(target[0] == 0, -unseen, 0.0).astype(np.float32)
+        self.known = np.where(target[0] >= WELL, np.log(np.maximum(target[0], 1) / np.maximum(expected[0], 1e-9)), np.nan).astype(np.float32)
+
+    def log_weight(self, own: np.ndarray, n: int, prior: int) -> float:
+        """Of a document with ``n`` tokens and feature buckets ``own`` (unigrams first)."""
+        known = self.known[own[:n]]
+        known = known[~np.isnan(known)]
+        shift = known.mean() if len(known) >= WELL else 0.0
+        ratio = np.minimum(0, self.upper[own] - shift)
+        single = np.minimum(ratio[:n], self.unseen[own[:n]])
+        return (float(single.sum(dtype=np.float64)) + self.pairs * float(ratio[n:].sum(dtype=np.float64))) / (n + prior)
 
-    return docs.mapInPandas(run, "doc_id long, n_tokens long, log_weight double")
+
+def _log_weights(texts, ratios: Ratios | None, known: Features, prior: int) -> tuple[list[int], list[float | None]]:
+    counts, out = [], []
+    for t in texts:
+        own, n = known.of(t)
+        counts.append(n)
+        out.append((ratios.log_weight(own, n, prior) if ratios else 0.0) if n else None)
+    return counts, out
 
 
 def _calibrated_cut(weighted: DataFrame, held_out: DataFrame) -> float | None:
     """The log weight that divides the held-out labels with the fewest errors;
     of equal ones the middle of the widest gap; None without both kinds."""
-    at = F.floor(F.greatest(F.col("log_weight"), F.lit(-1.0)) * BINS).cast("int")
+    at = F.floor(F.greatest(F.col("log_weight"), F.lit(LOWEST)) * BINS).cast("int")
     rows = weighted.where("log_weight is not null").join(held_out, "doc_id").groupBy(at.alias("at")).agg(
         F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).collect()
     good, bad = np.zeros(BINS + 2), np.zeros(BINS + 2)
@@ -148,35 +200,71 @@ def _kth_largest(keys: DataFrame, k: int) -> int:
     return lo
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, lead: int = 4, smooth: float = 1.0, floor: float = 1.5,
-                   prior: int = 20, temperature: float = 1e-4, max_labels: int = 100_000, seed: int = 5,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_weight, key, selected) per document."""
-    docs = C.texts(docs, id_col, text_col)
-    known = C.cut(good_labels(labels))
-    fit = known.where("at % 4 <> 0").orderBy("at").limit(max_labels)
-    target_ids = np.sort(np.array([r.doc_id for r in fit.where("good").select("doc_id").collect()], np.int64))
-    raw, target = _counts(docs, target_ids, lead)
-    share = target.sum() / max(1, raw.sum())
-    ratio = np.log((target + smooth) / (raw * share + smooth))
-    weighted = C.cut(_weights(docs, np.where(ratio < -floor, ratio, 0.0) if len(target_ids) else 0 * ratio, lead, prior))
-    cut = _calibrated_cut(weighted, known.where("at % 4 = 0"))
-
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    key = F.col("log_weight") / F.lit(temperature) - F.log(-F.log(uniform))
-    keyed = weighted.withColumn("key", key)
-    if cut is None:
-        return keyed.withColumn("selected", F.col("key").isNotNull())
-    k = weighted.where(F.col("log_weight") >= cut).count()
-    if not k:
-        return keyed.withColumn("selected", F.lit(False))
-    whole = F.round(F.col("key") * F.lit(1e6)).cast("long")  # a key's order as an integer
-    least = _kth_largest(keyed.where("key is not null").select(whole.alias("key")), k)
-    return keyed.withColumn("selected", F.coalesce(whole >= least, F.lit(False)))
-
-
-def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not selected (of rows that repeat
-    an id, all stay if one is selected)."""
-    kept = select_quality(docs, labels).where("selected").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+class Selector:
+    """Models and cut fitted on ``docs`` and ``labels``.  ``weighted``: (doc_id, n_tokens, log_weight) per
+    document; ``cut``: None without labels of both kinds; ``least``: the smallest selected key as a whole number."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, bounds: tuple[float, float] = (1.0, 2.0), unseen: float = 0.1,
+                 pairs: float = 0.5, prior: int = 20, temperature: float = 0.05, max_labels: int = 100_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text"):
+        self.prior, self.temperature, self.seed = prior, temperature, seed
+        docs = C.texts(docs, id_col, text_col)
+        known = C.cut(good_labels(labels))
+        fit = known.where("at % 4 <> 0").orderBy("at").limit(max_labels)
+        target_ids = np.sort(np.array([r.doc_id for r in fit.where("good").select("doc_id").collect()], np.int64))
+        raw, target = (x.reshape(2, BUCKETS).astype(np.float64) for x in _counts(docs, target_ids))
+        self.sent = docs.sparkSession.sparkContext.broadcast(Ratios(raw, target, bounds, unseen, pairs) if len(target_ids) else None)  # 4 MB
+        self.weighted = C.cut(self._weigh(docs))
+        self.cut = _calibrated_cut(self.weighted, known.where("at % 4 = 0"))
+        self.least = None
+        if self.cut is not None:
+            k = self.weighted.where(F.col("log_weight") >= self.cut).count()
+            keys = self.weighted.where("log_weight is not null").select(self._whole_key(F.col("doc_id"), F.col("log_weight")).alias("key"))
+            self.least = _kth_largest(keys, k) if k else 1 << 62
+
+    def _weigh(self, docs: DataFrame) -> DataFrame:
+        sent, prior = self.sent, self.prior
+
+        def run(batches):
+            known = Features()
+            for b in C.frames(batches):
+                n, own = _log_weights(b["text"], sent.value, known, prior)
+                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": n, "log_weight": pd.array(own, "Float64")})
+
+        return docs.mapInPandas(run, "doc_id long, n_tokens long, log_weight double")
+
+    def key(self, doc_id: Column, log_weight: Column) -> Column:
+        """Log weight over temperature (relative to the cut's size), and Gumbel noise of the id and the seed."""
+        uniform = (F.pmod(F.xxhash64(doc_id, F.lit(self.seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+        return log_weight / F.lit(self.temperature * max(abs(self.cut or 0.0), 1 / BINS)) - F.log(-F.log(uniform))
+
+    def _whole_key(self, doc_id: Column, log_weight: Column) -> Column:
+        return F.round(self.key(doc_id, log_weight) * F.lit(1e6)).cast("long")  # a key's order as an integer
+
+    def selected(self, doc_id: Column, log_weight: Column) -> Column:
+        if self.cut is None:
+            return log_weight.isNotNull()
+        return F.coalesce(self._whole_key(doc_id, log_weight) >= self.least, F.lit(False))
+
+    def keep(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The rows of ``docs`` that are selected, each weighed again where it lies: no text is shuffled."""
+        sent, prior = self.sent, self.prior
+
+        @F.pandas_udf("double")
+        def weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known = Features()
+            for texts in batches:
+                yield pd.Series(pd.array(_log_weights(texts, sent.value, known, prior)[1], "Float64"))
+
+        return docs.where(self.selected(F.col(id_col).cast("long"), weight(F.col(text_col).cast("string"))))
+
+
+def select_quality(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """(doc_id, n_tokens, log_weight, key, selected) per document; ``settings`` of ``Selector``."""
+    own = Selector(docs, labels, **settings)
+    at = F.col("doc_id"), F.col("log_weight")
+    return own.weighted.withColumns({"key": own.key(*at), "selected": own.selected(*at)})
+
+
+def keep_selected(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """``docs`` without the rows that are not selected."""
+    return Selector(docs, labels, **settings).keep(docs)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.llm import (ann, common, decontam, licenses, neardup, packing, quality, secret_scan, sharding, substring,
-                           token_files, turn_repair)
+                           token_files, turn_repair, url_rules, whitening)
 from codesieve.llm.oracles import ORACLES  # noqa: F401
 from codesieve.session import table_path
 
@@ -96,6 +96,18 @@ def op10_nearest(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+@register
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+@register
+def op12_url_rules(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    found = url_rules.judged(pages, url_rules.labelled_urls(pages, table(spark, sf_dir, "labels")))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.array_join(F.col("mined")["tokens"], " ").alias("mined_rule"))
+
+
 @register
 def op13_turn_repair(spark, sf_dir):
     return turn_repair.repair_digest(table(spark, sf_dir, "conversations"))

@@ -7,8 +7,9 @@ Kinds, in this order at equal starts:
 * ``access``: ``AKIA`` and upper-case letters or digits, 20 or more in all;
 * ``hex``: 24 or more lower-case hex digits;
 * ``novel``: a run of 16 or more code-like characters that mixes digits and
-  letters, has a sensitive word on its line or in the 64 characters before it, overlaps no
-  span above, and is incompressible: the bytes it adds to a zstandard frame, primed with the
+  letters and is more than names (hosts, paths and identifiers: words, perhaps with a few digits behind them, between
+  marks), has a sensitive word in the 64 characters before it or in the ``REACH`` characters of its line on either side,
+  overlaps no span above, and is incompressible: the bytes it adds to a zstandard frame, primed with the
   identifier dictionary and filled with the surrounding 512 characters, are at
   least ``novelty`` of its own length.  A run is divided at ``=``: each part of 16 or
   more characters is looked at (padding belongs to the part before it), and the
@@ -25,6 +26,7 @@ are independent, so ties and repeated rows simply repeat; an empty table gives a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -44,6 +46,9 @@ PART = re.compile(r"[A-Za-z0-9+/_.~-]{16,}(?:={1,2}(?![A-Za-z0-9+/_.=~-]))?")
 BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nr])*[A-Za-z-]+:\x20[^\n\\]*+)*")
 BODY = re.compile(r"""(?:[A-Za-z0-9+/=\s"',#*>|]|\\[nr])*+""")
 BODY_LINE = re.compile(r"(?:(?<=\\)[nr])?+((?=[+/]*[A-Za-z0-9=])[A-Za-z0-9+/]+={0,2}|=[A-Za-z0-9+/]{4})")
+NAMED = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]{2,12})?[0-9]{0,4}|(?:[A-Z]?[a-z]{2,}|[A-Z]{2,12}(?![a-z]))+[0-9]{0,4}")
+MARK = re.compile(r"[+/_=.~-]+")
+REACH = 256
 SENSITIVE = re.compile(r"passw|pwd|secret|token|credential|private|bearer|auth|signature|api[ _-]?key|access[ _-]?key|\bkey\b", re.I | re.A)
 
 #: What source files name often: common identifiers, prefixes and suffixes.
@@ -102,6 +107,25 @@ def key_blocks(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
             at = lines[-1][1]
 
 
+def _apart(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the spans, overlapping ones as one, in order."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _meets(apart: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether a span of ``_apart`` overlaps a to b."""
+    starts, ends = apart
+    at = bisect_right(ends, a)
+    return at < len(starts) and starts[at] < b
+
+
 def spans_of(text: str | None, novelty: float, score: _Novelty) -> list[tuple[str, int, int, float]]:
     """All spans of one whole text, by start and kind."""
     if not text:
@@ -114,7 +138,7 @@ def spans_of(text: str | None, novelty: float, score: _Novelty) -> list[tuple[st
     for run in runs:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text, run.start(), run.end())]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text, run.start(), run.end())]
-    base = sorted(found)
+    base = _apart((s, e) for s, _, e in found)
     scores: dict[tuple[int, int], float] = {}
     blocks: list[tuple[int, int]] = []
     for a, b, lines in key_blocks(text) if "PRIVATE KEY" in text else ():
@@ -123,24 +147,22 @@ def spans_of(text: str | None, novelty: float, score: _Novelty) -> list[tuple[st
             found += [(s, 3, e) for s, e in lines]
             scores |= own
             blocks.append((a, b))
-    line_end, named = 0, False
+    bodies = _apart(blocks)
 
     def novel(a: int, b: int) -> bool:
-        nonlocal line_end, named
         own = text[a:b]
         if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
             return False
-        if any(s < b and a < e for s, _, e in base):
+        if all(NAMED.fullmatch(x) for x in MARK.split(own)) or _meets(base, a, b):
             return False
-        if a >= line_end:  # runs come in order, so each line is looked through once
-            line_end = text.find("\n", b) + 1 or len(text)
-            named = SENSITIVE.search(text, text.rfind("\n", 0, a) + 1, line_end) is not None
-        if not named and not SENSITIVE.search(text, max(0, a - 64), a):
+        line = max(text.rfind("\n", max(0, a - REACH), a) + 1, a - REACH, 0)
+        end = text.find("\n", b, b + REACH)
+        if not SENSITIVE.search(text, line, end if end >= 0 else b + REACH) and not SENSITIVE.search(text, max(0, a - 64), a):
             return False
         return score(text, a, b) >= novelty
 
     for run in runs:
-        if any(a < run.end() and run.start() < b for a, b in blocks):
+        if _meets(bodies, *run.span()):
             continue
         parts = [m.span() for m in PART.finditer(text, *run.span())]
         hits = [x for x in parts if novel(*x)]
