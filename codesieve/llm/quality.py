@@ -11,7 +11,8 @@ A feature's log ratio target / raw takes the target count at its upper bound (``
 Poisson count, unigrams and bigrams), so that chance absences from a small sample weigh nothing, and counts
 as zero above one (truncated importance weights): otherwise fluent words buy back insults, since the raw
 model holds bad texts and every good word has a ratio above one.  A token that no target document holds
-counts ``-unseen`` at least: a text made of such tokens is far below any good one.  Figures are in the README.
+backs off to its hashed character trigrams: it counts ``-unseen`` times the share of them that no target document holds
+either, so a new word of known make is about neutral, and a text of strange words far below any good one.  Figures are in the README.
 
 A document's log weight is the sum of its features' log ratios, bigrams counting ``pairs``, divided by its tokens
 plus ``prior``.
@@ -47,6 +48,7 @@ from codesieve.llm import common as C
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 BUCKETS = 1 << 18
+CELLS = 3 * BUCKETS  # unigrams, bigrams, and in the target model character trigrams
 STRIPE = 1 << 12
 BINS = 4000
 LOWEST = -1.0  # log weights below share a calibration bin
@@ -56,7 +58,12 @@ AT_ONCE = 1 << 18
 
 
 class Features(dict):
-    """token -> bucket of its unigram and, above it, a hash of what it is in a pair; at most ``KNOWN`` are kept."""
+    """token -> bucket of its unigram, above it a hash of what it is in a pair, and above that how strange it is (in 255ths, with the
+    trigrams ``known``); at most ``KNOWN`` are kept."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        super().__init__()
+        self._known = known
 
     def __missing__(self, token: str) -> int:
         if len(token) < 4 or not token[0].isalnum():
@@ -64,21 +71,30 @@ class Features(dict):
         else:
             shape = "small" if token.islower() else "capital" if token[0].isupper() else "other"
         value = zlib.crc32(token.lower().encode()) % BUCKETS | (zlib.crc32(b"pair " + shape.encode()) & 0xFFFFFF) << 18
+        if self._known is not None:
+            own = trigrams(token)
+            value |= 255 * sum(not self._known[t] for t in own) // len(own) << 42
         if len(self) >= KNOWN:
             self.clear()
         if len(token) <= 40:
             self[token] = value
         return value
 
-    def of(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Feature buckets of a whole text (bigrams from ``BUCKETS`` on) and its number of tokens."""
+    def of(self, text: str | None) -> tuple[np.ndarray, int, np.ndarray]:
+        """Feature buckets of a whole text (bigrams from ``BUCKETS`` on), its number of tokens, and how strange each is (0 to 1)."""
         tokens = TOKEN.findall(text) if text else []
         if not tokens:
-            return np.empty(0, np.int64), 0
-        both = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        shape = both >> 18
+            return np.empty(0, np.int64), 0, np.empty(0)
+        all_ = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        shape = all_ >> 18 & 0xFFFFFF
         pairs = ((shape[:-1] * 0x9E3779B1 + shape[1:] * 0x85EBCA77) >> 7) % BUCKETS + BUCKETS
-        return np.concatenate([both & (BUCKETS - 1), pairs]), len(tokens)
+        return np.concatenate([all_ & (BUCKETS - 1), pairs]), len(tokens), (all_ >> 42) / 255
+
+
+def trigrams(token: str) -> list[int]:
+    """Buckets of a token's character trigrams, its borders counting as characters."""
+    padded = f" {token.lower()} "
+    return [zlib.crc32(padded[i:i + 3].encode()) % BUCKETS for i in range(len(padded) - 2)]
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
@@ -90,14 +106,14 @@ def good_labels(labels: DataFrame) -> DataFrame:
 
 
 def _counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts of all documents and of the target documents."""
+    """Feature counts of all documents and of the target documents (these with trigrams)."""
     def count(batches):
-        sums, held, size, known, seen = np.zeros((2, 2 * BUCKETS), np.int64), ([], []), 0, Features(), False
+        sums, held, size, known, seen = np.zeros((2, CELLS), np.int64), ([], []), 0, Features(), False
 
         def add():
             for k, parts in enumerate(held):
                 if parts:
-                    sums[k] += np.bincount(np.concatenate(parts), minlength=2 * BUCKETS)
+                    sums[k] += np.bincount(np.concatenate(parts), minlength=CELLS)
                 parts.clear()
 
         for b in C.frames(batches):
@@ -105,9 +121,12 @@ def _counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.nda
             at = np.minimum(np.searchsorted(target_ids, ids), max(0, len(target_ids) - 1))
             chosen = (target_ids[at] == ids) & b["doc_id"].notna().to_numpy() if len(target_ids) else np.zeros(len(b), bool)
             for t, is_target in zip(b["text"], chosen, strict=True):
-                own, n = known.of(t)
-                for parts in held[:2 if is_target else 1]:
-                    parts.append(own)
+                own, n, _ = known.of(t)
+                held[0].append(own)
+                if is_target:
+                    held[1].append(own)
+                    strings = set(TOKEN.findall(t)) if t else ()
+                    held[1].append(np.fromiter((x + 2 * BUCKETS for w in strings for x in trigrams(w)), np.int64))
                 size += 2 * n
                 if size >= AT_ONCE:
                     add()
@@ -116,7 +135,7 @@ def _counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.nda
         add()
         if seen:
             yield pd.DataFrame([(s, sums[0, a:a + STRIPE].tobytes(), sums[1, a:a + STRIPE].tobytes())
-                                for s, a in enumerate(range(0, 2 * BUCKETS, STRIPE))], columns=["stripe", "raw", "target"])
+                                for s, a in enumerate(range(0, CELLS, STRIPE))], columns=["stripe", "raw", "target"])
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
@@ -129,7 +148,7 @@ def _counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.nda
             yield pd.DataFrame([(s, v[0].tobytes(), v[1].tobytes()) for s, v in sums.items()], columns=["stripe", "raw", "target"])
 
     schema, width = "stripe int, raw binary, target binary", C.shuffle_width(docs.sparkSession)
-    out = np.zeros((2, 2 * BUCKETS), np.int64)
+    out = np.zeros((2, CELLS), np.int64)
     for r in docs.mapInPandas(count, schema).repartition(width, "stripe").mapInPandas(merge, schema).toLocalIterator():
         for k, data in enumerate((r.raw, r.target)):
             out[k, r.stripe * STRIPE:(r.stripe + 1) * STRIPE] = np.frombuffer(data, np.int64)
@@ -141,28 +160,30 @@ class Ratios:
     unigrams, and the plain log ratio of the well-known ones (NaN for others)."""
 
     def __init__(self, raw: np.ndarray, target: np.ndarray, bounds: tuple[float, float], unseen: float, pairs: float):
+        self.trigrams = target[2 * BUCKETS:] > 0
+        raw, target = (x[:2 * BUCKETS].reshape(2, BUCKETS).astype(np.float64) for x in (raw, target))
         expected = raw * (target.sum(axis=1, keepdims=True) / np.maximum(1, raw.sum(axis=1, keepdims=True)))
         z, self.pairs = np.array(bounds)[:, None], pairs
         self.upper = np.log((target + z * np.sqrt(target + 1) + z * z / 2) / np.maximum(expected, 1e-9)).reshape(-1).astype(np.float32)
         self.unseen = np.where(target[0] == 0, -unseen, 0.0).astype(np.float32)
         self.known = np.where(target[0] >= WELL, np.log(np.maximum(target[0], 1) / np.maximum(expected[0], 1e-9)), np.nan).astype(np.float32)
 
-    def log_weight(self, own: np.ndarray, n: int, prior: int) -> float:
+    def log_weight(self, own: np.ndarray, n: int, strange: np.ndarray, prior: int) -> float:
         """Of a document with ``n`` tokens and feature buckets ``own`` (unigrams first)."""
         known = self.known[own[:n]]
         known = known[~np.isnan(known)]
         shift = known.mean() if len(known) >= WELL else 0.0
         ratio = np.minimum(0, self.upper[own] - shift)
-        single = np.minimum(ratio[:n], self.unseen[own[:n]])
+        single = np.minimum(ratio[:n], self.unseen[own[:n]] * strange)
         return (float(single.sum(dtype=np.float64)) + self.pairs * float(ratio[n:].sum(dtype=np.float64))) / (n + prior)
 
 
 def _log_weights(texts, ratios: Ratios | None, known: Features, prior: int) -> tuple[list[int], list[float | None]]:
     counts, out = [], []
     for t in texts:
-        own, n = known.of(t)
+        own, n, strange = known.of(t)
         counts.append(n)
-        out.append((ratios.log_weight(own, n, prior) if ratios else 0.0) if n else None)
+        out.append((ratios.log_weight(own, n, strange, prior) if ratios else 0.0) if n else None)
     return counts, out
 
 
@@ -204,14 +225,14 @@ class Selector:
     """Models and cut fitted on ``docs`` and ``labels``.  ``weighted``: (doc_id, n_tokens, log_weight) per
     document; ``cut``: None without labels of both kinds; ``least``: the smallest selected key as a whole number."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, bounds: tuple[float, float] = (1.0, 2.0), unseen: float = 0.1,
+    def __init__(self, docs: DataFrame, labels: DataFrame, bounds: tuple[float, float] = (1.0, 2.0), unseen: float = 1.0,
                  pairs: float = 0.5, prior: int = 20, temperature: float = 0.05, max_labels: int = 100_000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text"):
         self.prior, self.temperature, self.seed = prior, temperature, seed
         docs = C.texts(docs, id_col, text_col)
         known = C.cut(good_labels(labels))
         fit = known.where("at % 4 <> 0").orderBy("at").limit(max_labels)
         target_ids = np.sort(np.array([r.doc_id for r in fit.where("good").select("doc_id").collect()], np.int64))
-        raw, target = (x.reshape(2, BUCKETS).astype(np.float64) for x in _counts(docs, target_ids))
+        raw, target = _counts(docs, target_ids)
         self.sent = docs.sparkSession.sparkContext.broadcast(Ratios(raw, target, bounds, unseen, pairs) if len(target_ids) else None)  # 4 MB
         self.weighted = C.cut(self._weigh(docs))
         self.cut = _calibrated_cut(self.weighted, known.where("at % 4 = 0"))
@@ -225,7 +246,7 @@ class Selector:
         sent, prior = self.sent, self.prior
 
         def run(batches):
-            known = Features()
+            known = Features(sent.value and sent.value.trigrams)
             for b in C.frames(batches):
                 n, own = _log_weights(b["text"], sent.value, known, prior)
                 yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": n, "log_weight": pd.array(own, "Float64")})
@@ -251,7 +272,7 @@ class Selector:
 
         @F.pandas_udf("double")
         def weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known = Features()
+            known = Features(sent.value and sent.value.trigrams)
             for texts in batches:
                 yield pd.Series(pd.array(_log_weights(texts, sent.value, known, prior)[1], "Float64"))
 
