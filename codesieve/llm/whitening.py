@@ -44,6 +44,7 @@ from codesieve.llm import common as C
 LARGEST = float(1 << 40)
 SLACK = 64
 BLOCK_BYTES = 2 << 20
+TASK_BYTES = 8 << 20
 MERGED = 64
 EPS = float(np.finfo(np.float64).eps)
 Product = Callable[[np.ndarray], np.ndarray]
@@ -200,8 +201,10 @@ class FitList:
             if held:
                 yield pd.DataFrame({"block": [np.concatenate(held).tobytes()]})
 
-        # Written once, then kept by the executors: what a lost one kept is read again.
-        self.blocks = C.cut(rows.select("x").distinct().mapInPandas(pack, "block binary")).persist(StorageLevel.MEMORY_AND_DISK)
+        # Written once, then kept by the executors: what a lost one kept is read again.  As few tasks a pass as the bytes ask for.
+        packed = C.cut(rows.select("x").distinct().mapInPandas(pack, "block binary"))
+        size = packed.agg(F.sum(F.octet_length("block"))).first()[0] or 0
+        self.blocks = packed.coalesce(-(-size // TASK_BYTES) or 1).persist(StorageLevel.MEMORY_AND_DISK)
         self.tasks = self.blocks.rdd.getNumPartitions()
         counted = self._sum(lambda y: np.array([*_digits(y.sum(axis=0)), len(y)], "<i8"), (2 * dim + 1,), "<i8")
         self.n = int(counted[-1])
