@@ -11,7 +11,7 @@ A feature's log ratio target / raw takes the target count at its upper bound (``
 Poisson count, unigrams and bigrams), so that chance absences from a small sample weigh nothing, and counts
 as zero above one (truncated importance weights): otherwise fluent words buy back insults, since the raw
 model holds bad texts and every good word has a ratio above one.  A token that no target document holds
-backs off to its hashed character trigrams: it counts ``-unseen`` times the share of them that no target document holds
+backs off to its hashed byte trigrams: it counts ``-unseen`` times the share of them that no target document holds
 either, so a new word of known make is about neutral, and a text of strange words far below any good one.  Figures are in the README.
 
 A document's log weight is the sum of its features' log ratios, bigrams counting ``pairs``, divided by its tokens
@@ -52,7 +52,7 @@ CELLS = 3 * BUCKETS  # unigrams, bigrams, and in the target model character trig
 STRIPE = 1 << 12
 BINS = 4000
 LOWEST = -1.0  # log weights below share a calibration bin
-KNOWN = 100_000
+KNOWN = 300_000
 WELL = 10
 AT_ONCE = 1 << 18
 
@@ -61,18 +61,20 @@ class Features(dict):
     """token -> bucket of its unigram, above it a hash of what it is in a pair, and above that how strange it is (in 255ths, with the
     trigrams ``known``); at most ``KNOWN`` are kept."""
 
-    def __init__(self, known: np.ndarray | None = None):
+    def __init__(self, unseen: np.ndarray | None = None, known: np.ndarray | None = None):
         super().__init__()
-        self._known = known
+        self._unseen, self._known = unseen, known
 
     def __missing__(self, token: str) -> int:
+        low = token.lower().encode()
+        bucket = zlib.crc32(low) % BUCKETS
         if len(token) < 4 or not token[0].isalnum():
-            shape = token
+            shape = token.encode()
         else:
-            shape = "small" if token.islower() else "capital" if token[0].isupper() else "other"
-        value = zlib.crc32(token.lower().encode()) % BUCKETS | (zlib.crc32(b"pair " + shape.encode()) & 0xFFFFFF) << 18
-        if self._known is not None:
-            own = trigrams(token)
+            shape = b"small" if token.islower() else b"capital" if token[0].isupper() else b"other"
+        value = bucket | (zlib.crc32(b"pair " + shape) & 0xFFFFFF) << 18
+        if self._known is not None and self._unseen[bucket]:  # of other tokens it is not asked
+            own = trigrams(low)
             value |= 255 * sum(not self._known[t] for t in own) // len(own) << 42
         if len(self) >= KNOWN:
             self.clear()
@@ -80,21 +82,22 @@ class Features(dict):
             self[token] = value
         return value
 
-    def of(self, text: str | None) -> tuple[np.ndarray, int, np.ndarray]:
-        """Feature buckets of a whole text (bigrams from ``BUCKETS`` on), its number of tokens, and how strange each is (0 to 1)."""
-        tokens = TOKEN.findall(text) if text else []
-        if not tokens:
-            return np.empty(0, np.int64), 0, np.empty(0)
+    def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Feature buckets of a whole text (bigrams from ``BUCKETS`` on), and how strange each token is (0 to 255)."""
         all_ = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         shape = all_ >> 18 & 0xFFFFFF
         pairs = ((shape[:-1] * 0x9E3779B1 + shape[1:] * 0x85EBCA77) >> 7) % BUCKETS + BUCKETS
-        return np.concatenate([all_ & (BUCKETS - 1), pairs]), len(tokens), (all_ >> 42) / 255
+        return np.concatenate([all_ & (BUCKETS - 1), pairs]), all_ >> 42
 
 
-def trigrams(token: str) -> list[int]:
-    """Buckets of a token's character trigrams, its borders counting as characters."""
-    padded = f" {token.lower()} "
-    return [zlib.crc32(padded[i:i + 3].encode()) % BUCKETS for i in range(len(padded) - 2)]
+def tokens_of(text: str | None) -> list[str]:
+    return TOKEN.findall(text) if text else []
+
+
+def trigrams(low: bytes) -> list[int]:
+    """Buckets of the byte trigrams of a token in small letters, its borders counting as blanks."""
+    padded = b" " + low + b" "
+    return [zlib.crc32(padded[i:i + 3]) % BUCKETS for i in range(len(low))]
 
 
 def good_labels(labels: DataFrame) -> DataFrame:
@@ -109,6 +112,7 @@ def _counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.nda
     """Feature counts of all documents and of the target documents (these with trigrams)."""
     def count(batches):
         sums, held, size, known, seen = np.zeros((2, CELLS), np.int64), ([], []), 0, Features(), False
+        marked: set[str] = set()  # tokens whose trigrams are in the sums
 
         def add():
             for k, parts in enumerate(held):
@@ -121,12 +125,19 @@ def _counts(docs: DataFrame, target_ids: np.ndarray) -> tuple[np.ndarray, np.nda
             at = np.minimum(np.searchsorted(target_ids, ids), max(0, len(target_ids) - 1))
             chosen = (target_ids[at] == ids) & b["doc_id"].notna().to_numpy() if len(target_ids) else np.zeros(len(b), bool)
             for t, is_target in zip(b["text"], chosen, strict=True):
-                own, n, _ = known.of(t)
-                held[0].append(own)
+                tokens = tokens_of(t)
+                n = len(tokens)
+                if not n:
+                    continue
+                held[0].append(known.of(tokens)[0])
                 if is_target:
-                    held[1].append(own)
-                    strings = set(TOKEN.findall(t)) if t else ()
-                    held[1].append(np.fromiter((x + 2 * BUCKETS for w in strings for x in trigrams(w)), np.int64))
+                    held[1].append(held[0][-1])
+                    new = set(tokens) - marked
+                    if len(marked) > KNOWN:
+                        marked.clear()
+                    marked |= new
+                    for w in new:
+                        sums[1, [x + 2 * BUCKETS for x in trigrams(w.lower().encode())]] = 1
                 size += 2 * n
                 if size >= AT_ONCE:
                     add()
@@ -168,22 +179,26 @@ class Ratios:
         self.unseen = np.where(target[0] == 0, -unseen, 0.0).astype(np.float32)
         self.known = np.where(target[0] >= WELL, np.log(np.maximum(target[0], 1) / np.maximum(expected[0], 1e-9)), np.nan).astype(np.float32)
 
-    def log_weight(self, own: np.ndarray, n: int, strange: np.ndarray, prior: int) -> float:
-        """Of a document with ``n`` tokens and feature buckets ``own`` (unigrams first)."""
+    def features(self) -> Features:
+        return Features(self.unseen < 0, self.trigrams)
+
+    def log_weight(self, own: np.ndarray, strange: np.ndarray, prior: int) -> float:
+        """Of a document with feature buckets ``own`` (a unigram for each token first)."""
+        n = len(strange)
         known = self.known[own[:n]]
         known = known[~np.isnan(known)]
         shift = known.mean() if len(known) >= WELL else 0.0
         ratio = np.minimum(0, self.upper[own] - shift)
-        single = np.minimum(ratio[:n], self.unseen[own[:n]] * strange)
+        single = np.minimum(ratio[:n], self.unseen[own[:n]] * (strange / 255))
         return (float(single.sum(dtype=np.float64)) + self.pairs * float(ratio[n:].sum(dtype=np.float64))) / (n + prior)
 
 
-def _log_weights(texts, ratios: Ratios | None, known: Features, prior: int) -> tuple[list[int], list[float | None]]:
+def _log_weights(texts, ratios: Ratios | None, known: Features | None, prior: int) -> tuple[list[int], list[float | None]]:
     counts, out = [], []
     for t in texts:
-        own, n, strange = known.of(t)
-        counts.append(n)
-        out.append((ratios.log_weight(own, n, strange, prior) if ratios else 0.0) if n else None)
+        tokens = tokens_of(t)
+        counts.append(len(tokens))
+        out.append((ratios.log_weight(*known.of(tokens), prior) if ratios else 0.0) if tokens else None)
     return counts, out
 
 
@@ -246,7 +261,7 @@ class Selector:
         sent, prior = self.sent, self.prior
 
         def run(batches):
-            known = Features(sent.value and sent.value.trigrams)
+            known = sent.value and sent.value.features()
             for b in C.frames(batches):
                 n, own = _log_weights(b["text"], sent.value, known, prior)
                 yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": n, "log_weight": pd.array(own, "Float64")})
@@ -272,7 +287,7 @@ class Selector:
 
         @F.pandas_udf("double")
         def weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known = Features(sent.value and sent.value.trigrams)
+            known = sent.value and sent.value.features()
             for texts in batches:
                 yield pd.Series(pd.array(_log_weights(texts, sent.value, known, prior)[1], "Float64"))
 
