@@ -2,14 +2,14 @@
 expressions over VARIANT (no UDF).
 
 * the line must be exactly one JSON value: ``[<line>]`` must parse to an array of
-  one element and ``{"w":<line>}`` must parse too.  After the line's first value
-  the one admits only ``]`` or the line's end, the other only ``}``, ``,`` or the
-  end, so trailing text or a second value is rejected whatever it holds;
+  one element.  Only a ``]`` in the line could end that array early and let other text
+  follow, so lines that hold one must parse as ``{"w":<line>}`` too, which after the
+  value admits only ``}``, ``,`` or the end;
 * keys match without regard to case (an exact match wins);
 * a wrong type for a known field rejects the whole line; ``null`` = absent;
   ``1.0``, ``1e2`` and out-of-range numbers are not integers;
 * of a repeated key the last value holds (``spark.sql.variant.allowDuplicateKeys``,
-  which these functions set in the active session and its queries keep);
+  which ``codesieve.session.prepare`` sets; without it these functions refuse to work);
 * known differences for a repeated key: an earlier value of a wrong type does not
   reject the line, a later ``null`` takes the place of an earlier value, and of
   ``type`` and ``Type`` the exact one holds, not the last.
@@ -20,19 +20,21 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+from codesieve.session import REPEATED_KEYS
 
 
 def wrapped(line: Column) -> Column:
     """``[line]`` as a VARIANT; null if that is not valid."""
-    SparkSession.active().conf.set(REPEATED_KEYS, "true")
+    if SparkSession.active().conf.get(REPEATED_KEYS, "false") != "true":
+        raise RuntimeError(f"{REPEATED_KEYS} is not set: call codesieve.session.prepare(spark) first")
     return F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
 
 
 def whole_value_ok(w: Column, line: Column) -> Column:
     """``w`` = ``wrapped(line)``."""
     other = F.try_parse_json(F.concat(F.lit('{"w":'), line, F.lit("}")))
-    return F.coalesce((F.size(F.try_variant_get(w, "$", "array<variant>")) == 1) & other.isNotNull(), F.lit(False))
+    one = F.size(F.try_variant_get(w, "$", "array<variant>")) == 1
+    return F.coalesce(one & F.when(line.contains("]"), other.isNotNull()).otherwise(F.lit(True)), F.lit(False))
 
 
 def _field(obj: Column, name: str) -> Column:
@@ -46,7 +48,7 @@ def _kind(v: Column) -> Column:
 
 
 def parse_objects(df, line: Column, fields: list[tuple[str, str]], out: str = "f"):
-    """DataFrame form of :func:`parse_object`, staged so that the JSON text is
+    """struct<ok boolean, <fields>> of each row's line as column ``out``; ``fields`` = (name, 'string'|'bigint').  Staged so that the JSON text is
     parsed once and the key map is built once per line (projections whose
     results are used many times are not inlined by Catalyst)."""
     keep = [c for c in df.columns]
@@ -70,22 +72,3 @@ def parse_objects(df, line: Column, fields: list[tuple[str, str]], out: str = "f
         ok = ok & kd.isin("ABSENT", "VOID", want)
         vals.append(F.when(kd == want, F.try_variant_get(F.col(f"_v_{name}"), "$", typ)).alias(name))
     return staged.select(*keep, F.struct(ok.alias("ok"), *vals).alias(out))
-
-
-def parse_object(line: Column, fields: list[tuple[str, str]]) -> Column:
-    """struct<ok boolean, <fields>> for one line; ``fields`` = (name, 'string'|'bigint')."""
-    w = wrapped(line)
-    obj = F.try_variant_get(w, "$[0]", "map<string,variant>")
-    vals, ok = [], whole_value_ok(w, line) & obj.isNotNull()
-    for name, typ in fields:
-        v = _field(obj, name)
-        k = _kind(v)
-        want = "STRING" if typ == "string" else "BIGINT"
-        ok = ok & k.isin("ABSENT", "VOID", want)
-        vals.append(F.when(k == want, F.try_variant_get(v, "$", typ)).alias(name))
-    return F.struct(ok.alias("ok"), *vals)
-
-
-def json_value_ok(s: Column) -> Column:
-    """True when ``s`` is exactly one valid JSON value (any kind)."""
-    return whole_value_ok(wrapped(s), s)

@@ -2,18 +2,23 @@
 
 Everything is row-local: a transcript, report or stream buffer is split and
 exploded inside its own row, so no operator here shuffles except op 13,
-which first has to gather a stream's chunks (one group per stream).
+which ranges a stream's chunks by their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions import fixed
-from codesieve.functions.jsonline import json_value_ok, parse_objects
+from codesieve.functions.jsonline import parse_objects, whole_value_ok, wrapped
 from codesieve.functions.text import bind, col_, go_rtrim, go_trim, regex_quote, rest
 from codesieve.operators.scans import FINDING_COLUMNS
+from codesieve.session import ensure_checkpoint_dir
 
 
 # ---- op 8 -----------------------------------------------------------------
@@ -107,35 +112,129 @@ def parse_patches(df: DataFrame, report: str, keys: list[str]) -> DataFrame:
 
 
 # ---- op 13 ------------------------------------------------------------------
-def frames_of(buffer: Column) -> Column:
-    """Complete frames of a decoded buffer: parts before the last blank line."""
-    parts = F.split(buffer, "\n\n", -1)
-    return F.slice(parts, 1, F.size(parts) - 1)
-
-
-def events_of_frames(df: DataFrame, frames: str, keys: list[str]) -> DataFrame:
-    """``data: `` lines of each frame parsed as JSON; bad ones skipped."""
-    fr = df.select(*keys, F.posexplode(frames).alias("frame_no", "frame"))
-    ln = fr.select(*keys, "frame_no", F.posexplode(F.split("frame", "\n", -1)).alias("line_no", "line"))
-    data = rest(F.col("line"), 7)
-    return (ln.where(F.col("line").startswith("data: ") & json_value_ok(data))
-            .select(*keys, F.col("frame_no").cast("bigint").alias("frame_no"),
-                    F.col("line_no").cast("bigint").alias("line_no"),
-                    F.try_variant_get(F.try_parse_json(data), "$.type", "string").alias("type"),
-                    F.try_variant_get(F.try_parse_json(data), "$.message", "string").alias("message"),
-                    data.alias("payload")))
+SEPARATOR = "\n\n"
+LINES = "s string, part int, kind string, n bigint, frame_no bigint, line_no bigint, data string, tail string"
+
+
+def _data_lines(frame: str):
+    """(line number, what follows ``data: ``) of a frame's data lines."""
+    return ((j, line[6:]) for j, line in enumerate(frame.split("\n")) if line.startswith("data: "))
+
+
+def _joined_up(text: str) -> int:
+    """Where, in a text that may go on from another, its first frame of its own starts: behind the first separator after a
+    character that is no line end (from there on the pairing of line ends depends on this text only).  0 if there is none yet."""
+    start = len(text) - len(text.lstrip("\n"))
+    at = text.find(SEPARATOR, start) if start < len(text) else -1
+    return at + len(SEPARATOR) if at >= 0 else 0
+
+
+def _range_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One sorted range of chunks -> its data lines (``kind`` line, frames counted from the range's first own frame of the
+    stream) and, for the first and the last stream of the range, what its neighbours need: ``head`` (text before the first own
+    frame, and the tail), ``middle`` (text without an own frame) or ``open`` (a stream that starts here), with the number of
+    own frames in ``n``.  Only an unfinished frame is held."""
+    part, now, held, own, frames, first, out = TaskContext.get().partitionId(), None, "", False, 0, True, []
+    head = ""
+
+    def closed(last: bool):
+        if first:
+            out.append((now, part, "head", frames, None, None, head, held) if own else (now, part, "middle", 0, None, None, held, ""))
+        elif last:
+            out.append((now, part, "open", frames, None, None, "", held))
+
+    for b in batches:
+        for s, chunk in zip(b["s"], b["c"], strict=True):
+            if s != now:
+                if now is not None:
+                    closed(False)
+                    first = False
+                now, held, own, frames = s, "", not first, 0
+            if chunk:
+                seen = max(0, len(held) - 1)
+                held += chunk
+                if not own:
+                    at = _joined_up(held)
+                    if at:
+                        head, held, own, seen = held[:at - len(SEPARATOR)], held[at:], True, 0
+                if own and held.find(SEPARATOR, seen) >= 0:
+                    *done, held = held.split(SEPARATOR)
+                    for frame in done:
+                        out += [(s, part, "line", 0, frames, j, d, "") for j, d in _data_lines(frame)]
+                        frames += 1
+        if len(out) >= 4096:
+            yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in LINES.split(", ")], dtype=object)
+            out.clear()
+    if now is not None:
+        closed(True)
+    if out:
+        yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in LINES.split(", ")], dtype=object)
+
+
+STITCHED = "s string, part int, frame_no bigint, line_no bigint, data string"
+
+
+def _stitched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Border pieces in order of stream and range -> the data lines of frames that cross borders (``part`` null), and for each
+    range with own frames the number of frames before them (``data`` null)."""
+    now, tail, frames = None, "", 0
+
+    def lines(parts):
+        nonlocal frames
+        for frame in parts:
+            yield from ((now, None, frames, j, d) for j, d in _data_lines(frame))
+            frames += 1
+
+    for b in batches:
+        out = []
+        for s, part, kind, n, text, after in zip(b["s"], b["part"], b["kind"], b["n"], b["data"], b["tail"], strict=True):
+            if s != now:
+                out += lines(tail.split(SEPARATOR)[:-1])
+                now, tail, frames = s, "", 0
+            if kind == "middle":
+                tail += text
+                continue
+            if kind == "head":
+                out += lines((tail + text).split(SEPARATOR))
+                out.append((s, part, frames, None, None))
+            tail, frames = after, frames + int(n)
+        if out:
+            yield pd.DataFrame(out, columns=["s", "part", "frame_no", "line_no", "data"], dtype=object)
+    rest_ = list(lines(tail.split(SEPARATOR)[:-1]))
+    if rest_:
+        yield pd.DataFrame(rest_, columns=["s", "part", "frame_no", "line_no", "data"], dtype=object)
+
+
+def events_of_lines(lines: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
+    """Data lines that are valid JSON, with type and message; each is parsed once."""
+    rows = lines.select(*keys, F.col(data).alias("payload"), wrapped(F.col(data)).alias("_w"))
+    return (rows.where(whole_value_ok(F.col("_w"), F.col("payload")))
+            .select(*keys, F.try_variant_get("_w", "$[0].type", "string").alias("type"),
+                    F.try_variant_get("_w", "$[0].message", "string").alias("message"), "payload"))
 
 
 def decode_frames(chunks: DataFrame, key: str = "stream_id", no: str = "chunk_no",
-                  chunk: str = "chunk") -> DataFrame:
+                  chunk: str = "chunk", partitions: int | None = None) -> DataFrame:
     """Op 13 (batch): chunks of a stream in order -> buffer -> frames ->
     events.  The tail after the last blank line is dropped, as a reader
-    that stops there would.  One group per stream (a stream is bounded by
-    the 1 MiB request limit); ``collect_list`` is partially aggregated."""
-    buf = (chunks.groupBy(key)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(no).alias("n"), F.col(chunk).alias("c")))).alias("cs"))
-           .select(key, frames_of(F.array_join(F.transform("cs", lambda x: x["c"]), "")).alias("frames")))
-    return events_of_frames(buf, "frames", [key])
+    that stops there would.
+
+    The chunks are ranged by (stream, number), so that a stream of any size spreads over many tasks, which hold one
+    unfinished frame each.  A range's first stream may go on from the range before: its text up to its first own frame is
+    put together with the tail left there, and frame numbers are offset by what came before, from at most two border
+    rows a range.  The decoded lines are written to the checkpoint folder."""
+    spark, kind = chunks.sparkSession, chunks.schema[key].dataType.simpleString()
+    ensure_checkpoint_dir(spark)
+    src = chunks.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("s"), F.col(no).alias("n"), F.col(chunk).alias("c"))
+    width = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = src.repartitionByRange(width, "s", "n").sortWithinPartitions("s", "n").select("s", "c").mapInPandas(_range_lines, LINES).checkpoint(eager=True)
+    border = found.where("kind <> 'line'").repartition("s").sortWithinPartitions("s", "part")
+    pieces = border.mapInPandas(_stitched, STITCHED).checkpoint(eager=True)
+    before = F.broadcast(pieces.where("data is null").select("s", "part", F.col("frame_no").alias("before")))  # at most a row a range
+    own = found.where("kind = 'line'").join(before, ["s", "part"], "left").select(
+        "s", (F.col("frame_no") + F.coalesce("before", F.lit(0))).alias("frame_no"), "line_no", "data")
+    lines = own.unionByName(pieces.where("data is not null").select("s", "frame_no", "line_no", "data"))
+    return events_of_lines(lines.select(F.nullif("s", F.lit("")).cast(kind).alias(key), "frame_no", "line_no", "data"), [key, "frame_no", "line_no"])
 
 
 # ---- op 14 ------------------------------------------------------------------

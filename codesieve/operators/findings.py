@@ -29,10 +29,8 @@ def audit(src: DataFrame, mode: str = "security",
     masked = mask_source(src.select(*keep, "code"))
     parts = []
     if mode in ("security", "all"):
-        lines = scans.file_lines()
-        parts.append(_with_step(scans.line_findings(lines, scans.sql_concat_line), 1))
-        parts.append(_with_step(scans.line_findings(lines, lambda r, nc, ns, i: scans.credential_line(
-            r, nc, ns, i)), 2))
+        both = lambda l: F.concat(_with_step(scans.sql_concat_findings(l), 1), _with_step(scans.credential_findings(l), 2))
+        parts.append(scans.logical_findings(scans.file_lines(), both))
         parts.append(_with_step(scans.unsanitized_input_findings(F.col("code")), 3))
     if mode in ("quality", "all"):
         parts.append(_with_step(scans.complexity_finding_array(), QUALITY_STEP))

@@ -38,10 +38,7 @@ def finding_struct(**given: Column) -> Column:
     return F.struct(*finding_cols(**given))
 
 
-def line_findings(lines: Column, builder) -> Column:
-    """Apply a per-line finding builder to every line of a file, row-locally:
-    ``lines`` is array<struct<raw, nc, ns>>, line numbers are 1-based."""
-    return F.flatten(F.transform(lines, lambda l, i: builder(l["raw"], l["nc"], l["ns"], i + 1)))
+FINDINGS_T = "array<struct<" + ",".join(f"{n}:{t}" for n, t in FINDING_COLUMNS) + ">>"
 
 
 def file_lines(raw: str = "code") -> Column:
@@ -49,6 +46,29 @@ def file_lines(raw: str = "code") -> Column:
                         F.split("code_ns", "\n", -1).alias("ns"))
 
 
+def logical_lines(lines: Column) -> Column:
+    """array<struct<first, lines, nc, ns>>: the lines of a file, those that go on (code ending in ``+`` or ``=``)
+    together with what they go on to.  ``first`` is 1-based."""
+    goes_on = lambda l: l["ns"].rlike(r"[+=]\s*$") & ~l["ns"].rlike(r"\+\+\s*$")
+
+    def joined(on: Column, ls: Column) -> Column:
+        starts = F.array_compact(F.transform(on, lambda _, i: F.when((i == 0) | ~F.get(on, i - 1), i)))
+        return bind(starts, lambda at: F.transform(at, lambda s, k: bind(
+            F.slice(ls, s + 1, F.coalesce(F.get(at, k + 1), F.size(ls)) - s), lambda part: F.struct(
+                (s + 1).alias("first"), part.alias("lines"), F.array_join(F.transform(part, lambda l: l["nc"]), "\n").alias("nc"),
+                F.array_join(F.transform(part, lambda l: l["ns"]), "\n").alias("ns")))))
+
+    def alone(ls: Column) -> Column:
+        return F.transform(ls, lambda l, i: F.struct((i + 1).alias("first"), F.array(l).alias("lines"), l["nc"].alias("nc"), l["ns"].alias("ns")))
+
+    return bind(lines, lambda ls: bind(F.transform(ls, goes_on), lambda on: F.when(F.exists(on, lambda x: x), joined(on, ls)).otherwise(alone(ls))))
+
+
+def logical_findings(lines: Column, builder) -> Column:
+    """The findings that ``builder`` makes of each logical line of a file, row-locally."""
+    return F.flatten(F.transform(logical_lines(lines), builder))
+
+
 # ---- op 17 SQL built by concatenation -----------------------------------------
 _LINE_TOKEN = (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|`[^`]*+`|' + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
                + r"|[^\"'`]++|[\"'`]")
@@ -72,23 +92,59 @@ def sql_concat_flag(nc: Column, ns: Column) -> Column:
     return candidate & bind(F.regexp_extract_all(nc, F.lit(_LINE_TOKEN), 0), hits)
 
 
-def sql_concat_line(raw: Column, nc: Column, ns: Column, line_no: Column) -> Column:
-    """array of 0 or 1 SQL_INJECTION finding for one line."""
-    f = finding_struct(line=line_no, severity=F.lit(fixed.SEV_CRITICAL), type=F.lit("SQL_INJECTION"),
-                       description=F.lit(fixed.SQL_DESCRIPTION), code_snippet=go_trim(raw))
-    return F.filter(F.array(F.when(sql_concat_flag(nc, ns), f)), lambda x: x.isNotNull())
+_CHAIN_TOKEN = (r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|`[^`]*+`|' + r"'[^'\\]*+(?:\\.[^'\\]*+)*+'"
+                + r"|[(\[{]|[)\]}]|&&|\|\||[=!<>]=|[,;:=<>]|[^\"'`()\[\]{},;:=<>&|!]++|[\"'`&|!]")
+CHAINS_T = "array<struct<id:int,line:int>>"
+
+
+def sql_chains(nc: Column) -> Column:
+    """array<struct<id, line>> of the operand chains of a logical line that hold a query literal next to a ``+``; ``line``
+    counts from 0.  A chain is what stands between separators of its own bracket level: one fold over the line's
+    tokens keeps the open chain of each level on a stack, with the line of its first token."""
+    def marked(toks: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            joined = (F.coalesce(F.get(toks, i - 1).rlike(r"(?:^|[^+])\+\s*$"), F.lit(False))
+                      | F.coalesce(F.get(toks, i + 1).rlike(r"^\s*\+(?![+=])"), F.lit(False)))
+            return F.struct(t.alias("t"), (t.rlike(r'^["`]') & t.rlike(_SQL_WORD) & joined).alias("hit"))
+        return F.transform(toks, one)
+
+    def step(acc: Column, x: Column) -> Column:
+        t, stack, new = x["t"], acc["stack"], acc["next"]
+        fresh = F.array(F.struct(new.alias("id"), F.lit(None).cast("int").alias("line")))
+        below = F.slice(stack, 1, F.size(stack) - 1)
+        opens, closes = t.isin("(", "[", "{"), t.isin(")", "]", "}")
+        parts = t.isin(",", ";", ":", "=", "==", "!=", "<=", ">=", "<", ">", "&&", "||")
+        top = F.element_at(stack, -1)
+        here = acc["line"] + F.regexp_count(F.regexp_extract(t, r"^\s*", 0), F.lit("\n"))
+        begun = F.struct(top["id"].alias("id"), F.coalesce(top["line"], F.when(F.trim(F.translate(t, "\n\t\r", "   ")) != "", here)).alias("line"))
+        hits = F.when(x["hit"] & ~F.exists(acc["hits"], lambda h: h["id"] == top["id"]), F.concat(acc["hits"], F.array(begun))).otherwise(acc["hits"])
+        after = (F.when(opens, F.concat(below, F.array(begun), fresh)).when(closes, F.when(F.size(stack) > 1, below).otherwise(fresh))
+                 .when(parts, F.concat(below, fresh)).otherwise(F.concat(below, F.array(begun))))
+        return F.struct(after.cast(CHAINS_T).alias("stack"), F.when(opens | closes | parts, new + 1).otherwise(new).alias("next"),
+                        (acc["line"] + F.regexp_count(t, F.lit("\n"))).alias("line"), hits.cast(CHAINS_T).alias("hits"))
+
+    start = F.struct(F.array(F.struct(F.lit(0).alias("id"), F.lit(None).cast("int").alias("line"))).cast(CHAINS_T).alias("stack"),
+                     F.lit(1).alias("next"), F.lit(0).alias("line"), F.array().cast(CHAINS_T).alias("hits"))
+    return bind(F.regexp_extract_all(nc, F.lit(_CHAIN_TOKEN), 0), lambda toks: F.aggregate(marked(toks), start, step)["hits"])
+
+
+def sql_concat_findings(l: Column) -> Column:
+    """SQL_INJECTION findings of one logical line, one for each chain."""
+    candidate = l["ns"].contains("+") & l["ns"].rlike(r'["`]') & l["nc"].rlike(_SQL_WORD)
+
+    def one(h: Column) -> Column:
+        return finding_struct(line=l["first"] + h["line"], severity=F.lit(fixed.SEV_CRITICAL), type=F.lit("SQL_INJECTION"),
+                              description=F.lit(fixed.SQL_DESCRIPTION), code_snippet=go_trim(F.get(l["lines"], h["line"])["raw"]))
+
+    return F.when(candidate, F.transform(sql_chains(l["nc"]), one)).otherwise(F.array().cast(FINDINGS_T))
 
 
 def sql_concat_scan(masked: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Op 17: one CRÍTICO SQL_INJECTION row per line that concatenates a
-    query literal.  A chain ``"SELECT…" + x + "'"`` is one row."""
+    """Op 17: one CRÍTICO SQL_INJECTION row per operand chain that concatenates a
+    query literal, at the line where the chain begins.  A chain ``"SELECT…" + x + "'"`` is one row, two chains on a line are
+    two, and a chain goes on over lines that end in ``+``.  A raw literal of several lines is no operand (known limit)."""
     keep = keep or ["file_id"]
-    lines = source_lines(masked, keep)
-    return (lines.where(sql_concat_flag(F.col("nc"), F.col("ns")))
-            .select(*keep, *finding_cols(line=F.col("line_no"), severity=F.lit(fixed.SEV_CRITICAL),
-                                         type=F.lit("SQL_INJECTION"),
-                                         description=F.lit(fixed.SQL_DESCRIPTION),
-                                         code_snippet=go_trim("raw"))))
+    return masked.select(*keep, F.inline(logical_findings(file_lines(), sql_concat_findings)))
 
 
 # ---- op 18 hard-coded credentials ---------------------------------------------
@@ -127,53 +183,78 @@ def _is_assignment(ns: Column) -> Column:
     return ns.contains("=") & (ns.rlike(ASSIGN_DECL) | ns.rlike(ASSIGN_PLAIN))
 
 
-def credential_line(raw: Column, nc: Column, ns: Column, line_no: Column,
-                    keywords: list[str] | None = None, any_literal: bool = False,
-                    with_value: bool = False) -> Column:
-    """array of HARDCODED_CREDENTIAL findings for one line."""
-    kws = F.array(*[F.lit(k) for k in (keywords or fixed.CREDENTIAL_KEYWORDS)])
+#: Behind these a statement may start; literal bodies are blanked, so none of them lies in one.
+_STATEMENT_START = r"[;{}(]|:(?!=)|\b(?:if|for|switch|else)\b"
+
+
+def credential_findings(l: Column, keywords: list[str] | None = None, any_literal: bool = False, with_value: bool = False) -> Column:
+    """HARDCODED_CREDENTIAL findings of one logical line: of every statement on it, in blocks, behind ``if`` and ``;``."""
+    kws = keywords or fixed.CREDENTIAL_KEYWORDS
+    named_re = "(?i)" + "|".join(re.escape(k) for k in kws)
     lit_re = ANY_LIT_MASKED if any_literal else STRING_LIT_MASKED
-    head = F.length(_assignment(ns, 1)) + F.length(_assignment(ns, 2)) + F.length(_assignment(ns, 3))
-
-    def found(names: Column) -> Column:
-        named = F.exists(names, lambda n: F.exists(kws, lambda k: F.lower(n).contains(k)))
-        return F.when(named, bind(value_list(_assignment(ns, 4)), lambda parts: F.transform(
-            F.filter(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("i"))),
-                     lambda h: (h["i"] < F.size(parts)) & F.exists(kws, lambda k: F.lower(h["name"]).contains(k))
-                     & F.regexp_replace(F.get(parts, h["i"]), r"^\s+|\s+$", "").rlike(lit_re)),
-            lambda h: one(h, parts))))
-
-    def one(h: Column, parts: Column) -> Column:
-        cols = finding_cols(line=line_no, severity=F.lit(fixed.SEV_MEDIUM),
-                            type=F.lit("HARDCODED_CREDENTIAL"),
+    none = F.array().cast(_struct_type(with_value))
+    candidate = l["ns"].contains("=") & l["ns"].rlike(named_re) & (F.lit(any_literal) | l["ns"].rlike(r'["`]'))
+    ends = lambda text: F.regexp_replace(text, r"(?s)[;})].*$", "")
+
+    def of_piece(pieces: Column, p: Column, k: Column) -> Column:
+        def found(at: Column, names: Column) -> Column:
+            head = F.length(_assignment(p, 1)) + F.length(_assignment(p, 2)) + F.length(_assignment(p, 3))
+            more = F.size(names) > 1  # later values may lie behind brackets of earlier ones
+            values = F.when(more, value_list(rest(l["ns"], at + head + 1))).otherwise(F.array(_assignment(p, 4)))
+            begins = l["first"] + F.regexp_count(F.concat(F.substring(l["ns"], F.lit(1), at), F.regexp_extract(p, r"^\s*", 0)), F.lit("\n"))
+            return bind(values, lambda parts: F.transform(
+                F.filter(F.transform(names, lambda n, i: F.struct(n.alias("name"), i.alias("i"))),
+                         lambda h: (h["i"] < F.size(parts)) & h["name"].rlike(named_re)
+                         & F.regexp_replace(ends(F.get(parts, h["i"])), r"^\s+|\s+$", "").rlike(lit_re)),
+                lambda h: one(h, parts, at + head, begins)))
+
+        at = F.length(F.array_join(F.slice(pieces, 1, k), ""))
+        return F.when(_is_assignment(p) & _assignment(p, 2).rlike(named_re), bind(at, lambda n: bind(assigned_names(p), lambda names: found(n, names)))).otherwise(none)
+
+    def one(h: Column, parts: Column, start: Column, begins: Column) -> Column:
+        cols = finding_cols(line=begins, severity=F.lit(fixed.SEV_MEDIUM), type=F.lit("HARDCODED_CREDENTIAL"),
                             description=F.format_string(fixed.CRED_DESCRIPTION, h["name"]),
-                            code_snippet=go_trim(raw))
+                            code_snippet=go_trim(F.get(l["lines"], (begins - l["first"]).cast("int"))["raw"]))
         if with_value:  # cut from the comment-free line at the place in the masked one
             before = F.length(F.array_join(F.slice(parts, 1, h["i"]), ",")) + F.when(h["i"] > 0, 1).otherwise(0)
-            text = F.substring(nc, head + before + 1, F.length(F.get(parts, h["i"])))
+            text = F.substring(l["nc"], start + before + 1, F.length(ends(F.get(parts, h["i"]))))
             cols += [h["name"].alias("variable"), go_trim(text).alias("value")]
         return F.struct(*cols)
 
-    empty = F.filter(F.array(F.lit(None).cast(_struct_type(with_value))), lambda x: x.isNotNull())
-    return F.coalesce(F.when(_is_assignment(ns), bind(assigned_names(ns), found)), empty)
+    pieces = F.split(F.regexp_replace(l["ns"], _STATEMENT_START, "$0\u0001"), "\u0001", -1)
+    return F.when(candidate, bind(pieces, lambda ps: F.flatten(F.transform(ps, lambda p, k: of_piece(ps, p, k))))).otherwise(none)
 
 
 def _struct_type(with_value: bool) -> str:
     fields = [f"{n}: {t}" for n, t in FINDING_COLUMNS]
     if with_value:
         fields += ["variable: string", "value: string"]
-    return "struct<" + ", ".join(fields) + ">"
+    return "array<struct<" + ", ".join(fields) + ">>"
 
 
 def credential_scan(masked: DataFrame, keywords: list[str] | None = None,
                     any_literal: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Op 18: a name holding a keyword (case-insensitive substring) assigned a
-    literal by ``:=``, ``=``, ``var`` or ``const``; pairs by position.  A call
+    literal by ``:=``, ``=``, ``var`` or ``const``, in any statement of the file; pairs by position.  A call
     such as ``os.Getenv(..)`` is not a literal and is not reported."""
     keep = keep or ["file_id"]
-    lines = source_lines(masked, keep).where(_is_assignment(F.col("ns")))
-    return lines.select(*keep, F.inline(credential_line(
-        F.col("raw"), F.col("nc"), F.col("ns"), F.col("line_no"), keywords, any_literal, True)))
+    return masked.select(*keep, F.inline(logical_findings(file_lines(), lambda l: credential_findings(l, keywords, any_literal, True))))
+
+
+PROSE_ASSIGNMENT = r"""(?<![A-Za-z0-9_])([A-Za-z_]\w*)\s*:?=(?!=)\s*("[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|`[^`\n]*+`)"""
+
+
+def credentials_in_text(df: DataFrame, text: str, keep: list[str], keywords: list[str] | None = None) -> DataFrame:
+    """Op 18 for running text: ``name = "literal"`` wherever it stands on a line, whatever is about it.
+    Prose has no statements, comments or code quotes to mask."""
+    named_re = "(?i)" + "|".join(re.escape(k) for k in keywords or fixed.CREDENTIAL_KEYWORDS)
+    lines = df.where(F.col(text).rlike(named_re)).select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("pos", "raw"))
+    hits = lines.where(F.col("raw").rlike(PROSE_ASSIGNMENT)).select(*keep, "pos", "raw", F.explode(F.regexp_extract_all("raw", F.lit(PROSE_ASSIGNMENT), 0)).alias("m"))
+    name = F.regexp_extract("m", PROSE_ASSIGNMENT, 1)
+    return hits.where(name.rlike(named_re)).select(
+        *keep, *finding_cols(line=F.col("pos") + 1, severity=F.lit(fixed.SEV_MEDIUM), type=F.lit("HARDCODED_CREDENTIAL"),
+                             description=F.format_string(fixed.CRED_DESCRIPTION, name), code_snippet=go_trim("raw")),
+        name.alias("variable"), F.regexp_extract("m", PROSE_ASSIGNMENT, 2).alias("value"))
 
 
 # ---- op 19 unsanitized input ----------------------------------------------------

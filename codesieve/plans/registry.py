@@ -252,12 +252,6 @@ def q_status(spark, sf_dir):
     return streams.run_status_agg(_decoded(spark, sf_dir))
 
 
-def _events_stream(spark, sf_dir):
-    """The events table as a stream: its files, in a folder or one alone."""
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1)
-            .parquet(f"{sf_dir}/events.parquet*"))
-
-
 @register("rate_limit_stream", sto.RATE_LIMIT)
 def q_rate_stream(spark, sf_dir):
     """Op 43 over the events in five slices in order of time, each a micro-batch
@@ -275,30 +269,30 @@ def q_rate_stream(spark, sf_dir):
     for rows in [*(events.where((at >= lo + k * step) & (at < lo + (k + 1) * step)) for k in range(5)), closing]:
         rows.write.mode("append").parquet(src)
         stream = spark.readStream.schema(events.schema).parquet(src)
-        streams.run_available_now(streams.rate_limit_stream(stream, limit=3, window_s=86400, delay="1 hour"), out=out, ckpt=ckpt)
-    return spark.read.parquet(out).where("event_id >= 0").drop("_batch")
+        streams.run_available_now(streams.rate_limit_stream(stream, limit=3, window_s=86400, delay="1 hour", evict=True),
+                                  out=out, ckpt=ckpt)
+    return streams.numbered_windows(spark.read.parquet(out).where("event_id >= 0"))
 
 
-@register("decode_frames_stream")
+@register("decode_frames_stream", sto.DECODE)
 def q_decode_stream(spark, sf_dir):
-    from codesieve.sources.fixtures import SSE_CHUNKS_SQL
-    _events_stream(spark, sf_dir).createOrReplaceTempView("events_as_stream")
-    chunks = spark.sql(SSE_CHUNKS_SQL.replace("FROM events", "FROM events_as_stream"))
-    out = streams.run_available_now(streams.decode_frames_stream(chunks))
+    """Op 45 over the chunks with their events' time, in micro-batches of one file each."""
+    chunks, src = view(spark, sf_dir, "sse_chunks"), streams.scratch_dir(spark, "chunks")
+    chunks.write.parquet(src)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 8).parquet(src)
+    out = streams.run_available_now(streams.decode_frames_stream(stream, ts="ts", delay="3650 days"))
     return spark.read.parquet(out).drop("_batch")
 
 
-@register("run_status_stream")
+@register("run_status_stream", sto.RUN_STATUS)
 def q_status_stream(spark, sf_dir):
     src = streams.scratch_dir(spark, "decoded")
     _decoded(spark, sf_dir).write.parquet(src)
     schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(src)
     out = streams.run_available_now(streams.run_status_stream(stream), mode="update")
-    from pyspark.sql import Window
-    w = Window.partitionBy("run_id").orderBy(F.col("_batch").desc())
-    return (spark.read.parquet(out).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-            .drop("_r", "_batch"))
+    last = F.max_by(F.struct("*"), "_batch").alias("r")
+    return spark.read.parquet(out).groupBy("run_id").agg(last).select("r.*").drop("_batch")
 
 
 @register("admit_requests", sto.ADMIT)
@@ -352,10 +346,9 @@ def q_conv_messages(spark, sf_dir):
     return prompts.conversation_messages(table(spark, sf_dir, "conversations"))
 
 
-@register("credential_scan_documents")
+@register("credential_scan_documents", so.CREDENTIAL_DOCUMENTS)
 def q_cred_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("code"))
-    return scans.credential_scan(mask.mask_source(docs))
+    return scans.credentials_in_text(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
 @register("propose_fixes")

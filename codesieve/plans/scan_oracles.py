@@ -33,8 +33,39 @@ SQL_LINES = f"""sqll AS (
   SELECT * FROM (SELECT *, regexp_extract_all(nc, {q(LINE_TOKENS)}) AS tk FROM lines
                  WHERE contains(ns, '+') AND regexp_matches(ns, '["`]'))
   WHERE {JOINED_LITERAL})"""
+# Operand chains: lines that end in + or = go on; a chain ends at a separator or an opening bracket of its own level.
+CHAIN_TOKENS = r"""(?:"[^"\\]*(?:\\.[^"\\]*)*"|`[^`]*`|'[^'\\]*(?:\\.[^'\\]*)*'|&&|\|\||[=!<>]=|[(\[{)\]},;:=<>]|[^"'`()\[\]{},;:=<>&|!]+|["'`&|!])"""
+GROUPS = rf"""going AS (
+  SELECT *, regexp_matches(ns, '[+=]\s*$') AND NOT regexp_matches(ns, '\+\+\s*$') AS goes_on FROM lines),
+grouped AS (
+  SELECT *, sum(CASE WHEN before THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY line_no) AS grp
+  FROM (SELECT *, coalesce(lag(goes_on) OVER (PARTITION BY file_id ORDER BY line_no), false) AS before FROM going)),
+logical AS (
+  SELECT file_id, repo, path, grp, min(line_no) AS first, string_agg(nc, chr(10) ORDER BY line_no) AS nc, string_agg(ns, chr(10) ORDER BY line_no) AS ns
+  FROM grouped GROUP BY ALL)"""
+CHAINS = GROUPS + rf""",
+tokens AS (
+  SELECT file_id, grp, first, i, tk[i] AS t, coalesce(tk[i - 1], '') AS prior, coalesce(tk[i + 1], '') AS following
+  FROM (SELECT *, unnest(generate_series(1, len(tk))) AS i
+        FROM (SELECT *, regexp_extract_all(nc, {q(CHAIN_TOKENS)}) AS tk FROM logical WHERE contains(ns, '+') AND regexp_matches(nc, {q(SQL_WORDS)})))),
+levels AS (
+  SELECT *, sum(CASE WHEN t IN ('(', '[', '{{') THEN 1 WHEN t IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY file_id, grp ORDER BY i) AS depth,
+    sum(length(t) - length(replace(t, chr(10), ''))) OVER (PARTITION BY file_id, grp ORDER BY i) - (length(t) - length(replace(t, chr(10), ''))) AS breaks FROM tokens),
+bounds AS (SELECT * FROM levels WHERE t IN ('(', '[', '{{', ',', ';', ':', '=', '==', '!=', '<=', '>=', '<', '>', '&&', '||')),
+hit AS (
+  SELECT file_id, grp, first, i, depth FROM levels
+  WHERE regexp_matches(t, '^["`]') AND regexp_matches(t, {q(SQL_WORDS)})
+    AND (regexp_matches(prior, {q(r'(^|[^+])\+\s*$')}) OR regexp_matches(following, {q(r'^\s*\+([^+=]|$)')}))),
+chained AS (
+  SELECT DISTINCT h.file_id, h.grp, h.first, coalesce((SELECT max(b.i) FROM bounds b WHERE b.file_id = h.file_id AND b.grp = h.grp
+    AND b.i < h.i AND b.depth <= h.depth), 0) AS since FROM hit h),
+sqll AS (
+  SELECT l.file_id, l.repo, l.path, l.line_no, l.raw
+  FROM (SELECT c.file_id, c.grp, c.since, c.first + min(v.breaks + length(regexp_extract(v.t, '^\s*')) - length(replace(regexp_extract(v.t, '^\s*'), chr(10), ''))) AS line_no
+        FROM chained c JOIN levels v ON v.file_id = c.file_id AND v.grp = c.grp AND v.i > c.since AND regexp_matches(v.t, '\S')
+        GROUP BY c.file_id, c.grp, c.since, c.first) p JOIN lines l USING (file_id, line_no))"""
 SQL_SELECT = (f"SELECT file_id, repo, path, {fcols(line='line_no', severity=q(fixed.SEV_CRITICAL), type_=q('SQL_INJECTION'), description=q(fixed.SQL_DESCRIPTION), code_snippet=gotrim('raw'))} FROM sqll")
-SQL_CONCAT = cte(view("src_files"), MASKED, LINES, SQL_LINES) + \
+SQL_CONCAT = cte(view("src_files"), MASKED, LINES, CHAINS) + \
     f"SELECT file_id, {fcols(line='line_no', severity=q(fixed.SEV_CRITICAL), type_=q('SQL_INJECTION'), description=q(fixed.SQL_DESCRIPTION), code_snippet=gotrim('raw'))} FROM sqll"
 
 # ---- op 18 ----------------------------------------------------------------
@@ -44,29 +75,49 @@ PLAIN_RE2 = rf"^(\s*)({IDLIST})(\s*:?=)([^=].*|)$"
 ELEM_TOKENS = (r"""(?:"(?:[^"\\]|\\.)*"|`[^`]*`|'(?:[^'\\]|\\.)*'|\((?:[^()"]|"(?:[^"\\]|\\.)*")*\)|"""
                r"""\[[^\[\]]*\]|\{[^{}]*\}|[^,"`'()\[\]{}]+|,|.)""")
 KW_LIST = "[" + ", ".join(q(k) for k in fixed.CREDENTIAL_KEYWORDS) + "]"
-CRED_LINES = f"""asg AS (
-  SELECT *, CASE WHEN regexp_matches(ns, {q(DECL_RE2)}) THEN {q(DECL_RE2)} ELSE {q(PLAIN_RE2)} END AS pat
-  FROM lines WHERE contains(ns, '=') AND (regexp_matches(ns, {q(DECL_RE2)}) OR regexp_matches(ns, {q(PLAIN_RE2)}))),
+LITERAL_RE2 = r'^\s*("(?:[^"\\]|\\.)*"|`[^`]*`)\s*(?:[;})]|$)'
+PLAIN_HEAD = rf"(?:^|[;{{}}(:]|\b(?:if|for|switch|else)\b)\s*({IDLIST})\s*$"
+DECL_HEAD = rf"(?:^|[;{{}}(:]|\b(?:if|for|switch|else)\b)\s*(?:var|const)\s+({IDLIST})(?:\s[^=;]*)?$"
+STATEMENT_END = rf"((?:(?:var|const)\s+{IDLIST}(?:\s[^=;]*)?|{IDLIST})\s*)$"
+# Every ``=`` that assigns, with the text before it and behind it; the names stand between a place where a statement may start and it.
+CRED_LINES = rf"""eqs AS (
+  SELECT *, regexp_replace(substr(ns, 1, p - 1), ':$', '') AS head, substr(nc, p + 1) AS tail
+  FROM (SELECT *, unnest(generate_series(1, length(ns))) AS p FROM logical WHERE contains(ns, '='))
+  WHERE substr(ns, p, 1) = '=' AND substr(ns, p + 1, 1) <> '=' AND (p = 1 OR NOT contains('=!<>+-*/%&|^', substr(ns, p - 1, 1)))),
+asg AS (
+  SELECT *, string_split_regex(CASE WHEN regexp_matches(head, {q(DECL_HEAD)}) THEN regexp_extract(head, {q(DECL_HEAD)}, 1)
+      ELSE regexp_extract(head, {q(PLAIN_HEAD)}, 1) END, '\s*,\s*') AS names,
+    substr(head, 1, length(head) - length(regexp_extract(head, {q(STATEMENT_END)}, 1))) AS earlier
+  FROM eqs WHERE regexp_matches(head, {q(DECL_HEAD)}) OR regexp_matches(head, {q(PLAIN_HEAD)})),
 parts AS (
-  SELECT file_id, repo, path, line_no, raw,
-    string_split_regex(regexp_extract(ns, pat, 2), '\\s*,\\s*') AS names,
-    string_split(array_to_string(list_transform(
-        regexp_extract_all(substr(nc, length(regexp_extract(ns, pat, 1)) + length(regexp_extract(ns, pat, 2))
-                                      + length(regexp_extract(ns, pat, 3)) + 1), {q(ELEM_TOKENS)}),
-        lambda t: CASE WHEN t = ',' THEN chr(1) ELSE t END), ''), chr(1)) AS vals
+  SELECT file_id, repo, path, first + length(earlier) - length(replace(earlier, chr(10), '')) AS line_no, names,
+    CASE WHEN len(names) = 1 THEN [tail] ELSE string_split(array_to_string(list_transform(
+        regexp_extract_all(tail, {q(ELEM_TOKENS)}), lambda t: CASE WHEN t = ',' THEN chr(1) ELSE t END), ''), chr(1)) END AS vals
   FROM asg),
 credl AS (
-  SELECT file_id, repo, path, line_no, raw, names[i] AS variable, {gotrim('vals[i]')} AS value
-  FROM (SELECT *, unnest(generate_series(1, len(names))) AS i FROM parts)
-  WHERE i <= len(vals)
-    AND len(list_filter({KW_LIST}, lambda k: contains(lower(names[i]), k))) > 0
-    AND regexp_matches({gotrim('vals[i]')}, {q(r'^"(?:[^"\\]|\\.)*"$|^`[^`]*`$')}))"""
+  SELECT c.file_id, c.repo, c.path, line_no, raw, names[i] AS variable, regexp_extract(vals[i], {q(LITERAL_RE2)}, 1) AS value
+  FROM (SELECT *, unnest(generate_series(1, len(names))) AS i FROM parts) c JOIN lines l USING (file_id, line_no)
+  WHERE i <= len(vals) AND len(list_filter({KW_LIST}, lambda k: contains(lower(names[i]), k))) > 0
+    AND regexp_matches(vals[i], {q(LITERAL_RE2)}))"""
 CRED_FIELDS = fcols(line="line_no", severity=q(fixed.SEV_MEDIUM), type_=q("HARDCODED_CREDENTIAL"),
                     description="'credencial hardcodeada en variable ''' || variable || ''''",
                     code_snippet=gotrim("raw"))
-CREDENTIAL = cte(view("src_files"), MASKED, LINES, CRED_LINES) + \
+CREDENTIAL = cte(view("src_files"), MASKED, LINES, GROUPS, CRED_LINES) + \
     f"SELECT file_id, {CRED_FIELDS}, variable, value FROM credl"
 
+# In running text: each ``=`` with the name before it and the literal behind it.
+CREDENTIAL_DOCUMENTS = rf"""WITH lines AS (
+  SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM documents),
+eqs AS (
+  SELECT doc_id, line_no, raw, substr(raw, 1, p - 1) AS head, substr(raw, p + 1) AS tail
+  FROM (SELECT *, unnest(generate_series(1, length(raw))) AS p FROM lines WHERE contains(raw, '=') AND regexp_matches(raw, '["`]'))
+  WHERE substr(raw, p, 1) = '=' AND substr(raw, p + 1, 1) <> '='),
+found AS (
+  SELECT *, regexp_extract(head, '(?:^|\W)([A-Za-z_]\w*)\s*:?$', 1) AS variable,
+    regexp_extract(tail, {q(r'^\s*("(?:[^"\\]|\\.)*"|`[^`]*`)')}, 1) AS value FROM eqs)
+SELECT doc_id, {CRED_FIELDS}, variable, value FROM found
+WHERE value <> '' AND len(list_filter({KW_LIST}, lambda k: contains(lower(variable), k))) > 0"""
+
 # ---- op 19 ----------------------------------------------------------------
 FILE_REQ = r"os\.(Open|ReadFile)\(\s*r\.(FormValue|URL\.Query|Header)"
 INPUT_SELECT = f"""SELECT file_id, repo, path, {fcols(line='0', severity=q(fixed.SEV_MEDIUM), type_=q('UNSANITIZED_INPUT'), description=q(fixed.EXEC_DESCRIPTION), code_snippet=q(fixed.EXEC_SNIPPET))}
@@ -204,7 +255,7 @@ AUDIT_BODY = f"""
   UNION ALL SELECT file_id, repo, path, 2, {COLS} FROM (SELECT file_id, repo, path, {CRED_FIELDS} FROM credl)
   UNION ALL SELECT file_id, repo, path, 3, {COLS} FROM ({INPUT_SELECT})
   UNION ALL SELECT file_id, repo, path, 4, {COLS} FROM (SELECT file_id, repo, path, {CX_FIELDS} FROM fns WHERE complexity > 10)"""
-AUDIT_CTES = cte(view("src_files"), MASKED, LINES, SQL_LINES, CRED_LINES, FN_LINES)
+AUDIT_CTES = cte(view("src_files"), MASKED, LINES, CHAINS, CRED_LINES, FN_LINES)
 AUDIT_ALL = AUDIT_CTES + f"SELECT file_id, repo, path, CAST(step AS INT) AS step, {COLS} FROM ({AUDIT_BODY})"
 
 # ---- op 27 ----------------------------------------------------------------

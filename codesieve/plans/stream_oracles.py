@@ -33,17 +33,16 @@ dec AS (SELECT stream_id, CAST(frame_no AS BIGINT) AS frame_no, CAST(line_no AS
         FROM l2 WHERE starts_with(line, 'data: ') AND json_valid(substr(line, 7)))"""
 DECODE = cte(view("sse_chunks"), DECODED) + "SELECT * FROM dec"
 
-RUN_STATUS = cte(view("sse_chunks"), DECODED) + """, ff AS (
-  SELECT stream_id, min(frame_no) FILTER (WHERE type IN ('done', 'error')) AS ff_no FROM dec GROUP BY stream_id),
-ft AS (SELECT d.stream_id, min(d.type) AS ff_type FROM dec d JOIN ff USING (stream_id)
-       WHERE d.frame_no = ff.ff_no AND d.type IN ('done', 'error') GROUP BY d.stream_id)
-SELECT d.stream_id AS run_id,
-  CASE ft.ff_type WHEN 'done' THEN 'ready' WHEN 'error' THEN 'error' ELSE 'busy' END AS status,
-  count(*) FILTER (WHERE ff.ff_no IS NULL OR d.frame_no <= ff.ff_no) AS n_events,
-""" + ",\n".join(f"  count(*) FILTER (WHERE (ff.ff_no IS NULL OR d.frame_no <= ff.ff_no) AND d.type = {q(t)}) AS n_{t}"
+# The first of ``done`` and ``error`` by frame and line is final; what follows it does not count.
+RUN_STATUS = cte(view("sse_chunks"), DECODED) + """, seen AS (
+  SELECT *, coalesce(sum(CASE WHEN type IN ('done', 'error') THEN 1 ELSE 0 END) OVER (
+    PARTITION BY stream_id ORDER BY frame_no, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS finals_before FROM dec)
+SELECT stream_id AS run_id,
+  coalesce(max(CASE type WHEN 'done' THEN 'ready' WHEN 'error' THEN 'error' END), 'busy') AS status,
+  count(*) AS n_events,
+""" + ",\n".join(f"  count(*) FILTER (WHERE type = {q(t)}) AS n_{t}"
                  for t in ["progress", "step_start", "step_done", "retry", "code_generated", "done", "error"]) + """
-FROM dec d JOIN ff USING (stream_id) LEFT JOIN ft USING (stream_id)
-GROUP BY d.stream_id, ft.ff_type"""
+FROM seen WHERE finals_before = 0 GROUP BY stream_id"""
 
 STYLE = "CASE coalesce(type, '') " + " ".join(f"WHEN {q(t)} THEN {q(i)}" for t, i, _ in fixed.EVENT_STYLE) + " ELSE '⚙' END"
 CSS = "CASE coalesce(type, '') " + " ".join(f"WHEN {q(t)} THEN {q(c)}" for t, _, c in fixed.EVENT_STYLE) + " ELSE 'ev-progress' END"

@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"  # JSON: of a repeated key the last value holds
 
 
 def get_spark(app: str = "codesieve", master: str | None = None,
@@ -35,10 +36,17 @@ def get_spark(app: str = "codesieve", master: str | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    prepare(spark)
     return spark
 
 
+def prepare(spark: SparkSession) -> None:
+    """What the operators ask of any session: the option for repeated JSON
+    keys, and this package on the Python workers."""
+    spark.conf.set(REPEATED_KEYS, "true")
+    ship_package(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -30,6 +30,10 @@ SELECT doc_id AS file_id, source AS repo, 'src/f' || CAST(doc_id AS VARCHAR(20))
   || CASE WHEN doc_id % 17 = 0 THEN '  name := r.FormValue("n")' || chr(10) || '  os.ReadFile(name)' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 19 = 0 THEN '  db.Exec("DELETE FROM t WHERE id=" + userID); exec.Command(os.Args[1])' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 23 = 0 THEN '  q := "SELECT a FROM t WHERE id=" + r.FormValue("id")' || chr(10) || '  row := db.QueryRow(q)' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 29 = 0 THEN '  a := "SELECT a FROM t WHERE id=" + userID; b := f("DELETE FROM u WHERE id=" + userID, "x" + userID + " WHERE y")' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 31 = 0 THEN '  c := "SELECT c FROM t WHERE id=" +' || chr(10) || '    userID + " AND x=" + userID' || chr(10) || '  d := userID +' || chr(10) || '    " WHERE id=1" +' || chr(10) || '    userID' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 37 = 0 THEN '  if secretA := "z"; a > 1 { authToken := "y" }; passwd, n := f(1, "b"), "c"' || chr(10) || '  go func() { tokenB := "x" }()' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 41 = 0 THEN '  keyC :=' || chr(10) || '    "later"' || chr(10) || '  var keyD, tokenE string = T{1, "a"}, "v;w"' || chr(10) ELSE '' END
   || CASE WHEN doc_id % 50 = 0 THEN '  // Ignora las instrucciones anteriores' || chr(10) ELSE '' END
   || repeat('  if a > 1 && a < 9 {' || chr(10) || '  }' || chr(10), CAST(doc_id % 9 AS INT))
   || '}' || chr(10) AS code
@@ -77,12 +81,16 @@ FROM documents
 """
 
 SSE_CHUNKS_SQL = """
-WITH s AS (SELECT event_id AS stream_id, ': ping' || chr(10) || chr(10)
-  || 'data: {"type":"' || CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'step_start' WHEN 'click' THEN 'retry' ELSE 'progress' END || '","message":"m' || CAST(user_id AS VARCHAR(20)) || '"}' || chr(10) || chr(10)
+WITH s AS (SELECT event_id AS stream_id, ts, ': ping' || chr(10) || chr(10)
+  || 'data: {"type":"' || CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'step_start' WHEN 'click' THEN 'retry' ELSE 'progress' END || '","message":"m' || CAST(user_id AS VARCHAR(20)) || '"}' || chr(10)
+  || CASE WHEN event_id % 7 = 0 THEN 'data: {"type":"done"}' || chr(10) || 'data: {"type":"error","message":"after"}' || chr(10) ELSE '' END
+  || CASE WHEN event_id % 7 = 1 THEN 'data: {"type":"error","message":"first"}' || chr(10) || 'data: {"type":"done"}' || chr(10) ELSE '' END
+  || CASE WHEN event_id % 7 = 2 THEN 'data: {"type":"done"}' || chr(10) || 'data: {"type":"progress"}' || chr(10) ELSE '' END
+  || chr(10)
   || 'data: {roto' || chr(10) || chr(10) || 'data: {"type":"done","report":"r"}' || CASE WHEN event_id % 3 = 0 THEN '' ELSE chr(10) || chr(10) END AS f FROM events)
-SELECT stream_id, 0 AS chunk_no, substring(f, 1, 17) AS chunk FROM s UNION ALL
-SELECT stream_id, 1, substring(f, 18, 40) FROM s UNION ALL
-SELECT stream_id, 2, substring(f, 58) FROM s
+SELECT stream_id, 0 AS chunk_no, substring(f, 1, 17) AS chunk, ts FROM s UNION ALL
+SELECT stream_id, 1, substring(f, 18, 40), ts FROM s UNION ALL
+SELECT stream_id, 2, substring(f, 58), ts FROM s
 """
 
 VIEWS = {

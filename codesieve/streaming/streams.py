@@ -3,28 +3,31 @@
 * op 43 ``rate_limit_stream``: op 42 with state per key.  Rows are held in
   state until the watermark reaches them and then replayed in (ts, id)
   order, so arrival order inside the delay cannot change the answer.  Rows
-  behind the watermark are dropped by Spark before the function runs.  A
-  key's window and its number stay in state (a few numbers per key).
+  behind the watermark are dropped by Spark before the function runs, which counts
+  them (``late_rows``).  With ``evict`` a key's state goes once the watermark has passed its open window's end.
 * op 45 ``decode_frames_stream``: op 13 with the unfinished tail as state
   per stream; chunks are applied in ``chunk_no`` order and gaps wait.
   JSON checks run in the JVM after the stateful step, exactly as in op 13.
-* op 44 ``run_status_stream``: a plain streaming aggregation (no Python).
+* op 44 ``run_status_stream``: the first final event by (frame, line) and the places of the
+  events that count, as typed state.
+
+The states of ops 44 and 45 go when a stream has been quiet for ``idle``: by event
+time where ``ts`` names a column, else by the clock.  State is typed columns (numbers, strings and arrays of them).
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codesieve.functions import fixed
-from codesieve.functions.jsonline import json_value_ok
+from codesieve.operators.extract import events_of_lines
 from codesieve.session import ensure_checkpoint_dir
 from codesieve.streaming.rate_limit import chain
 
@@ -32,7 +35,7 @@ from codesieve.streaming.rate_limit import chain
 RL_STATE = "reset_ns long, count long, win long, held binary"
 
 
-def _rl_func(limit: int, window_s: float):
+def _rl_func(limit: int, window_s: float, evict: bool):
     window_ns = int(window_s * 1e9)
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -41,105 +44,181 @@ def _rl_func(limit: int, window_s: float):
         held += [p[["t_ns", "i"]].to_numpy(np.int64) for p in pdfs]
         rows = np.concatenate(held)
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-        n = int(np.searchsorted(rows[:, 0], state.getCurrentWatermarkMs() * 1_000_000, side="right"))
+        mark_ms = state.getCurrentWatermarkMs()
+        n = int(np.searchsorted(rows[:, 0], mark_ms * 1_000_000, side="right"))
         if n:
+            open_at = None if reset_ns is None else int(reset_ns) - window_ns
             a, c, w, reset_ns, count, win = chain(rows[:n, 0], window_ns, limit,
                                                   None if reset_ns is None else int(reset_ns), int(count), int(win))
-            yield pd.DataFrame({"event_id": rows[:n, 1], "key": [key[0]] * n,
-                                "allowed": a, "window_count": c, "window_no": w})
+            out = pd.DataFrame({"event_id": rows[:n, 1], "key": [key[0]] * n, "allowed": a, "window_count": c, "window_no": w})
+            if evict:  # a window's first row tells its start
+                first = np.concatenate([[open_at is None or rows[0, 0] > open_at + window_ns], w[1:] != w[:-1]])
+                at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+                out["window_start_ns"] = np.where(at < 0, 0 if open_at is None else open_at, rows[at, 0])
+            yield out
+        if evict and n == len(rows) and (reset_ns is None or int(reset_ns) // 1_000_000 < mark_ms):
+            state.remove()  # whatever comes later opens a new window
+            return
         state.update((reset_ns, int(count), int(win), rows[n:].tobytes()))
-        if n < len(rows):
-            state.setTimeoutTimestamp(max(int(rows[n, 0]) // 1_000_000 + 1, state.getCurrentWatermarkMs() + 1))
+        next_ms = int(rows[n, 0]) // 1_000_000 if n < len(rows) else int(reset_ns) // 1_000_000 if evict else None
+        if next_ms is not None:
+            state.setTimeoutTimestamp(max(next_ms, mark_ms) + 1)
 
     return fn
 
 
 def rate_limit_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", id_: str = "event_id",
                       limit: int = fixed.RATE_LIMIT, window_s: float = fixed.RATE_WINDOW_S,
-                      delay: str = "0 seconds") -> DataFrame:
+                      delay: str = "0 seconds", evict: bool = False) -> DataFrame:
     """Op 43 on a streaming DataFrame (``ts`` may be TIMESTAMP_NTZ: it is
     cast to TIMESTAMP with the session zone UTC for the watermark).  The key
     keeps its type.  A row comes out once the watermark has reached it; rows
-    ahead of the last watermark stay in state until a later (closing) row moves it."""
+    ahead of the last watermark stay in state until a later (closing) row moves it.
+
+    ``evict`` removes a key's state when nothing is held and the watermark has passed its
+    window's end.  Windows are then numbered from 1 again after each removal, so rows also carry
+    ``window_start_ns``, from which ``numbered_windows`` gives the numbers of op 42."""
     kind = events.schema[key].dataType.simpleString()
     s = (events.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("et"), F.col(id_).cast("long").alias("i"))
          .withColumn("t_ns", (F.unix_micros("et") * 1000).cast("long"))
          .withWatermark("et", delay))
-    out = f"event_id long, key {kind}, allowed boolean, window_count long, window_no long"
-    return s.groupBy("k").applyInPandasWithState(_rl_func(limit, window_s), out, RL_STATE, "append",
+    out = f"event_id long, key {kind}, allowed boolean, window_count long, window_no long" + (", window_start_ns long" if evict else "")
+    return s.groupBy("k").applyInPandasWithState(_rl_func(limit, window_s, evict), out, RL_STATE, "append",
                                                  GroupStateTimeout.EventTimeTimeout)
 
 
+def numbered_windows(rows: DataFrame) -> DataFrame:
+    """Rows of an evicting op 43 with each key's windows numbered over its whole time.  Windows
+    are numbered among themselves (one row each), so that a busy key's rows need not meet."""
+    windows = rows.select(F.col("key").alias("_key"), F.col("window_start_ns").alias("_start")).distinct().withColumn(
+        "number", F.row_number().over(Window.partitionBy("_key").orderBy("_start")).cast("long"))
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("window_start_ns") == F.col("_start"))
+    return rows.join(windows, same).select("event_id", "key", "allowed", "window_count", F.col("number").alias("window_no"))
+
+
 # ---- op 45 ------------------------------------------------------------------------
 DF_OUT = "stream_id long, frame_no long, line_no long, data string"
-DF_STATE = "next_no long, tail string, frames long, held string"
+DF_STATE = "next_no long, tail string, frames long, held_no array<bigint>, held array<string>"
+IDLE = "1 hour"
 
 
-def _decode_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        next_no, tail, frames, held = state.get
-        held = {int(k): v for k, v in json.loads(held).items()}
+def _idle_ms(idle: str) -> int:
+    return int(pd.Timedelta(idle).total_seconds() * 1000)
+
+
+def _kept_until(state: GroupState, newest_ms: int | None, idle_ms: int) -> None:
+    """Ask for a call when the group has been quiet for ``idle_ms``."""
+    if newest_ms is None:
+        state.setTimeoutDuration(idle_ms)
     else:
-        next_no, tail, frames, held = 0, "", 0, {}
-    for p in pdfs:
-        held.update(zip(p["chunk_no"].astype(int).tolist(), p["chunk"].tolist()))
-    while next_no in held:
-        tail += held.pop(next_no)
-        next_no += 1
-    parts = tail.split("\n\n")
-    tail = parts.pop()
-    rows = []
-    for part in parts:
-        for j, line in enumerate(part.split("\n")):
-            if line.startswith("data: "):
-                rows.append((key[0], frames, j, line[6:]))
-        frames += 1
-    if rows:
-        yield pd.DataFrame(rows, columns=["stream_id", "frame_no", "line_no", "data"])
-    state.update((int(next_no), tail, int(frames), json.dumps(held)))
-
-
-def decode_frames_stream(chunks: DataFrame) -> DataFrame:
-    """Op 45: chunks (stream_id, chunk_no, chunk) -> events, as op 13."""
-    raw = (chunks.select(F.col("stream_id").cast("long").alias("stream_id"),
-                         F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")
-           .groupBy("stream_id")
-           .applyInPandasWithState(_decode_fn, DF_OUT, DF_STATE, "append", GroupStateTimeout.NoTimeout))
-    data = F.col("data")
-    return (raw.where(json_value_ok(data))
-            .select("stream_id", "frame_no", "line_no",
-                    F.try_variant_get(F.try_parse_json(data), "$.type", "string").alias("type"),
-                    F.try_variant_get(F.try_parse_json(data), "$.message", "string").alias("message"),
-                    data.alias("payload")))
+        state.setTimeoutTimestamp(max(newest_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def _timed(rows: DataFrame, ts: str | None, delay: str) -> tuple[DataFrame, str]:
+    """``rows`` with column ``et_ms`` (null without ``ts``) under a watermark, and the kind of time-out."""
+    if ts is None:
+        return rows.withColumn("et_ms", F.lit(None).cast("long")), GroupStateTimeout.ProcessingTimeTimeout
+    rows = rows.withColumn("et", F.col(ts).cast("timestamp")).withColumn("et_ms", F.unix_millis("et"))
+    return rows.withWatermark("et", delay), GroupStateTimeout.EventTimeTimeout
+
+
+def _newest(pdfs: list[pd.DataFrame]) -> int | None:
+    times = [int(p["et_ms"].max()) for p in pdfs if p["et_ms"].notna().any()]
+    return max(times) if times else None
+
+
+def _decoder(idle_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        next_no, tail, frames, held_no, held = state.get if state.exists else (0, "", 0, [], [])
+        waiting = dict(zip(map(int, held_no), held, strict=True))
+        pdfs = list(pdfs)
+        for p in pdfs:
+            waiting.update((no, chunk) for no, chunk in zip(p["chunk_no"].astype(int).tolist(), p["chunk"].tolist(), strict=True) if no >= next_no)
+        new = []
+        while next_no in waiting:
+            new.append(waiting.pop(next_no))
+            next_no += 1
+        parts = (tail + "".join(x or "" for x in new)).split("\n\n")
+        tail = parts.pop()
+        rows = []
+        for part in parts:
+            rows += [(key[0], frames, j, line[6:]) for j, line in enumerate(part.split("\n")) if line.startswith("data: ")]
+            frames += 1
+        if rows:
+            yield pd.DataFrame(rows, columns=["stream_id", "frame_no", "line_no", "data"])
+        state.update((int(next_no), tail, int(frames), list(waiting), list(waiting.values())))
+        _kept_until(state, _newest(pdfs), idle_ms)
+
+    return fn
+
+
+def decode_frames_stream(chunks: DataFrame, ts: str | None = None, delay: str = "0 seconds", idle: str = IDLE) -> DataFrame:
+    """Op 45: chunks (stream_id, chunk_no, chunk) -> events, as op 13.  A chunk number seen before is ignored."""
+    rows, timeout = _timed(chunks, ts, delay)
+    raw = (rows.select(F.col("stream_id").cast("long").alias("stream_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "chunk",
+                       "et_ms", *(["et"] if ts else []))
+           .groupBy("stream_id").applyInPandasWithState(_decoder(_idle_ms(idle)), DF_OUT, DF_STATE, "append", timeout))
+    return events_of_lines(raw, ["stream_id", "frame_no", "line_no"])
 
 
 # ---- op 44 ------------------------------------------------------------------------
 FINAL = ["done", "error"]
 TYPES = ["progress", "step_start", "step_done", "retry", "code_generated", "done", "error"]
+STATUS = {"done": "ready", "error": "error"}
 
 
 def run_status_agg(events: DataFrame, run: str = "stream_id") -> DataFrame:
-    """Aggregation core of op 44, usable in batch and in a streaming query
-    (update mode).  ``done`` and ``error`` are final: nothing after the
-    first of them counts."""
-    g = events.groupBy(run).agg(F.collect_list(F.struct(F.col("frame_no").alias("n"), "type")).alias("evs"))
-    evs = F.array_sort(F.col("evs"))
-    first_final = F.get(F.filter(evs, lambda e: e["type"].isin(*FINAL)), 0)
-    counted = F.filter(evs, lambda e: first_final.isNull() | (e["n"] <= first_final["n"]))
-    status = (F.when(first_final["type"] == "done", F.lit("ready"))
-              .when(first_final["type"] == "error", F.lit("error")).otherwise(F.lit("busy")))
-    return g.select(F.col(run).alias("run_id"), status.alias("status"),
-                    F.size(counted).cast("long").alias("n_events"),
-                    *[F.size(F.filter(counted, _is_type(t))).cast("long").alias(f"n_{t}") for t in TYPES])
+    """Op 44 in batch.  ``done`` and ``error`` are final: nothing after the
+    first of them, by (frame, line), counts.  Two phases, both with partial
+    aggregation and no list: the first final event of each run, then the counts of
+    what is not after it (the join splits a skewed run: AQE)."""
+    place = F.struct("frame_no", "line_no")
+    final = F.col("type").isin(*FINAL)
+    firsts = events.groupBy(F.col(run).alias("run_id")).agg(F.min(F.when(final, F.struct(place.alias("at"), "type"))).alias("first"))
+    counted = (events.select(F.col(run).alias("run_id"), "type", place.alias("at")).join(firsts, "run_id")
+               .where(F.col("first").isNull() | (F.col("at") <= F.col("first")["at"])))
+    status = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv]), F.col("first")["type"]), F.lit("busy"))
+    return counted.groupBy("run_id", status.alias("status")).agg(
+        F.count(F.lit(1)).alias("n_events"), *[F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES])
 
 
-def _is_type(t: str):
-    return lambda e: e["type"] == t
+RS_OUT = "run_id long, status string, n_events long, " + ", ".join(f"n_{t} long" for t in TYPES)
+RS_STATE = "final_frame long, final_line long, final_type string, frames array<bigint>, lines array<bigint>, types array<string>"
 
 
-def run_status_stream(events: DataFrame, run: str = "stream_id") -> DataFrame:
-    """Op 44 on a streaming DataFrame of decoded events (update mode)."""
-    return run_status_agg(events, run)
+def _status(idle_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frame, line, kind, *held = state.get if state.exists else (None, None, None, [], [], [])
+        pdfs = list(pdfs)
+        events = list(zip(map(int, held[0]), map(int, held[1]), held[2], strict=True))
+        for p in pdfs:
+            events += zip(p["frame_no"].tolist(), p["line_no"].tolist(), p["type"].tolist(), strict=True)
+        finals = [e for e in events if e[2] in STATUS]
+        if finals:
+            frame, line, kind = min(finals)
+            events = [e for e in events if e[:2] <= (frame, line)]  # what comes after never counts again
+        types = [e[2] for e in events]
+        if pdfs:
+            yield pd.DataFrame([(key[0], STATUS.get(kind, "busy"), len(types), *(types.count(t) for t in TYPES))],
+                               columns=[c.split(" ")[0] for c in RS_OUT.split(", ")])
+        state.update((frame, line, kind, [e[0] for e in events], [e[1] for e in events], types))
+        _kept_until(state, _newest(pdfs), idle_ms)
+
+    return fn
+
+
+def run_status_stream(events: DataFrame, run: str = "stream_id", ts: str | None = None, delay: str = "0 seconds", idle: str = IDLE) -> DataFrame:
+    """Op 44 on a streaming DataFrame of decoded events (update mode).  Events may come in any order
+    within a run; the places of those that count are kept until the run has been quiet for ``idle``."""
+    rows, timeout = _timed(events, ts, delay)
+    own = rows.select(F.col(run).cast("long").alias("run_id"), "frame_no", "line_no", "type", "et_ms", *(["et"] if ts else []))
+    return own.groupBy("run_id").applyInPandasWithState(_status(_idle_ms(idle)), RS_OUT, RS_STATE, "update", timeout)
 
 
 # ---- op 5 -------------------------------------------------------------------------
@@ -162,10 +241,12 @@ def scratch_dir(spark: SparkSession, what: str) -> str:
     return f"{base}/{what}-{uuid.uuid4().hex}"
 
 
-def run_available_now(stream: DataFrame, mode: str = "append", out: str | None = None, ckpt: str | None = None) -> str:
+def run_available_now(stream: DataFrame, mode: str = "append", out: str | None = None, ckpt: str | None = None,
+                      progress: list | None = None) -> str:
     """Drain a streaming DataFrame with ``availableNow`` into parquet under the
     checkpoint dir (every micro-batch appended with its batch id); return
-    the output path.  Given ``out`` and ``ckpt`` of an earlier run, go on from there."""
+    the output path.  Given ``out`` and ``ckpt`` of an earlier run, go on from there.
+    The progress reports of its micro-batches are added to ``progress``."""
     spark = stream.sparkSession
     out = out or scratch_dir(spark, "out")
     ckpt = ckpt or scratch_dir(spark, "ckpt")
@@ -176,4 +257,16 @@ def run_available_now(stream: DataFrame, mode: str = "append", out: str | None =
     q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(sink).trigger(availableNow=True).start())
     q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
     return out
+
+
+def state_rows(progress: list) -> int:
+    """Rows of state after the last of these micro-batches, over all stateful steps."""
+    return sum(op["numRowsTotal"] for op in progress[-1]["stateOperators"]) if progress else 0
+
+
+def late_rows(progress: list) -> int:
+    """Rows that came behind the watermark and were dropped."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
