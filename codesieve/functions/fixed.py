@@ -97,6 +97,11 @@ MSG_NO_CODE = ("No detecté código Go en tu respuesta. "
                "Continúa con el siguiente paso del análisis generando el código correspondiente.")
 MSG_NOT_PACKAGE = ("El código que generaste no es Go válido. "
                    "Asegúrate de generar SOLO el bloque de código Go, empezando con 'package main'.")
+# errors that end a run
+ERR_LLM = "error consultando LLM en intento %d: %s"
+ERR_EXECUTOR = "executor falló después de %d intentos: %s"
+ERR_CODE = "código generado falló después de %d intentos.\nÚltimo error:\n%s"
+ERR_EXHAUSTED = "se agotaron los %d reintentos sin completar el análisis"
 MSG_EXEC_ERROR = "El executor tuvo un error técnico: %s\nGenera el código nuevamente."
 MSG_FAILED = ("El código que generaste falló con este error:\n\n%s\n\n"
               "Corrige el código y genera una nueva versión completa.")

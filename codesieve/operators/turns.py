@@ -53,49 +53,48 @@ def classify_turns(turns: DataFrame, max_steps: int = fixed.DEFAULT_MAX_STEPS,
            .when(F.col("exit_code") != 0, F.when(last, F.lit("failed_fatal")).otherwise(F.lit("failed")))
            .otherwise(F.lit("success")))
     base = (turns.where(F.col("attempt") <= max_retries)
-            .select("*", code.alias("code"), ok.alias("ok")))
+            .select("*", *[_opt(turns, c).alias(c) for c in ("stderr", "llm_error") if c not in turns.columns],
+                    code.alias("code"), ok.alias("ok")))
     with_sc = base.withColumn("sc", sc).withColumn("cls", cls)
     end = F.min(F.when(F.col("cls").isin(*END_CLASSES), F.col("attempt"))).over(Window.partitionBy("run_id"))
     return (with_sc.withColumn("end_attempt", end)
             .where(F.col("end_attempt").isNull() | (F.col("attempt") <= F.col("end_attempt")))
             .select("run_id", "attempt", "cls", "ok", F.col("sc").cast("bigint").alias("successes_before"),
                     (F.col("sc") + F.col("ok").cast("int")).cast("bigint").alias("successes"),
-                    "code", "response", "exec_error", "exit_code", "stdout", "duration_s",
+                    "code", "response", "exec_error", "exit_code", "stdout", "duration_s", "stderr", "llm_error",
                     F.coalesce(F.col("attempt") == F.col("end_attempt"), F.lit(False)).alias("is_end")))
 
 
-def classified_view(turns: DataFrame, **kw) -> DataFrame:
-    """Op 29 output with just the columns a report on classes needs."""
-    return classify_turns(turns, **kw).select("run_id", "attempt", "cls", "ok", "successes_before",
-                                              "successes", "is_end")
-
-
 def run_outcomes(classified: DataFrame, max_retries: int = fixed.DEFAULT_MAX_RETRIES) -> DataFrame:
     """Op 30: per run the outcome (done, llm_error, executor_failed,
     code_failed, exhausted; incomplete when the log stops before the cap),
-    attempts used, steps done, report and last error.  The grouping reuses
+    attempts used, steps done, report, last error (of the model, the executor or the
+    code's stderr) and the message that a run ends with.  The grouping reuses
     the run partitioning of op 29's windows: no second shuffle."""
-    last = F.max_by(F.struct("cls", "response", "exec_error", "exit_code", "successes"), "attempt")
+    last = F.max_by(F.struct("cls", "response", "exec_error", "stderr", "llm_error", "successes"), "attempt")
     g = classified.groupBy("run_id").agg(last.alias("l"), F.max("attempt").alias("attempts"))
     cls = F.col("l.cls")
     outcome = (F.when(cls == "terminal", F.lit("done")).when(cls == "llm_error", F.lit("llm_error"))
                .when(cls == "exec_error_fatal", F.lit("executor_failed"))
                .when(cls == "failed_fatal", F.lit("code_failed"))
                .when(F.col("attempts") >= max_retries, F.lit("exhausted")).otherwise(F.lit("incomplete")))
-    last_error = (F.when(cls == "exec_error_fatal", F.col("l.exec_error"))
-                  .when(cls == "failed_fatal", F.format_string("exit code %d", F.col("l.exit_code"))))
+    last_error = (F.when(cls == "llm_error", F.col("l.llm_error")).when(cls == "exec_error_fatal", F.col("l.exec_error"))
+                  .when(cls == "failed_fatal", F.coalesce("l.stderr", F.lit(""))))
+    message = (F.when(cls == "llm_error", F.format_string(fixed.ERR_LLM, F.col("attempts"), F.col("l.llm_error")))
+               .when(cls == "exec_error_fatal", F.format_string(fixed.ERR_EXECUTOR, F.lit(max_retries), F.col("l.exec_error")))
+               .when(cls == "failed_fatal", F.format_string(fixed.ERR_CODE, F.lit(max_retries), F.coalesce("l.stderr", F.lit(""))))
+               .when(outcome == "exhausted", F.format_string(fixed.ERR_EXHAUSTED, F.lit(max_retries))))
     return g.select("run_id", outcome.alias("outcome"), F.col("attempts").cast("bigint").alias("attempts"),
                     F.col("l.successes").alias("steps_done"),
                     F.when(cls == "terminal", F.col("l.response")).alias("report"),
-                    last_error.alias("last_error"))
+                    last_error.alias("last_error"), message.alias("error_message"))
 
 
-def next_prompts(classified: DataFrame, max_steps: int = fixed.DEFAULT_MAX_STEPS,
-                 stderr: str | None = None) -> DataFrame:
+def next_prompts(classified: DataFrame, max_steps: int = fixed.DEFAULT_MAX_STEPS) -> DataFrame:
     """Op 31: the user message the loop appends after each turn (none after
-    the end).  ``stderr`` names the column with the failed run's error text."""
+    the end); after a failed one with its stderr."""
     sc = F.col("successes_before").cast("int")
-    err_text = F.col(stderr) if stderr else F.lit("")
+    err_text = F.coalesce("stderr", F.lit(""))
     n = sc + 1
     msg = (F.when(F.col("cls") == "guard", F.format_string(fixed.MSG_GUARD, F.lit(max_steps), sc, sc + 1))
            .when(F.col("cls") == "no_code", F.lit(fixed.MSG_NO_CODE))

@@ -141,11 +141,11 @@ TURNS = f"""t0 AS (SELECT *, {EXTRACT} AS code FROM agent_turns WHERE attempt <=
 t1 AS (SELECT *, contains(response, {q(fixed.FINDINGS_END)}) AS mk,
   (contains(response, {q(fixed.TERMINATION_SIGNAL)}) AND NOT contains(response, '```go')
    AND NOT contains(response, 'package main') AND strlen({gotrim('response')}) > 50) AS txt FROM t0),
-t2 AS (SELECT *, (NOT mk AND NOT txt AND code <> '' AND starts_with(code, 'package') AND exec_error IS NULL
+t2 AS (SELECT *, (llm_error IS NULL AND NOT mk AND NOT txt AND code <> '' AND starts_with(code, 'package') AND exec_error IS NULL
                   AND exit_code = 0) AS ok FROM t1),
 t3 AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY run_id ORDER BY attempt
          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sc FROM t2),
-t4 AS (SELECT *, CASE WHEN mk AND sc < 3 THEN 'guard' WHEN mk OR txt THEN 'terminal' WHEN code = '' THEN 'no_code'
+t4 AS (SELECT *, CASE WHEN llm_error IS NOT NULL THEN 'llm_error' WHEN mk AND sc < 3 THEN 'guard' WHEN mk OR txt THEN 'terminal' WHEN code = '' THEN 'no_code'
     WHEN NOT starts_with(code, 'package') THEN 'not_package'
     WHEN exec_error IS NOT NULL THEN CASE WHEN attempt = 10 THEN 'exec_error_fatal' ELSE 'exec_error' END
     WHEN exit_code <> 0 THEN CASE WHEN attempt = 10 THEN 'failed_fatal' ELSE 'failed' END
@@ -161,15 +161,19 @@ OUTCOMES = TURNS_CTE + """SELECT run_id,
     WHEN 'failed_fatal' THEN 'code_failed' ELSE CASE WHEN attempts >= 10 THEN 'exhausted' ELSE 'incomplete' END END AS outcome,
   CAST(attempts AS BIGINT) AS attempts, CAST(l.successes AS BIGINT) AS steps_done,
   CASE WHEN l.cls = 'terminal' THEN l.response END AS report,
-  CASE WHEN l.cls = 'exec_error_fatal' THEN l.exec_error WHEN l.cls = 'failed_fatal' THEN 'exit code ' || CAST(l.exit_code AS VARCHAR) END AS last_error
-FROM (SELECT run_id, arg_max({'cls': cls, 'response': response, 'exec_error': exec_error, 'exit_code': exit_code,
+  CASE l.cls WHEN 'llm_error' THEN l.llm_error WHEN 'exec_error_fatal' THEN l.exec_error WHEN 'failed_fatal' THEN l.stderr END AS last_error,
+  CASE l.cls WHEN 'llm_error' THEN 'error consultando LLM en intento ' || attempts || ': ' || l.llm_error
+    WHEN 'exec_error_fatal' THEN 'executor falló después de 10 intentos: ' || l.exec_error
+    WHEN 'failed_fatal' THEN 'código generado falló después de 10 intentos.' || chr(10) || 'Último error:' || chr(10) || l.stderr
+    WHEN 'terminal' THEN NULL ELSE CASE WHEN attempts >= 10 THEN 'se agotaron los 10 reintentos sin completar el análisis' END END AS error_message
+FROM (SELECT run_id, arg_max({'cls': cls, 'response': response, 'exec_error': exec_error, 'llm_error': llm_error, 'stderr': stderr,
         'successes': sc + CAST(ok AS INT)}, attempt) AS l, max(attempt) AS attempts FROM ct GROUP BY run_id)"""
 NEXT = TURNS_CTE + f"""SELECT run_id, attempt, cls, message FROM (SELECT run_id, attempt, cls, CASE
   WHEN cls = 'guard' THEN printf({q(fixed.MSG_GUARD)}, 3, sc, sc + 1)
   WHEN cls = 'no_code' THEN {q(fixed.MSG_NO_CODE)}
   WHEN cls = 'not_package' THEN {q(fixed.MSG_NOT_PACKAGE)}
   WHEN cls = 'exec_error' THEN printf({q(fixed.MSG_EXEC_ERROR)}, exec_error)
-  WHEN cls = 'failed' THEN printf({q(fixed.MSG_FAILED)}, '')
+  WHEN cls = 'failed' THEN printf({q(fixed.MSG_FAILED)}, stderr)
   WHEN cls = 'success' AND sc + 1 >= 3 THEN printf({q(fixed.MSG_FINAL)}, sc + 1, stdout, 3)
   WHEN cls = 'success' THEN printf({q(fixed.MSG_CONTINUE)}, sc + 1, 3, stdout, sc + 2) END AS message FROM ct)
 WHERE message IS NOT NULL"""

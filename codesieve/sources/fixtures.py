@@ -41,7 +41,7 @@ FROM documents
 """
 
 AGENT_TURNS_SQL = """
-SELECT event_id - event_id % 8 AS run_id, CAST(event_id % 8 + 1 AS INT) AS attempt,
+SELECT event_id - event_id % 10 AS run_id, CAST(event_id % 10 + 1 AS INT) AS attempt,
   CASE event_type
     WHEN 'signup'   THEN 'sin bloque de codigo'
     WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0
@@ -49,8 +49,12 @@ SELECT event_id - event_id % 8 AS run_id, CAST(event_id % 8 + 1 AS INT) AS attem
         ELSE 'REPORTE FINAL' || chr(10) || 'Resumen en texto con mas de cincuenta bytes, sin codigo alguno.' END
     WHEN 'error'    THEN 'Paso' || chr(10) || '```go' || chr(10) || 'func main() {}' || chr(10) || '```'
     ELSE 'Paso' || chr(10) || '```go' || chr(10) || 'package main' || chr(10) || 'func main() {}' || chr(10) || '```' END AS response,
-  CAST(NULL AS VARCHAR(20)) AS exec_error,
+  CASE WHEN event_type = 'view' AND user_id % 5 = 1 THEN 'timeout de ' || CAST(user_id AS VARCHAR(20)) || ' s'
+       WHEN event_type = 'view' AND user_id % 5 = 2 THEN 'validación de seguridad: os.Exit'
+       WHEN event_type = 'click' AND user_id % 9 = 1 THEN 'go no encontrado' END AS exec_error,
   CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN 1 ELSE 0 END AS exit_code,
+  CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN './prog.go:3: undefined: x' || CAST(user_id AS VARCHAR(20)) ELSE '' END AS stderr,
+  CASE WHEN event_type = 'signup' AND user_id % 11 = 3 THEN 'conexión rechazada' END AS llm_error,
   CASE WHEN event_type = 'view' THEN '{"line":' || CAST(event_id AS VARCHAR(20)) || ',"severity":"CRÍTICO","type":"SQL_INJECTION"}' ELSE 'ok' END AS stdout,
   CAST(value AS DOUBLE) AS duration_s
 FROM events
