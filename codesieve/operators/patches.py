@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions import fixed
 from codesieve.functions.text import byte_len, byte_prefix, count_literal, go_trim, replace_first
+from codesieve.operators.mask import mask_comments_and_strings
 
 PATCH_T = "array<struct<seq:bigint,original:string,fixed:string>>"
 
@@ -38,7 +39,9 @@ def apply_patches(files: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def _balanced(c: Column) -> Column:
-    return count_literal(c, F.lit("{")) == count_literal(c, F.lit("}"))
+    """As many opening braces as closing ones outside comments and literals."""
+    code = mask_comments_and_strings(c)
+    return count_literal(code, F.lit("{")) == count_literal(code, F.lit("}"))
 
 
 def patch_audit(files: DataFrame, patches: DataFrame) -> DataFrame:
@@ -88,14 +91,14 @@ def propose_fixes(credentials: DataFrame, sql: DataFrame, calls_lines: DataFrame
     """Op 39: deterministic patch rows by finding type; ``original`` is the
     finding's line as written in the file (trimmed, like the parser trims).
 
-    * HARDCODED_CREDENTIAL ``x := "v"`` -> ``x := os.Getenv("X")``
+    * HARDCODED_CREDENTIAL ``x := "v"`` -> ``x := os.Getenv("X")`` (a ``const`` becomes a ``var``: a call is no constant)
     * SQL_INJECTION ``q := "…" + v`` -> ``db.Prepare`` with ``?`` and ``QueryRow(v)``
     * exec.Command(.., v) -> a ``strings.ContainsAny(v, ";&|")`` guard first.
     """
     cred = credentials.select(
         "file_id", F.lit("HARDCODED_CREDENTIAL").alias("type"), "line", F.col("code_snippet").alias("original"),
-        replace_first(F.col("code_snippet"), F.col("value"),
-                      F.format_string('os.Getenv("%s")', F.upper("variable"))).alias("fixed"))
+        F.regexp_replace(replace_first(F.col("code_snippet"), F.col("value"), F.format_string('os.Getenv("%s")', F.upper("variable"))),
+                         r"^const\b", "var").alias("fixed"))
     s = F.col("code_snippet")
     sq = (sql.where(s.rlike(SQL_ASSIGN))
           .select("file_id", F.lit("SQL_INJECTION").alias("type"), "line", s.alias("original"),
@@ -133,14 +136,3 @@ def mask_secrets(df: DataFrame, text: str, keys: list[str],
     return (m.where(F.exists(kws, lambda k: F.lower(name).contains(k)))
             .select(*keys, F.col("seq").cast("bigint").alias("seq"), name.alias("variable"),
                     byte_len(value).cast("bigint").alias("value_bytes"), mask_value(value).alias("masked")))
-
-
-def masked_text(text: Column, keywords: list[str] | None = None) -> Column:
-    """The text with each secret value replaced by its masked form."""
-    kws = F.array(*[F.lit(k) for k in (keywords or fixed.CREDENTIAL_KEYWORDS)])
-    pat = secret_pattern(keywords)
-    hits = F.filter(F.regexp_extract_all(text, F.lit(pat), 0),
-                    lambda m: F.exists(kws, lambda k: F.lower(F.regexp_extract(m, pat, 1)).contains(k)))
-    return F.aggregate(hits, text, lambda acc, m: replace_first(
-        acc, m, F.concat(F.regexp_extract(m, r'^([^"]*)"', 1), F.lit('"'),
-                         mask_value(F.regexp_extract(m, pat, 2)), F.lit('"'))))

@@ -9,10 +9,11 @@ maps them (``user`` stays, every other role becomes ``assistant``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions import fixed, tasks
+from codesieve.sources.files import findings_json
 
 MODES = {
     "analyze": ("system", tasks.ANALYZE_TASK, fixed.TERMINATION_SIGNAL),
@@ -33,30 +34,31 @@ def build_prompts(files: DataFrame, mode: str = "security") -> DataFrame:
 
 
 def build_fix_prompts(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Fix-mode rows: the findings of each file as a JSON array (null and
-    zero fields left out, ``type`` always present), ``max_steps`` =
-    findings + 1 and at least 2."""
-    obj = F.struct(F.nullif("line", F.lit(0)).alias("line"), F.nullif("severity", F.lit("")).alias("severity"),
-                   F.coalesce("type", F.lit("")).alias("type"),
-                   F.nullif("description", F.lit("")).alias("description"),
-                   F.nullif("code_snippet", F.lit("")).alias("code_snippet"))
-    per_file = (findings.where(F.col("status").isNull())
-                .groupBy("file_id")
-                .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("line", F.lit(0)).alias("k"),
-                                                          F.coalesce("type", F.lit("")).alias("t"),
-                                                          obj.alias("o")))).alias("fs")))
-    j = files.select("file_id", "code").join(per_file, "file_id", "inner")
-    fjson = F.to_json(F.transform("fs", lambda x: x["o"]), {"ignoreNullFields": "true"})
-    n = F.size("fs")
+    """Fix-mode rows of every file: its findings as a JSON array with all ten fields (null and
+    zero fields left out, ``type`` always present; ``<``, ``>`` and ``&`` escaped as the sender's encoder does), in
+    order of line and type, ``[]`` without findings; ``max_steps`` = findings + 1 and at least 2."""
+    key = F.struct(F.coalesce("line", F.lit(0)).alias("k"), F.coalesce("type", F.lit("")).alias("t"),
+                   F.coalesce("description", F.lit("")).alias("d"), escaped(findings_json(findings)).alias("j"))
+    per_file = findings.groupBy("file_id").agg(F.array_sort(F.collect_list(key)).alias("fs"))
+    j = files.select("file_id", "code").join(per_file, "file_id", "left")
+    fjson = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("fs", lambda x: x["j"]), ","), F.lit("")), F.lit("]"))
+    n = F.coalesce(F.size("fs"), F.lit(0))
     template = tasks.FIX_TASK.replace("%", "%%").replace("%%s", "%s")
     return j.select("file_id", F.lit("fix").alias("system_prompt"),
                     F.format_string(template, fjson, F.col("code")).alias("task"),
-                    F.greatest(n + 1, F.lit(2)).cast("bigint").alias("max_steps"),
+                    F.greatest(F.greatest(n, F.lit(0)) + 1, F.lit(2)).cast("bigint").alias("max_steps"),
                     F.lit(fixed.FIX_END).alias("termination_signal"), fjson.alias("findings_json"),
                     (F.col("code").contains(fixed.CODE_START) | F.col("code").contains(fixed.CODE_END))
                     .alias("code_has_delimiter"))
 
 
+def escaped(json: Column) -> Column:
+    """JSON text with ``<``, ``>``, ``&`` and the two line separators of Unicode escaped (they stand in strings only)."""
+    for ch in "<>&\u2028\u2029":
+        json = F.replace(json, F.lit(ch), F.lit(f"\\u{ord(ch):04x}"))
+    return json
+
+
 def conversation_messages(msgs: DataFrame) -> DataFrame:
     """Messages per conversation in turn order, roles mapped, as JSON."""
     role = F.when(F.col("role") == "user", F.lit("user")).otherwise(F.lit("assistant"))

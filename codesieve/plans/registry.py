@@ -225,8 +225,6 @@ from codesieve.plans import stream_oracles as sto  # noqa: E402
 from codesieve.streaming import rate_limit as rl  # noqa: E402
 from codesieve.streaming import streams  # noqa: E402
 
-EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
 
 def _decoded(spark, sf_dir):
     return extract.decode_frames(view(spark, sf_dir, "sse_chunks"))
@@ -318,7 +316,7 @@ def q_mask_secrets(spark, sf_dir):
     return patches.mask_secrets(table(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
-@register("findings_jsonl")
+@register("findings_jsonl", so.json_lines(to.PARSE_FINDINGS))
 def q_jsonl(spark, sf_dir):
     pf = extract.parse_findings(view(spark, sf_dir, "agent_outputs"), "output", ["out_id"])
     return pf.select("out_id", "seq", srcs.findings_json(pf).alias("json"))
@@ -335,7 +333,12 @@ def q_prompts(spark, sf_dir):
     return prompts.build_prompts(view(spark, sf_dir, "src_files"), "security")
 
 
-@register("build_fix_prompts")
+@register("build_analyze_prompts")
+def q_analyze_prompts(spark, sf_dir):
+    return prompts.build_prompts(view(spark, sf_dir, "src_files"), "analyze")
+
+
+@register("build_fix_prompts", so.FIX_PROMPTS)
 def q_fix_prompts(spark, sf_dir):
     files = view(spark, sf_dir, "src_files")
     return prompts.build_fix_prompts(files, findings.audit(files, mode="security"))
@@ -392,6 +395,7 @@ def q_classify_findings(spark, sf_dir):
 # oracles for the simple rows-only entries
 from codesieve.functions import tasks as _tasks  # noqa: E402
 from codesieve.plans.duck import q as _q  # noqa: E402
+from codesieve.sources.fixtures import SRC_FILES_SQL  # noqa: E402
 from codesieve.functions.fixed import TERMINATION_SIGNAL as fixed_signal  # noqa: E402
 
 ORACLES["load_sources"] = ("SELECT CAST(doc_id AS BIGINT) AS file_id, source AS repo, printf('src/f%d.go', doc_id) AS path, "
@@ -400,8 +404,13 @@ ORACLES["conversation_messages"] = (
     "SELECT conv_id, CAST(count(*) AS BIGINT) AS n_messages, "
     "CAST(to_json(list({'role': CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END, 'content': text} "
     "ORDER BY turn)) AS VARCHAR) AS messages_json FROM conversations GROUP BY conv_id")
-ORACLES["build_prompts"] = (
-    "WITH " + f"src_files AS ({__import__('codesieve.sources.fixtures', fromlist=['x']).SRC_FILES_SQL})" +
-    " SELECT file_id, 'security' AS system_prompt, replace(" + _q(_tasks.SECURITY_TASK) + ", '%s', code) AS task, "
-    "CAST(3 AS BIGINT) AS max_steps, " + _q(fixed_signal) + " AS termination_signal, "
-    "contains(code, '---CODE_START---') OR contains(code, '---CODE_END---') AS code_has_delimiter FROM src_files")
+
+
+def _prompts_sql(system: str, task: str) -> str:
+    return (f"WITH src_files AS ({SRC_FILES_SQL}) SELECT file_id, '{system}' AS system_prompt, replace(" + _q(task) + ", '%s', code) AS task, "
+            "CAST(3 AS BIGINT) AS max_steps, " + _q(fixed_signal) + " AS termination_signal, "
+            "contains(code, '---CODE_START---') OR contains(code, '---CODE_END---') AS code_has_delimiter FROM src_files")
+
+
+ORACLES["build_prompts"] = _prompts_sql("security", _tasks.SECURITY_TASK)
+ORACLES["build_analyze_prompts"] = _prompts_sql("system", _tasks.ANALYZE_TASK)

@@ -4,7 +4,7 @@ array expressions inside a row, these use windows, unnests and joins."""
 
 from __future__ import annotations
 
-from codesieve.functions import fixed
+from codesieve.functions import fixed, tasks
 from codesieve.plans.duck import LINES, MASKED, cte, gotrim, q, view
 
 NULL_S, NULL_I = "CAST(NULL AS VARCHAR)", "CAST(NULL AS BIGINT)"
@@ -307,3 +307,32 @@ WORST = cte(view("src_files"), MASKED, LINES, FN_LINES) + """
 SELECT repo, CAST(rk AS BIGINT) AS rank, path, function, CAST(line AS BIGINT) AS line, CAST(complexity AS BIGINT) AS complexity
 FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY complexity DESC, path, line) AS rk FROM fns)
 WHERE rk <= 5"""
+
+# ---- ops 3, 41 --------------------------------------------------------------
+def _json_object() -> str:
+    """A finding as JSON text: null, zero and empty fields left out but for ``type``, in the fields' order."""
+    parts = []
+    for name in ("line", "severity", "type", "description", "code_snippet", "function", "complexity", "threshold", "status", "message"):
+        key = q(f'"{name}":')
+        if name == "type":
+            parts.append(f"{key} || CAST(to_json(coalesce(type, '')) AS VARCHAR)")
+        elif name in ("line", "complexity", "threshold"):
+            parts.append(f"CASE WHEN {name} <> 0 THEN {key} || CAST({name} AS VARCHAR) END")
+        else:
+            parts.append(f"CASE WHEN {name} <> '' THEN {key} || CAST(to_json({name}) AS VARCHAR) END")
+    return "'{' || array_to_string(list_filter([" + ", ".join(parts) + "], lambda x: x IS NOT NULL), ',') || '}'"
+
+
+def json_lines(findings: str) -> str:
+    return f"SELECT out_id, seq, {_json_object()} AS json FROM ({findings})"
+
+
+_ESCAPED = f"replace(replace(replace({_json_object()}, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')"
+FIX_PROMPTS = AUDIT_CTES + f""", found AS (
+  SELECT file_id, count(*) AS n, '[' || string_agg({_ESCAPED}, ',' ORDER BY coalesce(line, 0), coalesce(type, ''), coalesce(description, '')) || ']' AS listed
+  FROM ({AUDIT_BODY}) WHERE step <= 3 GROUP BY file_id)
+SELECT file_id, 'fix' AS system_prompt,
+  {q(tasks.FIX_TASK.split('%s')[0])} || coalesce(listed, '[]') || {q(tasks.FIX_TASK.split('%s')[1])} || code || {q(tasks.FIX_TASK.split('%s')[2])} AS task,
+  greatest(coalesce(n, 0) + 1, 2) AS max_steps, {q(fixed.FIX_END)} AS termination_signal, coalesce(listed, '[]') AS findings_json,
+  contains(code, '---CODE_START---') OR contains(code, '---CODE_END---') AS code_has_delimiter
+FROM src_files LEFT JOIN found USING (file_id)"""

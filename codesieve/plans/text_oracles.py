@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codesieve.functions import fixed
-from codesieve.plans.duck import WS, cte, gotrim, q, view
+from codesieve.plans.duck import TOKEN_RE2, WS, cte, gotrim, q, view
 
 STR_FIELDS = ["severity", "type", "description", "code_snippet", "function", "status", "message"]
 INT_FIELDS = ["line", "complexity", "threshold"]
@@ -119,6 +119,10 @@ SELECT file_id, acc AS fixed_code, CAST(len(ps) AS BIGINT) AS n_patches, CAST(n
 FROM rec WHERE i = len(ps)"""
 
 OCC = "CASE WHEN length(p.original) = 0 THEN 0 ELSE (length(acc) - length(replace(acc, p.original, ''))) // length(p.original) END"
+# Braces outside comments and literals.
+BARE = f"""array_to_string(list_filter(regexp_extract_all(acc, {q(TOKEN_RE2)}), lambda t: NOT (t LIKE '//%' OR t LIKE '/*%'
+    OR (length(t) >= 2 AND left(t, 1) IN ('"', '`', '\'\'')))), '')"""
+bare = lambda ch: f"length({BARE}) - length(replace({BARE}, {q(ch)}, ''))"
 PATCH_AUDIT = cte(view("src_files"), view("fix_reports"), PATCH_BLOCKS) + f"""
 , pl AS (SELECT file_id, list({{'seq': seq, 'original': original, 'fixed': fixed}} ORDER BY seq) AS ps FROM patches GROUP BY file_id),
 rec AS (
@@ -131,7 +135,7 @@ rec AS (
     (SELECT {OCC} FROM (SELECT ps[i + 1] AS p)), NULL, acc
   FROM rec WHERE i < len(ps))
 SELECT file_id, seq, found, CAST(occurrences AS BIGINT) AS occurrences, acc <> prev AS changed,
-  length(acc) - length(replace(acc, '{{', '')) = length(acc) - length(replace(acc, '}}', '')) AS balanced,
+  {bare('{')} = {bare('}')} AS balanced,
   starts_with({gotrim('acc')}, 'package') AS starts_package,
   bool_and(found) OVER (PARTITION BY file_id) AS all_applied
 FROM rec WHERE i > 0"""

@@ -123,8 +123,3 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.sql(sql)
     df.schema  # force analysis while the bound views are current
     return df
-
-
-def oracle_cte(*names: str) -> str:
-    """``WITH`` prefix that defines the named views for a DuckDB oracle."""
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][0]})" for n in names) + "\n"
