@@ -1,8 +1,9 @@
 """Nearest neighbours by inner product with a hierarchical k-means tree.
 
 The tree is fitted on at most ``sample`` vectors (those with the smallest id
-hash): each node is split by k-means into ``branch`` children until a node
-holds at most ``leaf_share`` of the sample.  Every vector is indexed in the leaf that
+hash; more, up to ``max_sample``, where so many leaves ask for it): each node is split by k-means into ``branch`` children until a node
+stands for at most ``leaf_rows`` vectors of the table, so that leaves grow in number, not in size, with the table (up to
+some ``max_sample / LEAF_SAMPLE`` leaves; beyond, in size).  Every vector is indexed in the leaf that
 the nearest centres lead to.  A query walks the tree best bin first: a priority queue
 holds the open nodes by the inner product with their centres, and leaves come out
 in the order in which they will be searched.
@@ -15,8 +16,9 @@ rows goes on down its queue until they do.
 
 Search is in blocks: leaves are cut into blocks of about ``block_rows`` vectors
 by id hash (so a leaf of a third of all rows, say copies of one vector, is many
-blocks), and queries into chunks of ``chunk_rows``.  Each task multiplies one
-chunk's queries with one block and keeps the best ``k`` per query; a second
+blocks), and queries of neighbouring leaves make chunks of about ``chunk_rows``, which visit
+much the same blocks.  A block is sent only to the chunks that visit it, so what a query costs does not grow with
+the table.  Each task multiplies one chunk's queries with one block and keeps the best ``k`` per query; a second
 step keeps the best of those.  Scores are inner products of the original
 vectors in double precision, ties go to the smaller id.
 
@@ -39,6 +41,9 @@ from pyspark.sql import functions as F
 from codesieve.llm import common as C
 
 
+LEAF_SAMPLE = 16  # sampled vectors a leaf
+
+
 class Tree:
     """Centres per node; ``kids[node]`` lists children, leaves have a number."""
 
@@ -131,10 +136,12 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.einsum("qd,rd->qr", queries, rows, optimize=False)
 
 
-def _search(indexed: DataFrame, asked: DataFrame, k: int, blocks: Column, chunks: int) -> DataFrame:
+def _search(indexed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, leaf): the best ``k`` per query and block.
-    ``asked`` has query_id, q, chunk, block and the leaves to visit there."""
-    right = indexed.withColumn("block", blocks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    ``asked`` has query_id, q, chunk, block and the leaves to visit there; a block goes to the chunks that ask it."""
+    asked = C.cut(asked)
+    pairs = asked.select(F.col("block").alias("in_block"), F.col("chunk").alias("by_chunk")).distinct()
+    right = indexed.join(pairs, F.col("block") == F.col("in_block")).drop("in_block").withColumnRenamed("by_chunk", "chunk")
 
     def run(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -165,26 +172,42 @@ def _top(found: DataFrame, k: int) -> DataFrame:
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"), "b.leaf")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, branch: int = 8, sample: int = 20_000, leaf_share: float = 0.01,
-            probes: int = 200, recall: float = 0.96, block_rows: int = 8192, chunk_rows: int = 8192,
+def _packed(counts: list[int], size: int) -> tuple[list[int], list[int]]:
+    """For each leaf the first of its parts and their number: neighbouring light leaves share a part of
+    about ``size`` rows, a heavy leaf has several."""
+    first, parts, at, fill = [], [], 0, 0
+    for m in counts:
+        if fill and fill + m > size:
+            at, fill = at + 1, 0
+        first.append(at)
+        parts.append(-(-max(m, 1) // size))
+        fill += m
+        if parts[-1] > 1:
+            at, fill = at + parts[-1], 0
+    return first, parts
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, branch: int = 8, sample: int = 20_000, max_sample: int = 200_000,
+            leaf_rows: int = 512, probes: int = 200, recall: float = 0.96, block_rows: int = 2048, chunk_rows: int = 2048,
             id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query;
     ``is_query`` is a condition on column ``vec_id``."""
     spark = vectors.sparkSession
     rows, out = C.cut(usable(vectors, id_col, vector_col)), None
     for r in rows.groupBy("dim").count().where("count > 1").orderBy("dim").collect():  # a row per length
-        found = _nearest_alike(rows.where(F.col("dim") == r.dim).drop("dim"), is_query, k, branch, sample, leaf_share, probes, recall,
+        found = _nearest_alike(rows.where(F.col("dim") == r.dim).drop("dim"), r["count"], is_query, k, branch, sample, max_sample, leaf_rows, probes, recall,
                                block_rows, chunk_rows)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
 
-def _nearest_alike(rows: DataFrame, is_query: Column, k: int, branch: int, sample: int, leaf_share: float, probes: int, recall: float,
-                   block_rows: int, chunk_rows: int) -> DataFrame:
-    """``nearest`` among vectors of one length."""
+def _nearest_alike(rows: DataFrame, n: int, is_query: Column, k: int, branch: int, sample: int, max_sample: int, leaf_rows: int, probes: int,
+                   recall: float, block_rows: int, chunk_rows: int) -> DataFrame:
+    """``nearest`` among the ``n`` vectors of one length."""
     spark = rows.sparkSession
-    fit = _matrix(pd.Series([r.v for r in rows.orderBy("place", "vec_id", "v").limit(sample).select("v").collect()]))
-    tree = Tree(fit, branch, max(k, int(len(fit) * leaf_share)))
+    size = min(max_sample, max(sample, LEAF_SAMPLE * n // leaf_rows))
+    fit = _matrix(rows.orderBy("place", "vec_id", "v").limit(size).select("v").toPandas()["v"])
+    tree = Tree(fit, branch, max(4, len(fit) * leaf_rows // n))
     held = spark.sparkContext.broadcast(tree)
 
     def index(batches):
@@ -194,47 +217,42 @@ def _nearest_alike(rows: DataFrame, is_query: Column, k: int, branch: int, sampl
 
     indexed = C.cut(rows.mapInPandas(index, "vec_id long, v array<double>, place long, leaf long"))
     counts = {r.leaf: r.n for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf
-    first, parts, at = [], [], 0  # blocks of each leaf; light leaves share one
-    fill = 0
-    for leaf in range(tree.leaves):
-        m = counts.get(leaf, 0)
-        if fill + m > block_rows and fill:
-            at, fill = at + 1, 0
-        first.append(at)
-        parts.append(-(-max(m, 1) // block_rows))
-        fill += m
-        if parts[-1] > 1:
-            at, fill = at + parts[-1], 0
+    sizes = [counts.get(x, 0) for x in range(tree.leaves)]
+    first, parts = _packed(sizes, block_rows)
     array = lambda x: F.array(*map(F.lit, x))
-    leaf = F.col("leaf").cast("int")
-    block = F.get(array(first), leaf) + F.pmod(F.col("place"), F.get(array(parts), leaf)).cast("int")
+
+    def part_of(first: list[int], parts: list[int], place: Column) -> Column:
+        leaf = F.col("leaf").cast("int")
+        return F.get(array(first), leaf) + F.pmod(place, F.get(array(parts), leaf)).cast("int")
+
+    indexed = indexed.withColumn("block", part_of(first, parts, F.col("place")))
     blocks_of = [list(range(f, f + p)) for f, p in zip(first, parts, strict=True)]
 
-    queries = indexed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(
-        F.min("v").alias("q"), F.count("*").alias("own"))
-    sizes = [counts.get(x, 0) for x in range(tree.leaves)]
+    queries = C.cut(indexed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(
+        F.min(F.struct("v", "leaf")).alias("least"), F.count("*").alias("own")).select("query_id", "least.leaf", F.col("least.v").alias("q"), "own"))
+    asking = {r.leaf: r.n for r in queries.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row per leaf
+    chunks = _packed([asking.get(x, 0) for x in range(tree.leaves)], chunk_rows)
+    queries = queries.withColumn("chunk", part_of(*chunks, F.xxhash64("query_id")))
 
-    def asked(own: DataFrame, visits: int, chunks: int) -> DataFrame:
+    def asked(own: DataFrame, visits: int) -> DataFrame:
         def run(batches):
             for b in C.frames(batches):
                 out = []
-                for i, q, n_own in zip(b["query_id"], b["q"], b["own"], strict=True):
+                for i, q, n_own, chunk in zip(b["query_id"], b["q"], b["own"], b["chunk"], strict=True):
                     per_block: dict[int, list[int]] = {}
                     for x in held.value.visits(np.asarray(q), visits, sizes, k + n_own):
                         for y in blocks_of[x]:
                             per_block.setdefault(y, []).append(x)
-                    out += [(i, q, y, xs) for y, xs in per_block.items()]
-                yield pd.DataFrame(out, columns=["query_id", "q", "block", "leaves"])
+                    out += [(i, q, chunk, y, xs) for y, xs in per_block.items()]
+                yield pd.DataFrame(out, columns=["query_id", "q", "chunk", "block", "leaves"])
 
-        return own.mapInPandas(run, "query_id long, q array<double>, block int, leaves array<long>").withColumn(
-            "chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
+        return own.mapInPandas(run, "query_id long, q array<double>, chunk int, block int, leaves array<long>")
 
     # Calibration: in how many leaves, best bin first, do the exact neighbours of the probes lie?
     probe = C.cut(queries.orderBy(F.xxhash64("query_id", F.lit(3))).limit(probes))
-    exact = _top(_search(indexed, asked(probe, tree.leaves, 1), k, block, 1), k).select("query_id", "leaf").collect()
+    exact = _top(_search(indexed, asked(probe.withColumn("chunk", F.lit(0)), tree.leaves), k), k).select("query_id", "leaf").collect()
     order = {r.query_id: {x: j for j, x in enumerate(tree.visits(np.array(r.q), tree.leaves))} for r in probe.collect()}
     depth = np.sort([order[r.query_id][r.leaf] + 1 for r in exact])
     visits = int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) if len(depth) else 1
 
-    chunks = -(-queries.count() // chunk_rows) or 1
-    return _top(_search(indexed, asked(queries, visits, chunks), k, block, chunks), k).drop("leaf")
+    return _top(_search(indexed, asked(queries, visits), k), k).drop("leaf")
