@@ -241,19 +241,30 @@ def decode_frames(chunks: DataFrame, key: str = "stream_id", no: str = "chunk_no
 def fence_marks(lines: Column) -> Column:
     """array<struct<i, opens, lang>>: the lines that open or close a block, with
     the language that an opening one names.  A block opens at a line starting with ``` and closes at the next line that
-    is exactly ``` after a right trim; an unclosed one runs to the end.  Only
-    the fence-like lines are folded."""
+    is exactly ``` after a right trim; an unclosed one runs to the end.
+
+    Written as letters, bare fences B and named ones N, the fences fall into runs ``NB*`` (and ``B+`` before the first N).  Behind an N a block is
+    open whatever came before, so within a run the bare ones close and open by turns, and the N itself opens unless the run before it left a block
+    open: the labels of all fences follow run by run, in time proportional to their number."""
     cand = F.array_compact(F.transform(lines, lambda line, i: F.when(line.startswith(fixed.FENCE), F.struct(
         (i + 1).alias("i"), (go_rtrim(line) == fixed.FENCE).alias("bare"), go_trim(rest(line, 4)).alias("lang")))))
-    marks_t = "array<struct<i:int,opens:boolean,lang:string>>"
-    init = F.struct(F.lit(False).alias("inc"), F.array().cast(marks_t).alias("marks"))
+    named = lambda run: run.startswith("N")
+
+    def left_open(run: Column) -> Column:  # N and an even number of bare ones, or an odd number of bare ones alone
+        return F.length(run) % 2 == 1
+
+    def labels(run: Column, before: Column) -> Column:  # 1 opens, 0 closes, null is text within a block
+        first = F.when(named(run), F.when(F.coalesce(left_open(before), F.lit(False)), F.lit(None).cast("int")).otherwise(1)).otherwise(1)
+        return F.transform(F.sequence(F.lit(0), F.length(run) - 1), lambda k: F.when(k == 0, first).otherwise(F.when(k % 2 == 1, 0).otherwise(1)))
 
-    def step(acc: Column, c: Column) -> Column:
-        mark = F.struct(c["i"].alias("i"), (~acc["inc"]).alias("opens"), c["lang"].alias("lang"))
-        return F.when(acc["inc"] & ~c["bare"], acc).otherwise(F.struct(
-            (~acc["inc"]).alias("inc"), F.concat(acc["marks"], F.array(mark)).alias("marks")))
+    def marks(fences: Column) -> Column:
+        letters = F.array_join(F.transform(fences, lambda c: F.when(c["bare"], "B").otherwise("N")), "")
+        each = bind(F.regexp_extract_all(letters, F.lit("NB*+|B++"), 0), lambda runs: F.flatten(
+            F.transform(runs, lambda run, k: labels(run, F.get(runs, k - 1)))))
+        return bind(each, lambda own: F.array_compact(F.transform(fences, lambda c, k: F.when(F.get(own, k).isNotNull(), F.struct(
+            c["i"].alias("i"), (F.get(own, k) == 1).alias("opens"), c["lang"].alias("lang"))))))
 
-    return F.aggregate(cand, init, step)["marks"]
+    return bind(cand, marks)
 
 
 def report_lines(df: DataFrame, report: str, keys: list[str]) -> DataFrame:

@@ -121,3 +121,35 @@ def test_exec_stats_ranks_are_exact(spark):
     assert got == {k: tuple(sorted(v)[-(-len(v) * p // 100) - 1] for p in (50, 95)) for k, v in values.items()}
     one = turns.exec_stats(rows.where("duration_s = 5").limit(1)).collect()
     assert [(r.p50_duration_s, r.p95_duration_s) for r in one] == [(5.0, 5.0)] * 2
+
+
+def test_fences_against_a_plain_loop(spark):
+    """Blocks open and close as line by line, and many blocks take time in proportion."""
+    import random
+    import time
+    rng = random.Random(14)
+    texts = ["\n".join(rng.choice(["```", "```go", "``` ", "text", "```x```", "", "## h", "----"]) for _ in range(rng.randrange(40))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, report string")
+    got = {}
+    for r in extract.report_lines(df, "report", ["i"]).collect():
+        got.setdefault(r.i, []).append((r.line_no, r.kind == "code", r.lang))
+    for i, text in enumerate(texts):
+        want, lang, inside = [], None, False
+        for n, line in enumerate(text.split("\n"), 1):
+            if not inside and line.startswith("```"):
+                inside, lang = True, line[3:].strip()
+            elif inside and line.rstrip() == "```":
+                inside = False
+            elif inside or line.strip():
+                want.append((n, inside, lang if inside else None))
+        assert sorted(got.get(i, []), key=lambda r: r[0]) == want, text
+
+    def seconds(n):
+        big = spark.createDataFrame([(1, "```go\nx\n```\n" * n)], "i long, report string")
+        at = time.perf_counter()
+        assert extract.report_lines(big, "report", ["i"]).count() == n
+        return time.perf_counter() - at
+
+    seconds(10)
+    small, large = seconds(10_000), seconds(80_000)
+    assert large < 16 * small + 2, (small, large)
