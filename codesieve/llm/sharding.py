@@ -1,8 +1,8 @@
 """Shards of near-equal bytes by a k-d tree over document metadata.
 
 The points are groups of equal texts: size in bytes, language and source (the
-smallest of the group's), each as an integer coordinate; the weight is the
-group's bytes.  A node that must give ``n`` shards is split at the weighted
+smallest of the group's), each as an integer coordinate (a text by its rank among the distinct
+values, spread over ``SPREAD``); the weight is the group's bytes.  A node that must give ``n`` shards is split at the weighted
 quantile ``(n // 2) / n`` (the median for an even ``n``) along its widest
 dimension, until a leaf is one shard of the target bytes.
 
@@ -22,12 +22,16 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codesieve.llm import common as C
 
 BINS = 1 << 14
 TIE_BITS = 30
+SPREAD = 1 << 28  # of the coordinates of texts
+FEW = 100_000
+HOT = 200
 DIMENSIONS = ("size", "lang", "source")
 
 
@@ -40,19 +44,44 @@ def _points(docs: DataFrame, dims: tuple[str, ...], id_col: str, text_col: str)
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"), F.xxhash64(text).alias("fp"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"m{i}") for i, c in enumerate(known)])
-    # A group's own metadata is its smallest, so copies from several sources share one point.
-    least = rows.groupBy("fp", "size").agg(*[F.min(f"m{i}").alias(f"g{i}") for i in range(len(known))] or [F.lit(0)])
-    rows = rows.join(least, ["fp", "size"]) if known else rows
-    # Texts order like their first four bytes; the widest spread decides, so any monotone code will do.
-    code = lambda c: F.conv(F.rpad(F.substring(F.hex(F.col(c).cast("binary")), 1, 7), 7, "0"), 16, 10).cast("long")
-    coords = [F.least(F.col("size"), F.lit((1 << 31) - 1))] if "size" in dims else []
-    coords += [code(f"g{i}") for i in range(len(known))]
+    if known:
+        rows = _with_group_values(C.cut(rows), len(known))
+        for i in range(len(known)):
+            rows = _with_rank(rows, f"g{i}", f"r{i}")
+    coords = [F.col("size")] if "size" in dims else []
+    coords += [F.col(f"r{i}") for i in range(len(known))]
     return rows.select(
         "doc_id", "size", "text_crc32", F.shiftrightunsigned(F.xxhash64("fp"), 64 - TIE_BITS).alias("tie"),
         F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 2).alias("place"),
         *[c.alias(f"d{i}") for i, c in enumerate(coords)])
 
 
+def _with_group_values(rows: DataFrame, n: int) -> DataFrame:
+    """A group's own metadata is its smallest, so copies from several sources share one point.  Groups of more than one in
+    ``HOT`` of all rows (fewer than ``HOT``) are joined by broadcast, where their rows lie."""
+    least = C.cut(rows.groupBy("fp", "size").agg(F.count("*").alias("c"), *[F.min(f"m{i}").alias(f"g{i}") for i in range(n)]))
+    total = least.agg(F.sum("c")).first()[0] or 0
+    hot, cold = (least.where(x).drop("c") for x in (F.col("c") * HOT > total, F.col("c") * HOT <= total))
+    few = rows.join(F.broadcast(hot), ["fp", "size"])
+    return few.unionByName(rows.join(F.broadcast(hot.select("fp", "size")), ["fp", "size"], "left_anti").join(cold, ["fp", "size"]))
+
+
+def _with_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """``rows`` with the rank of ``value`` among its distinct values, from 0 up to ``SPREAD``, as ``name``.  The values are
+    ranged, numbered in each range and offset by what came before; a table of at most ``FEW`` values is broadcast."""
+    ranged = rows.select(F.col(value).alias("v")).distinct().repartitionByRange(C.shuffle_width(rows.sparkSession), "v")
+    part = F.spark_partition_id()
+    own = C.cut(ranged.withColumn("part", part))
+    counts = sorted((r.part, r["count"]) for r in own.groupBy("part").count().collect())  # a row per range
+    total, before, at = sum(n for _, n in counts), [F.lit(-1), F.lit(0)], 0
+    for p, n in counts:
+        before += [F.lit(p), F.lit(at)]
+        at += n
+    place = F.row_number().over(W.partitionBy("part").orderBy("v")) - 1 + F.element_at(F.create_map(*before), F.col("part"))
+    ranks = own.select("v", F.floor(place * F.lit(SPREAD) / F.lit(max(total, 1))).cast("long").alias(name))
+    return rows.join(F.broadcast(ranks) if total <= FEW else ranks, F.col(value) == F.col("v")).drop("v")
+
+
 class _Node:
     """Rows under ``inside`` give the shards ``first`` up to ``first + n``."""
 
