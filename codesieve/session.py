@@ -40,10 +40,17 @@ def get_spark(app: str = "codesieve", master: str | None = None,
     return spark
 
 
+#: Batches between the JVM and Python hold whole texts: small ones bound what both sides hold at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "4194304")}
+
+
 def prepare(spark: SparkSession) -> None:
     """What the operators ask of any session: the option for repeated JSON
-    keys, and this package on the Python workers."""
+    keys, this package on the Python workers, and small batches (where the session keeps Spark's own sizes)."""
     spark.conf.set(REPEATED_KEYS, "true")
+    for option, (usual, ours) in BATCHES.items():
+        if str(spark.conf.get(option, usual)).upper() in (usual, "64MB", "67108864B"):
+            spark.conf.set(option, ours)
     ship_package(spark)
 
 
