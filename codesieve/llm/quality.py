@@ -52,7 +52,7 @@ CELLS = 3 * BUCKETS  # unigrams, bigrams, and in the target model character trig
 STRIPE = 1 << 12
 BINS = 4000
 LOWEST = -1.0  # log weights below share a calibration bin
-KNOWN = 300_000
+KNOWN = 200_000
 WELL = 10
 AT_ONCE = 1 << 18
 
