@@ -272,12 +272,18 @@ def q_rate_stream(spark, sf_dir):
     return streams.numbered_windows(spark.read.parquet(out).where("event_id >= 0"))
 
 
+def _in_three(spark, src):
+    """A folder as a stream of three micro-batches, however many files it has."""
+    rows = spark.read.parquet(src)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-len(rows.inputFiles()) // 3) or 1).parquet(src)
+
+
 @register("decode_frames_stream", sto.DECODE)
 def q_decode_stream(spark, sf_dir):
-    """Op 45 over the chunks with their events' time, in micro-batches of one file each."""
+    """Op 45 over the chunks with their events' time, in three micro-batches."""
     chunks, src = view(spark, sf_dir, "sse_chunks"), streams.scratch_dir(spark, "chunks")
     chunks.write.parquet(src)
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 8).parquet(src)
+    stream = _in_three(spark, src)
     out = streams.run_available_now(streams.decode_frames_stream(stream, ts="ts", delay="3650 days"))
     return spark.read.parquet(out).drop("_batch")
 
@@ -286,8 +292,7 @@ def q_decode_stream(spark, sf_dir):
 def q_status_stream(spark, sf_dir):
     src = streams.scratch_dir(spark, "decoded")
     _decoded(spark, sf_dir).write.parquet(src)
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(src)
+    stream = _in_three(spark, src)
     out = streams.run_available_now(streams.run_status_stream(stream), mode="update")
     last = F.max_by(F.struct("*"), "_batch").alias("r")
     return spark.read.parquet(out).groupBy("run_id").agg(last).select("r.*").drop("_batch")

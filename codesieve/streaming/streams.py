@@ -11,8 +11,8 @@
 * op 44 ``run_status_stream``: the first final event by (frame, line) and the places of the
   events that count, as typed state.
 
-The states of ops 44 and 45 go when a stream has been quiet for ``idle``: by event
-time where ``ts`` names a column, else by the clock.  State is typed columns (numbers, strings and arrays of them).
+The states of ops 44 and 45 go when a stream has been quiet for ``idle`` of the event
+time that ``ts`` names; without ``ts`` they stay (time-outs by the clock never let ``availableNow`` end).  State is typed columns (numbers, strings and arrays of them).
 """
 
 from __future__ import annotations
@@ -108,16 +108,14 @@ def _idle_ms(idle: str) -> int:
 
 def _kept_until(state: GroupState, newest_ms: int | None, idle_ms: int) -> None:
     """Ask for a call when the group has been quiet for ``idle_ms``."""
-    if newest_ms is None:
-        state.setTimeoutDuration(idle_ms)
-    else:
+    if newest_ms is not None:
         state.setTimeoutTimestamp(max(newest_ms + idle_ms, state.getCurrentWatermarkMs() + 1))
 
 
 def _timed(rows: DataFrame, ts: str | None, delay: str) -> tuple[DataFrame, str]:
     """``rows`` with column ``et_ms`` (null without ``ts``) under a watermark, and the kind of time-out."""
     if ts is None:
-        return rows.withColumn("et_ms", F.lit(None).cast("long")), GroupStateTimeout.ProcessingTimeTimeout
+        return rows.withColumn("et_ms", F.lit(None).cast("long")), GroupStateTimeout.NoTimeout
     rows = rows.withColumn("et", F.col(ts).cast("timestamp")).withColumn("et_ms", F.unix_millis("et"))
     return rows.withWatermark("et", delay), GroupStateTimeout.EventTimeTimeout
 
