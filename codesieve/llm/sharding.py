@@ -77,7 +77,7 @@ def _with_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
     for p, n in counts:
         before += [F.lit(p), F.lit(at)]
         at += n
-    place = F.row_number().over(W.partitionBy("part").orderBy("v")) - 1 + F.element_at(F.create_map(*before), F.col("part"))
+    place = (F.row_number().over(W.partitionBy("part").orderBy("v")) - 1 + F.element_at(F.create_map(*before), F.col("part"))).cast("long")
     ranks = own.select("v", F.floor(place * F.lit(SPREAD) / F.lit(max(total, 1))).cast("long").alias(name))
     return rows.join(F.broadcast(ranks) if total <= FEW else ranks, F.col(value) == F.col("v")).drop("v")
 

@@ -252,6 +252,16 @@ def test_shards(spark, odd, empty):
     assert sharding.shard_documents(docs, None, 20_000).agg(F.max("shard")).first()[0] + 1 == -(-sum(sums) // 20_000)
 
 
+def test_shards_of_many_languages_and_sources(spark):
+    """Ranks among more values than an integer of 32 bits can spread."""
+    rows = [(i, f"text {i}", f"l{i % 40:02}", f"s{i % 300:03}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sharding.shard_documents(docs, 8).collect()
+    assert sorted(r.doc_id for r in got) == list(range(600)) and {r.shard for r in got} == set(range(8))
+    ranked = sharding._with_rank(docs, "source", "r").select("source", "r").distinct().collect()
+    assert {r.source: r.r for r in ranked} == {f"s{j:03}": j * sharding.SPREAD // 300 for j in range(300)}
+
+
 def test_quality(spark, odd, empty):
     words = [f"{a}{b}" for a in ("sun", "moon", "star", "sky") for b in ("light", "shine", "set", "rise", "beam")]
     rng, rows, labels = np.random.default_rng(3), [], []
