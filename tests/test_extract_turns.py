@@ -153,3 +153,21 @@ def test_fences_against_a_plain_loop(spark):
     seconds(10)
     small, large = seconds(10_000), seconds(80_000)
     assert large < 16 * small + 2, (small, large)
+
+
+def test_patch_audit_of_each_text(spark):
+    """Braces and start follow the text of each step: changed, left alone, changed back; nulls; braces in literals and comments."""
+    code = 'package a\nfunc f() { x := "{{" } // }'
+    files = spark.createDataFrame([(1, code), (2, None), (3, " \u2003package b {"), (4, "")], "file_id long, code string")
+    edits = [(1, 1, "nowhere", "x"), (1, 2, "func f() {", "func f() {{"), (1, 3, "nowhere", "x"), (1, 4, "{{", "{"), (1, 5, "package", "pack"),
+             (1, 6, "f()", "f()"), (2, 1, "a", "b"), (3, 1, "b", "b }"), (4, 1, "", "package"), (4, 2, "package", "")]
+    ps = spark.createDataFrame(edits, "file_id long, seq long, original string, fixed string")
+    out = patches.patch_audit(files, ps)
+    got = {(r.file_id, r.seq): tuple(r)[2:] for r in out.collect()}
+    assert got[1, 1] == (False, 0, False, True, True, False) and got[1, 2] == (True, 1, True, False, True, False)
+    assert got[1, 3] == (False, 0, False, False, True, False) and got[1, 4] == (True, 2, True, True, True, False)
+    assert got[1, 5] == (True, 1, True, True, False, False) and got[1, 6] == (True, 1, False, True, False, False)
+    assert got[2, 1] == (None, None, None, None, None, None) and got[3, 1] == (True, 1, True, True, True, True)
+    assert got[4, 1][2:5] == (True, True, True) and got[4, 2][2:5] == (True, True, False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1, "a text's tokens are found once a step"
