@@ -1,6 +1,7 @@
 """Stream = batch equality for the stateful operators, over several
 micro-batches, plus the batch rate limiter against a plain Python loop."""
 import datetime as dt
+import json
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -175,13 +176,20 @@ def test_decoder_state_goes_when_a_stream_is_quiet(spark, tmp_path):
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) >= 31 and streams.state_rows(progress) == 1
 
 
+def _is_json(text):
+    try:
+        return bool(json.loads(text))
+    except ValueError:
+        return False
+
+
 def _decoded_by_hand(rows):
     out = []
     for s in {r[0] for r in rows}:
         buffer = "".join(c or "" for _, _, c in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]))
         for k, frame in enumerate(buffer.split("\n\n")[:-1]):
             for j, line in enumerate(frame.split("\n")):
-                if line.startswith("data: ") and line.startswith('data: {"type":"'):
+                if line.startswith("data: ") and line.startswith('data: {"type":"') and _is_json(line[6:]):
                     out.append((s, k, j, line[6:]))
     return sorted(out, key=str)
 
@@ -208,3 +216,32 @@ def test_decode_frames_holds_no_stream(spark):
     out = extract.decode_frames(chunks, partitions=16)
     assert out.agg(F.count("*"), F.max("frame_no")).first() == (4000, 3999)
     assert out.select(F.spark_partition_id()).distinct().count() >= 12
+
+
+def test_streams_share_buckets(spark, tmp_path, monkeypatch):
+    """Many keys to a group of state (here two groups): each has its own numbers, waiting chunks, window and
+    time to go; null keys are keys, ids beyond 2^53 stay what they are."""
+    monkeypatch.setattr(streams, "BUCKETS", 2)
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    big = (1 << 60) + 1
+    keys = [None, big, *range(40)]
+    schema = "stream_id long, chunk_no long, chunk string, ts timestamp"
+    batches = [[(i, 1, 'pe":"b"}\n\n', at(0)) for i in keys], [(i, 0, f'data: {{"type":"a{i}"}}\n\ndata: {{"ty', at(1)) for i in keys[:20]],
+               [(i, 0, f'data: {{"type":"a{i}"}}\n\ndata: {{"ty', at(2)) for i in keys[20:]], [(77, 0, "x", at(9))], [(77, 1, "y", at(9))]]
+    got, progress = _fed(spark, tmp_path, batches, schema, lambda s: streams.decode_frames_stream(s, ts="ts", delay="1 hour", idle="2 hours"))
+    want = [(i, f, f"a{i}" if f == 0 else "b") for i in keys for f in (0, 1)]
+    assert sorted(((r.stream_id, r.frame_no, r.type) for r in got), key=str) == sorted(want, key=str)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) == 2 and streams.state_rows(progress) == 1
+    rows = [(i, 0, k % 3, t) for i in keys for k, t in enumerate(["progress", "error" if i == 7 else "retry", None])]
+    got, progress = _fed(spark, tmp_path / "s", [rows[::2], rows[1::2]], "stream_id long, frame_no long, line_no long, type string",
+                         streams.run_status_stream, "update")
+    last = {r.run_id: (r.status, r.n_events, r.n_progress, r.n_retry) for r in sorted(got, key=lambda r: r._batch)}
+    assert last == {i: ("error", 2, 1, 0) if i == 7 else ("busy", 3, 1, 1) for i in keys} and streams.state_rows(progress) == 2
+    rows = [(100 * j + n, i, at(n)) for j, i in enumerate(keys) for n in range(6)]
+    table = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    want = sorted(map(tuple, rl.rate_limit(table, limit=2, window_s=7200).collect()), key=str)
+    batches = [[r for r in rows if r[0] % 100 in n] for n in ((0, 1), (2, 3), (4, 5))] + [[(-1, None, at(20))], [(-2, None, at(23))]]
+    got, progress = _fed(spark, tmp_path / "r", batches, "event_id long, user_id long, ts timestamp_ntz",
+                         lambda s: streams.rate_limit_stream(s, limit=2, window_s=7200, evict=True))
+    done = spark.createDataFrame([r for r in got if r.event_id >= 0]).drop("_batch")
+    assert sorted(map(tuple, streams.numbered_windows(done).collect()), key=str) == want and streams.state_rows(progress) <= 1
