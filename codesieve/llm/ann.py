@@ -14,12 +14,17 @@ of leaves is widened until ``recall`` of them lie in visited leaves (all leaves,
 need be, which is exact).  A query whose visited leaves hold fewer than ``k`` other
 rows goes on down its queue until they do.
 
-Search is in blocks: leaves are cut into blocks of about ``block_rows`` vectors
+Leaves are cut into blocks of about ``block_rows`` vectors
 by id hash (so a leaf of a third of all rows, say copies of one vector, is many
 blocks), and queries of neighbouring leaves make chunks of about ``chunk_rows``, which visit
-much the same blocks.  A block is sent only to the chunks that visit it, so what a query costs does not grow with
-the table.  Each task multiplies one chunk's queries with one block and keeps the best ``k`` per query; a second
-step keeps the best of those.  Scores are inner products of the original
+much the same blocks.  A block is sent only to the chunks that visit it.  What a chunk visits is dealt by id hash to
+a few spans: as many as keep all tasks busy, and one for each ``SPAN_ROWS`` vectors of the table.  A task holds the
+queries of one chunk, streams the vectors of one span in order of their leaves, multiplies each leaf with the queries that
+visit it and keeps the best ``k`` per query; a second step keeps the best of the spans.  So a query
+goes into the search, and ``k`` rows come out of it, once a span, however many leaves and blocks it
+visits.  The inner products themselves are as many as rows visited: where neighbours lie in no clusters (random vectors of
+many dimensions), that is a share of the table, and copies of blocks grow as vectors x queries / ``chunk_rows``.
+Scores are inner products of the original
 vectors in double precision, ties go to the smaller id.
 
 Edge cases: vectors that are null, empty, zero, or that hold null or non-finite
@@ -42,6 +47,8 @@ from codesieve.llm import common as C
 
 
 LEAF_SAMPLE = 16  # sampled vectors a leaf
+SPAN_ROWS = 1 << 20  # vectors of the table that one task may stream past a chunk of queries
+PRODUCTS = 1 << 20  # scores in memory at once
 
 
 class Tree:
@@ -121,52 +128,107 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best per row: largest score, then smallest id."""
-    if scores.shape[1] > k:
-        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    else:
-        edge = np.full(len(scores), -np.inf)
-    return [own[np.lexsort((ids[own], -row[own]))][:k] for row, own in ((r, np.flatnonzero(r >= e)) for r, e in zip(scores, edge, strict=True))]
-
-
 def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products in double precision, each summed in the same order
     whatever the block's shape, so that equal vectors tie exactly."""
     return np.einsum("qd,rd->qr", queries, rows, optimize=False)
 
 
-def _search(indexed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, leaf): the best ``k`` per query and block.
-    ``asked`` has query_id, q, chunk, block and the leaves to visit there; a block goes to the chunks that ask it."""
+class _Best:
+    """The best ``k`` found so far of each of one chunk's queries."""
+
+    def __init__(self, asks: np.ndarray, queries: np.ndarray, leaves: list[np.ndarray], k: int):
+        self.asks, self.queries, self.k = asks, queries, k
+        of, by = np.concatenate(leaves), np.repeat(np.arange(len(asks)), [len(x) for x in leaves])
+        order = np.argsort(of, kind="stable")
+        found, first = np.unique(of[order], return_index=True)
+        self.visitors = dict(zip(found.tolist(), np.split(by[order], first[1:]), strict=True))  # leaf: its queries' places
+        self.floor = np.full(len(asks), -np.inf)  # what the next must reach
+        self.kept, self.more, self.n_more = self._none(), [], 0
+
+    @staticmethod
+    def _none() -> tuple[np.ndarray, ...]:
+        return np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def offer(self, leaf: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Vectors of one leaf, to the queries that visit it."""
+        visitors = self.visitors.get(leaf, np.empty(0, np.int64))
+        step = max(1, PRODUCTS // len(ids))
+        for at in range(0, len(visitors), step):
+            own = visitors[at:at + step]
+            s = _scores(self.queries[own], vectors)
+            s[self.asks[own, None] == ids[None, :]] = -np.inf
+            least = self.floor[own]
+            if len(ids) > self.k:
+                least = np.maximum(least, np.partition(s, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+            q, r = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            self.more.append((own[q], s[q, r], ids[r], np.full(len(r), leaf)))
+            self.n_more += len(r)
+            if self.n_more > PRODUCTS:
+                self.settle()
+
+    def settle(self) -> None:
+        q, s, ids, leaf = map(np.concatenate, zip(self.kept, *self.more, strict=True))
+        order = np.lexsort((ids, -s, q))
+        q = q[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        order = order[place < self.k]
+        self.floor[q[place == self.k - 1]] = s[order][place[place < self.k] == self.k - 1]
+        self.kept, self.more, self.n_more = (q[place < self.k], s[order], ids[order], leaf[order]), [], 0
+
+    def found(self) -> pd.DataFrame:
+        self.settle()
+        q, s, ids, leaf = self.kept
+        return pd.DataFrame({"query_id": self.asks[q], "vec_id": ids, "score": s, "leaf": leaf})
+
+
+def _search(indexed: DataFrame, asked: DataFrame, blocks_of: list[list[int]], chunks: int, spans: int, k: int, block_rows: int) -> DataFrame:
+    """(query_id, vec_id, score, leaf): the best ``k`` per query and span.
+    ``asked`` has query_id, q, chunk and the leaves to visit; a block goes to the chunks that ask it."""
     asked = C.cut(asked)
-    pairs = asked.select(F.col("block").alias("in_block"), F.col("chunk").alias("by_chunk")).distinct()
-    right = indexed.join(pairs, F.col("block") == F.col("in_block")).drop("in_block").withColumnRenamed("by_chunk", "chunk")
-
-    def run(q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(rows):
-            vectors, ids, leaf = _matrix(rows["v"]), rows["vec_id"].to_numpy(), rows["leaf"].to_numpy()
-            queries, asks = _matrix(q["q"]), q["query_id"].to_numpy()
-            seen = np.zeros((len(q), int(leaf.max()) + 1), bool)
-            for i, own in enumerate(q["leaves"]):
-                own = np.asarray(own, np.int64)
-                seen[i, own[own < seen.shape[1]]] = True
-            for at in range(0, len(q), 256):
-                part = slice(at, at + 256)
-                s = _scores(queries[part], vectors)
-                s[~seen[part][:, leaf] | (asks[part, None] == ids[None, :])] = -np.inf
-                for i, best in enumerate(_best(s, ids, k), at):
-                    best = best[s[i - at, best] > -np.inf]
-                    out.append(pd.DataFrame({"query_id": asks[i], "vec_id": ids[best], "score": s[i - at, best], "leaf": leaf[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "leaf": []})
-
-    return asked.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(
+
+    def blocks(batches):
+        for b in C.frames(batches):
+            for chunk, own in b.groupby("chunk"):
+                visited = np.unique(np.concatenate(own["leaves"].to_list()))
+                yield pd.DataFrame({"by_chunk": chunk, "in_block": sorted({y for x in visited.tolist() for y in blocks_of[x]})})
+
+    pairs = asked.select("chunk", "leaves").mapInPandas(blocks, "by_chunk int, in_block int").distinct()
+    task = lambda chunk, span: (F.col(chunk) * spans + span).cast("int").alias("task")
+    right = indexed.join(pairs, F.col("block") == F.col("in_block")).select(
+        task("by_chunk", F.pmod("place", F.lit(spans))), "leaf", F.col("vec_id").alias("id"), "v", F.lit(None).cast("array<long>").alias("leaves"))
+    left = asked.withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(spans - 1)))).select(
+        task("chunk", F.col("span")), F.lit(-1).cast("long").alias("leaf"), F.col("query_id").alias("id"), F.col("q").alias("v"), "leaves")
+
+    def run(batches):
+        now, asks, best = None, [], None
+        for b in C.frames(batches):
+            for number, part in b.groupby("task"):
+                if number != now:  # queries come first
+                    if best:
+                        yield best.found()
+                    now, asks, best = number, [], None
+                is_query = part["leaf"] < 0
+                if is_query.any():
+                    asks.append(part[is_query])
+                rows = part[~is_query]
+                if len(rows) and asks:
+                    if not best:
+                        q = pd.concat(asks)
+                        best = _Best(q["id"].to_numpy(), _matrix(q["v"]), q["leaves"].to_list(), k)
+                    for leaf, own in rows.groupby("leaf"):
+                        ids, vectors = own["id"].to_numpy(), _matrix(own["v"])
+                        for at in range(0, len(ids), block_rows):
+                            best.offer(leaf, ids[at:at + block_rows], vectors[at:at + block_rows])
+        if best:
+            yield best.found()
+
+    return left.union(right).repartitionById(chunks * spans, "task").sortWithinPartitions("task", "leaf").mapInPandas(
         run, "query_id long, vec_id long, score double, leaf long")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each query: a query's rows are at most ``k`` per block."""
+    """The best ``k`` of each query: a query's rows are at most ``k`` per span."""
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "leaf"))), 1, k)
     return found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"), "b.leaf")
@@ -234,25 +296,21 @@ def _nearest_alike(rows: DataFrame, n: int, is_query: Column, k: int, branch: in
     chunks = _packed([asking.get(x, 0) for x in range(tree.leaves)], chunk_rows)
     queries = queries.withColumn("chunk", part_of(*chunks, F.xxhash64("query_id")))
 
-    def asked(own: DataFrame, visits: int) -> DataFrame:
+    def best(own: DataFrame, visits: int, chunks: int) -> DataFrame:
         def run(batches):
             for b in C.frames(batches):
-                out = []
-                for i, q, n_own, chunk in zip(b["query_id"], b["q"], b["own"], b["chunk"], strict=True):
-                    per_block: dict[int, list[int]] = {}
-                    for x in held.value.visits(np.asarray(q), visits, sizes, k + n_own):
-                        for y in blocks_of[x]:
-                            per_block.setdefault(y, []).append(x)
-                    out += [(i, q, chunk, y, xs) for y, xs in per_block.items()]
-                yield pd.DataFrame(out, columns=["query_id", "q", "chunk", "block", "leaves"])
+                b["leaves"] = [held.value.visits(np.asarray(q), visits, sizes, k + m) for q, m in zip(b["q"], b["own"], strict=True)]
+                yield b[["query_id", "q", "chunk", "leaves"]]
 
-        return own.mapInPandas(run, "query_id long, q array<double>, chunk int, block int, leaves array<long>")
+        spans = min(-(-n // block_rows), max(-(-C.shuffle_width(spark) // chunks), -(-n // SPAN_ROWS)))
+        asked = own.mapInPandas(run, "query_id long, q array<double>, chunk int, leaves array<long>")
+        return _top(_search(indexed, asked, blocks_of, chunks, spans, k, block_rows), k)
 
     # Calibration: in how many leaves, best bin first, do the exact neighbours of the probes lie?
     probe = C.cut(queries.orderBy(F.xxhash64("query_id", F.lit(3))).limit(probes))
-    exact = _top(_search(indexed, asked(probe.withColumn("chunk", F.lit(0)), tree.leaves), k), k).select("query_id", "leaf").collect()
+    exact = best(probe.withColumn("chunk", F.lit(0)), tree.leaves, 1).select("query_id", "leaf").collect()
     order = {r.query_id: {x: j for j, x in enumerate(tree.visits(np.array(r.q), tree.leaves))} for r in probe.collect()}
     depth = np.sort([order[r.query_id][r.leaf] + 1 for r in exact])
     visits = int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))))]) if len(depth) else 1
 
-    return _top(_search(indexed, asked(queries, visits), k), k).drop("leaf")
+    return best(queries, visits, max(map(sum, zip(*chunks, strict=True)))).drop("leaf")

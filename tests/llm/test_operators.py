@@ -440,6 +440,30 @@ def test_nearest(spark):
     assert [r["rank"] for r in few] == [1, 2, 3, 4]
 
 
+def test_nearest_rows_do_not_grow_with_blocks(spark, monkeypatch):
+    """A query that visits every block gives k rows a span of the search, not k a block."""
+    rng, made, top = np.random.default_rng(11), [], ann._top
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(2000, 12)))] + [(i, [1.0] * 12) for i in range(2000, 2500)]
+
+    def counted(found, k):
+        made.append(found.count())
+        return top(found, k)
+
+    monkeypatch.setattr(ann, "_top", counted)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, recall=1.0, block_rows=32).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert made[1] <= 125 * 20 * ann.C.shuffle_width(spark)
+    x = np.array([v for _, v in rows])
+    hit = 0
+    for q, near in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len({i for _, i, _ in near} & set(np.lexsort((np.arange(2500), -s.round(9)))[:20].tolist()))
+        assert all(abs(s[i] - z) < 1e-9 for _, i, z in near)
+    assert len(got) == 125 and hit >= 0.99 * 125 * 20
+
+
 def test_nearest_gives_every_query_its_k(spark):
     """Small leaves beside the query, and vectors of a rarer length."""
     rng = np.random.default_rng(10)
