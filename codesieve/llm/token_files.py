@@ -44,11 +44,44 @@ BLOCK = struct.Struct("<IBH")
 MAGIC = b"PFR1"
 NULL_ID = -(1 << 63)
 SEGMENT_IDS = 1 << 18
+KEPT_BYTES = 128_000_000  # of pre-tokens, twice what other operators keep: fewer are encoded again
+
+
+def _word(width: int) -> type:
+    """A type that holds ``width`` bits shifted by up to 7."""
+    return np.uint32 if width <= 24 else np.uint64
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """The lowest ``width`` bits of each of the rows of ``values`` (a multiple of 8 of them), lowest
+    bits first: eight values are ``width`` bytes."""
+    out, word = np.zeros((len(values), values.shape[1] // 8, width), np.uint8), _word(width)
+    values = values.astype(word) & word((1 << width) - 1)
+    for j in range(8 if width else 0):
+        at, shift = divmod(j * width, 8)
+        shifted = values[:, j::8] << word(shift)
+        for k in range((shift + width + 7) // 8):
+            out[:, :, at + k] |= (shifted >> word(8 * k)).astype(np.uint8)
+    return out.reshape(len(values), -1)
+
+
+def _unpacked(packed: np.ndarray, width: int, block: int) -> np.ndarray:
+    """The rows of ``block`` values that ``_packed`` packed."""
+    out, word = np.zeros((len(packed), block), np.uint32), _word(width)
+    if width:
+        raw = packed.reshape(len(packed), -1, width)
+        for j in range(8):
+            at, shift = divmod(j * width, 8)
+            value = raw[:, :, at].astype(word)
+            for k in range(1, (shift + width + 7) // 8):
+                value |= raw[:, :, at + k].astype(word) << word(8 * k)
+            out[:, j::8] = (value >> word(shift)) & word((1 << width) - 1)
+    return out
 
 
-def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits that each value needs."""
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``lengths[i]`` numbers from ``starts[i]`` on, one range after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
 def encode_blocks(ids: np.ndarray, block: int, percentile: float) -> list[bytes]:
@@ -59,40 +92,34 @@ def encode_blocks(ids: np.ndarray, block: int, percentile: float) -> list[bytes]
     low = blocks.min(axis=1)
     rest = blocks - low[:, None]
     at = int(percentile * (block - 1))
-    widths = _widths(np.partition(rest, at, axis=1)[:, at])
+    widths = np.frexp(np.partition(rest, at, axis=1)[:, at].astype(np.float64))[1].astype(np.int64)  # bits that each value needs
     out: list[bytes] = [b""] * len(blocks)
     for w in np.unique(widths):
         own = np.flatnonzero(widths == w)
-        raw = rest[own].astype("<u4").view(np.uint8).reshape(len(own), block, 4)[:, :, :-(-w // 8)]
-        bits = np.unpackbits(raw, axis=2, count=int(w), bitorder="little")  # the lowest w bits of each value
-        packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
-        over = (rest[own].astype(np.uint64) >> np.uint64(w)) != 0
-        for j, b in enumerate(own):
-            where = np.flatnonzero(over[j])
-            out[b] = (BLOCK.pack(int(low[b]), int(w), len(where)) + packed[j].tobytes()
-                      + where.astype("<u2").tobytes() + rest[b, where].astype("<u4").tobytes())
+        values = rest[own]
+        packed = _packed(values, int(w)).tobytes()
+        in_block, where = np.nonzero(values > np.uint32((1 << int(w)) - 1))
+        places, more = where.astype("<u2").tobytes(), values[in_block, where].astype("<u4").tobytes()
+        size, ends = block * int(w) // 8, np.searchsorted(in_block, np.arange(len(own) + 1)).tolist()
+        for j, (b, least) in enumerate(zip(own.tolist(), low[own].tolist(), strict=True)):
+            p, q = ends[j], ends[j + 1]
+            out[b] = b"".join((BLOCK.pack(least, w, q - p), packed[j * size:(j + 1) * size], places[2 * p:2 * q], more[4 * p:4 * q]))
     return out
 
 
 def decode_blocks(body: np.ndarray, starts: np.ndarray, n: int, block: int) -> np.ndarray:
     out = np.empty((len(starts), block), np.uint32)
-    heads = [BLOCK.unpack_from(body, int(s)) for s in starts]
-    widths = np.array([h[1] for h in heads], np.int64)
+    heads = body[starts[:, None] + np.arange(BLOCK.size)].view([("low", "<u4"), ("width", "u1"), ("over", "<u2")])[:, 0]
+    widths, n_over = heads["width"].astype(np.int64), heads["over"].astype(np.int64)
     for w in np.unique(widths):
         own = np.flatnonzero(widths == w)
-        size = block * w // 8
-        raw = body[starts[own, None] + BLOCK.size + np.arange(size)]
-        values = np.zeros((len(own), block, 4), np.uint8)
-        if w:
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), block, w)
-            values[:, :, :-(-w // 8)] = np.packbits(bits, axis=2, bitorder="little")
-        out[own] = values.view("<u4").reshape(len(own), block)
-    for b, (low, w, n_over) in enumerate(heads):
-        if n_over:
-            at = int(starts[b]) + BLOCK.size + block * w // 8
-            where = np.frombuffer(body, "<u2", n_over, at)
-            out[b, where] = np.frombuffer(body, "<u4", n_over, at + 2 * n_over)
-        out[b] += np.uint32(low)
+        packed = body[starts[own, None] + BLOCK.size + np.arange(block * w // 8)]
+        out[own] = _unpacked(packed, int(w), block)
+    at = starts + BLOCK.size + block * widths // 8
+    if n_over.any():
+        where = body[_ranges(at, 2 * n_over)].view("<u2")
+        out[np.repeat(np.arange(len(starts)), n_over), where] = body[_ranges(at + 2 * n_over, 4 * n_over)].view("<u4")
+    out += heads["low"][:, None]
     return out.reshape(-1)[:n]
 
 
@@ -136,7 +163,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         raise ValueError("block must be a multiple of 8 up to 65536")
 
     def run(batches):
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, kept_bytes=KEPT_BYTES), np.array([end_id], "<u4").tobytes()
         ids, held, size, n_ids = [], [], 0, []
 
         def segment():

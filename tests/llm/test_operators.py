@@ -417,6 +417,29 @@ def test_token_files(spark, odd, empty, tmp_path):
         assert (token_files.decode_segment(*s)[2] == x).all()
 
 
+def test_token_blocks_of_each_width(monkeypatch):
+    """Blocks hold the bits that plain integers give, and are read without a Python step for each."""
+    rng, block = np.random.default_rng(8), 64
+    x = np.concatenate([rng.integers(0, 1 << w, block, dtype=np.uint64) | np.uint64(1 << w >> 1) for w in range(33)]).astype(np.uint32)
+    x[::block], x[5::7 * block] = 0, 2**32 - 1
+    found, starts = token_files.encode_blocks(x, block, 0.9), []
+    for own, b in zip(x.reshape(-1, block).tolist(), found, strict=True):
+        low, w, n_over = token_files.BLOCK.unpack_from(b)
+        rest = [v - low for v in own]
+        over = [i for i, v in enumerate(rest) if v >> w]
+        packed = sum((v & (1 << w) - 1) << w * i for i, v in enumerate(rest)).to_bytes(block * w // 8, "little")
+        assert w == sorted(rest)[int(0.9 * (block - 1))].bit_length() and n_over == len(over)
+        assert b[token_files.BLOCK.size:] == packed + np.array(over, "<u2").tobytes() + np.array([rest[i] for i in over], "<u4").tobytes()
+        starts.append(len(b))
+
+    class Size:
+        size = token_files.BLOCK.size
+
+    monkeypatch.setattr(token_files, "BLOCK", Size)
+    body = np.frombuffer(b"".join(found), np.uint8)
+    assert (token_files.decode_blocks(body, np.cumsum([0, *starts])[:-1], len(x), block) == x).all()
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(900, 16)).astype(np.float32)
