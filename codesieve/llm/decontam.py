@@ -164,11 +164,13 @@ def leaks_of(text: str | None, patterns: list[Pattern], found: ahocorasick.Autom
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int, item_id_col: str, item_text_col: str):
-    """The items as lists of (id, folded text), each of at most ``block_bytes`` and one more item."""
+    """The items as lists of (id, folded text), each of at most ``block_bytes`` and one more item;
+    one list if all fit in it, since a filter by two takes two Python workers in each task."""
     items = C.texts(benchmark, item_id_col, item_text_col).where(F.col("text").rlike(r"(?U)\S"))
     sums = F.sum(F.octet_length("text")).over(W.partitionBy("part").orderBy("doc_id", "text").rowsBetween(W.unboundedPreceding, -1))
-    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    blocks = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(2 * parts))).withColumn(
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 if size <= block_bytes else 2 * -(-size // block_bytes)
+    blocks = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))).withColumn(
         "block", F.floor(F.coalesce(sums, F.lit(0)) / F.lit(block_bytes)))
     for part, block in sorted((r.part, r.block) for r in blocks.select("part", "block").distinct().collect()):
         rows = blocks.where((F.col("part") == part) & (F.col("block") == block)).select("doc_id", "text").collect()

@@ -35,7 +35,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
     """One row per piece; with ``ids`` (little-endian unsigned 32-bit) if asked."""
     def run(batches):
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for b in C.frames(batches):
+        for b in C.frames(batches, enc):
             rows = []
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 raw = enc.ids(t) + end

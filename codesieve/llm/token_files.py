@@ -170,7 +170,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             n_ids.append(size)
             return pd.DataFrame({"kind": "data", "seq": len(n_ids), "value": [encode_segment(ids, held, block, percentile)]})
 
-        for b in C.frames(batches):
+        for b in C.frames(batches, enc):
             for i, t in zip(b["doc_id"], b["text"], strict=True):
                 ids.append(NULL_ID if pd.isna(i) else int(i))
                 held.append(enc.ids(t) + end)

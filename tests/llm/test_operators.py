@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from codesieve.llm import (ann, decontam, licenses, neardup, packing, quality, secret_scan, sharding, substring,
+from codesieve.llm import (ann, common, decontam, licenses, neardup, packing, quality, secret_scan, sharding, substring,
                            token_files, tokenizing)
 from tests.conftest import SF_CHECK
 from tests.llm.conftest import CASES
@@ -50,6 +50,25 @@ def test_kept_tokens_are_bounded_in_bytes():
         tokenizing.KEPT_BYTES = before
 
 
+def test_kept_tokens_are_let_go_by_other_passes(spark):
+    """A Python worker that has packed keeps its encoder for the next packing task, but not beside another operator's pass."""
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('some words and number ', id) as text").coalesce(1)
+
+    def held(batches):
+        for b in batches:
+            b["n"] = sum(isinstance(x, tokenizing.Encoder) for v in vars(common).values() if isinstance(v, dict) for x in v.values()) + len(
+                getattr(tokenizing, "_ENCODERS", ()))
+            yield b[["n"]]
+
+    def most():  # every worker is asked, as each task takes the one that has been idle longest
+        return max(r.n for r in spark.range(64).repartition(64).mapInPandas(held, "n long").collect())
+
+    packing.tokenized_pieces(docs, WORD_BPE, 4096, 2).count()
+    assert most() == 1
+    neardup.signatures(docs.repartition(64), 2, 4).count()
+    assert most() == 0
+
+
 def test_secrets(odd, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
     got = {(r.doc_id, len(r.spans)): [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan_secrets(odd).collect()}
@@ -380,6 +399,20 @@ def test_decontamination(spark, odd, empty):
         assert decontam.Pattern(1, p, 0.1, 8).closest(t)[0] == min(row)
 
 
+def test_a_small_benchmark_is_one_block(spark):
+    """So that a task of the pipeline's filter takes one Python worker; a larger one comes in blocks that hold every item once."""
+    items = [(i, f"item number {i} of the benchmark asks for the {i * i}th prime") for i in range(60)] + [(None, "one without an id"), (3, None), (4, " ")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items if t and t.strip())
+    few, most = (list(decontam._blocks(bench, n, "item_id", "text")) for n in (size, size - 1))
+    assert len(few) == 1 and len(most) > 1
+    assert sorted(t for _, t in few[0]) == sorted(t for b in most for _, t in b) == sorted(t for _, t in items if t and t.strip())
+    docs = spark.createDataFrame([(1, items[7][1]), (2, "nothing of it"), (3, "x " + items[30][1])], "doc_id long, text string")
+    kept = decontam.without_leaks(docs, bench, block_bytes=size)
+    assert {r.doc_id for r in kept.collect()} == {2}
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_decontamination_to_the_whole_rate(spark):
     item = "the seven rivers flow north from the old stone city before they all meet the wide sea"
     bench = spark.createDataFrame([(1, item), (2, "What is the capital of France?"), (3, " \t ")], "item_id long, text string")
