@@ -206,11 +206,12 @@ def judged(pages: DataFrame, labelled: DataFrame, default: str = ALLOW, given=GI
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(url, label): a page shows the document whose number is the last folder of its path, and has that document's label:
     allow for quality 1 without toxicity, else block.  Labels are copied ``SALTS`` times, so that one document with
-    a third of all pages is joined in many tasks."""
+    a third of all pages is joined in many tasks.  The join is always shuffled: Spark goes by the size of the labels' file,
+    which says little about the copies' rows, and would collect them all on the driver to send them out."""
     number = F.regexp_extract(path_of(F.col("url")), r"/(\d{1,18})(?:\.[A-Za-z]+)?/?$", 1)
     shown = pages.select(F.col("url").cast("string").alias("url"), F.when(number != "", number.cast("long")).alias("doc_id"),
                          F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt")).where("doc_id is not null")
     good = (F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
         .agg(F.min(good).alias("good")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return shown.join(known, ["doc_id", "salt"]).select("url", F.when(F.col("good"), ALLOW).otherwise(BLOCK).alias("label"))
+    return shown.join(known.hint("merge"), ["doc_id", "salt"]).select("url", F.when(F.col("good"), ALLOW).otherwise(BLOCK).alias("label"))

@@ -91,3 +91,12 @@ def test_labels_and_empty_tables(spark):
     none = labels.where("1 = 0")
     assert T.judged(pages, T.labelled_urls(pages, none)).count() == 7
     assert T.judged(pages.where("1 = 0"), T.labelled_urls(pages, labels)).count() == 0
+
+
+def test_labels_are_not_sent_out(spark, tmp_path):
+    """Labels in a small file are many rows in memory: no copy of them goes through the driver."""
+    spark.range(4000).selectExpr("id as doc_id", "1 as quality", "cast(id % 2 as int) as toxic").write.parquet(str(tmp_path / "labels"))
+    spark.range(300).selectExpr("id as page_id", "concat('http://a.org/en/', id % 100) as url").write.parquet(str(tmp_path / "pages"))
+    found = T.labelled_urls(*[spark.read.parquet(str(tmp_path / t)) for t in ("pages", "labels")])
+    assert sorted(map(tuple, found.collect())) == sorted((f"http://a.org/en/{i}", T.BLOCK if i % 2 else T.ALLOW) for i in range(100) for _ in range(3))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
